@@ -160,7 +160,7 @@ def number_value(col: Column) -> Column:
     """Double of a text that NUMBER matches."""
     plain = F.regexp_extract(col, r"^([\d ]+(?:[.,]\d+)?)", 1)
     plain = F.regexp_replace(F.regexp_replace(plain, " ", ""), ",", ".").try_cast("double")
-    power = F.regexp_extract(col, r"10\^?(\d+)", 1).try_cast("double")
+    power = F.regexp_extract(col, r"[·×xх*]\s*10\^?(\d+)", 1).try_cast("double")
     powered = F.when(col.rlike(r"[·×xх*]\s*10\^?\d+"), plain * F.pow(F.lit(10.0), power)).otherwise(plain)
     return powered * F.when(col.contains("тыс"), 1e3).when(col.contains("млн"), 1e6).otherwise(1.0)
 
