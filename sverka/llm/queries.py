@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sverka.llm import confusables, mojibake
+from sverka.llm import confusables, listings, mojibake, tokens
 from sverka.session import table
 
 SQL: dict[str, str] = {}
@@ -37,4 +37,26 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.skeleton_groups(_p5_fields(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups}
+def _p6_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rows, spec, aliases = (table(spark, sf_dir, t) for t in ("library_docs", "library_rows", "spec_attributes", "attribute_aliases"))
+    read = mojibake.restore(docs, "doc_id", ["original_filename"]).select("doc_id", "restored")
+    named = docs.select("doc_id", "original_filename").distinct().join(read, "doc_id", "left").select("doc_id", F.coalesce("restored", "original_filename").alias("file_name"))
+    return listings.group_listings(listings.listing_fields(named, rows, spec, aliases))
+
+
+def p6_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product of every document."""
+    return _p6_products(spark, sf_dir)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that offer the same product."""
+    return listings.product_pairs(_p6_products(spark, sf_dir))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p6_products": p6_products, "p8_ids": p8_ids}
