@@ -51,8 +51,8 @@ NOISE = """новинка премиум топ акция оригинал су
 größentabelle übersicht prüfbericht набор тыс""".split()
 _noise = frozenset(NOISE)
 _codes = [re.compile(rf"(?<![^\W_])([a-z]{{2}}){sep}(\d{{3,4}})(?![\d.,×·^])") for sep in ("-?", " ")]
-_pack = [re.compile(p) for p in (r"\(уп/(\d+)\)", r"\bуп\.? ?(\d[\d ]*\d|\d) ?шт", r"(?<![\w.,])(\d{1,3}(?: \d{3})+|\d+) ?(?:шт|штук|штука|ед|тестов)(?![^\W\d_])", r"(?<![^\W_])n ?(\d+)(?![\w.,])")]
-_joined_pack = re.compile(r"(?<![^\W_])n(\d+)(?![\w.,])")
+_pack = [re.compile(p) for p in (r"\(уп/(\d+)\)", r"\bуп\.? ?(\d[\d ]*\d|\d) ?шт", r"(?<![\w.,])(\d{1,3}(?: \d{3})+|\d+) ?(?:шт|штук|штука|ед|тестов)(?![^\W\d_])", r"(?<![^\W_])n ?(\d+)(?!\w|[.,]\d)")]
+_joined_pack = re.compile(r"(?<![^\W_])n(\d+)(?!\w|[.,]\d)")
 _size = re.compile(r"(?<![\w.,])" + units.NUMBER.replace(r"(?!\p{L})", r"(?![^\W\d_])") + r"(?=\s?(см\^?3|[^\W\d_][^\d;,()\"«»]{0,28}))")
 _brand_letters = re.compile(r"[a-z-]+|[а-яё-]+")
 _unit_end = re.compile(r"^(?:нанограмм на миллилитр|куб\. см|см\^?3|[^\W\d_]+(?: ?/ ?[^\W\d_]+)?)\.?")
