@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sverka.llm import confusables, listings, mojibake, tokens
+from sverka.llm import confusables, listings, mojibake, neighbours, tokens
 from sverka.session import table
 
 SQL: dict[str, str] = {}
 
 
+def _p2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rows, chunks = (table(spark, sf_dir, t) for t in ("library_docs", "library_rows", "library_chunks"))
+    key = lambda order: F.concat_ws("/", F.col("doc_id"), F.col(order).cast("string"))
+    found = neighbours.vectors_of(docs, "doc", F.col("doc_id"), "doc_embedding", 32)
+    found = found.unionByName(neighbours.vectors_of(rows, "row", key("row_ord"), "embedding", 32))
+    return found.unionByName(neighbours.vectors_of(chunks, "chunk", key("chunk_ord"), "embedding", 32))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which at least one is among the other's 5 nearest."""
+
+    near = neighbours.neighbour_pairs(_p2_vectors(spark, sf_dir))
+    return near.select("kind", F.least("key", "near_key").alias("key_a"), F.greatest("key", "near_key").alias("key_b")).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled file names and paths with their originals."""
     return mojibake.restore(table(spark, sf_dir, "library_docs"), "doc_id", ["original_filename", "stored_path"])
@@ -59,4 +74,4 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p6_products": p6_products, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p6_products": p6_products, "p8_ids": p8_ids}
