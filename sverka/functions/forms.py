@@ -1,9 +1,9 @@
 """The consistent form of text: compatibility-composed, without invisible characters,
 plain spaces only, no word that mixes the letters of two scripts.
 
-Letter case, punctuation, line breaks, tabs and the number of spaces stay. The JVM tells
-by one regular expression which values can differ from their consistent form at all; only
-those go through Python, the others cross the boundary as nulls.
+Letter case, punctuation, line breaks, tabs and the number of spaces stay. One search tells
+which values can differ from their consistent form at all; the others are passed through.
+Columns cross to Python in Arrow batches, where the search is faster than a Java one.
 """
 
 from __future__ import annotations
@@ -108,17 +108,17 @@ def consistent_text(text: str | None, prefer=None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _consistent(values: pd.Series) -> pd.Series:
-    return values.map(consistent_text, na_action="ignore")
-
-
-def suspect(col: Column) -> Column:
-    """Whether the value can differ from its consistent form."""
-    return col.rlike(SUSPECT)
+    return pd.Series([consistent_text(v) for v in values], index=values.index, dtype=object)
 
 
 def consistent(col: Column) -> Column:
     """Consistent form of a string column; null stays null, an empty text stays empty."""
-    return F.when(suspect(col), _consistent(F.when(suspect(col), col))).otherwise(col)
+    return _consistent(col)
+
+
+def is_suspect(text: str | None) -> bool:
+    """Whether the text can differ from its consistent form."""
+    return text is not None and not text.isascii() and _suspect.search(text) is not None
 
 
 def trimmed(col: Column) -> Column:

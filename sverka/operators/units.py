@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sverka.session import written
+
 # Dimension, factor to the dimension's own unit, offset added before the factor, spellings.
 UNITS = [
     ("volume", 1e-3, 0.0, "мкл микролитр микролитров ul mkl µl microlitre microliter"),
@@ -112,6 +114,10 @@ def edit_cost(a: str, b: str) -> float:
 
 
 _index: UnitIndex | None = None
+_mapped: dict[tuple[str, str], tuple[float, float] | None] = {}
+#: What can follow a number as its unit: up to the next mark that no unit has, at most so many characters.
+_SPELLING = r"^\s*([^\d,;()\[\]{}\"«»:]{0,40})"
+_spelling = re.compile(_SPELLING + r"((?<=[сc][мm])\^?3)?")
 
 
 def map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
@@ -120,6 +126,16 @@ def map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
     amount in base_unit = (number + offset) * factor. The longest phrase of at most four
     words that is a unit of base_unit's dimension counts; what follows it doesn't matter.
     """
+    m = _spelling.match(text)
+    at = (base_unit, m[0])
+    if at not in _mapped:
+        if len(_mapped) > 200_000:
+            _mapped.clear()
+        _mapped[at] = _map_unit(base_unit, m[0])
+    return _mapped[at]
+
+
+def _map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
     global _index
     _index = _index or UnitIndex()
     base = squeezed(base_unit)
@@ -127,7 +143,7 @@ def map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
     if dimension is None:
         return None
     own = _index.exact[(dimension, base)]
-    words = squeezed(text[:80]).split(" ")
+    words = squeezed(text).split(" ")
     for n in range(min(4, len(words)), 0, -1):
         found = _index.find(dimension, squeezed(" ".join(words[:n])))
         if found:
@@ -145,7 +161,7 @@ def unit_dictionary(spellings: DataFrame) -> DataFrame:
             found = [(b, s, *f) for b, s in zip(part["base_unit"], part["spelling"]) if (f := map_unit(b, s))]
             yield pd.DataFrame(found, columns=["base_unit", "spelling", "factor", "offset"])
 
-    return spellings.select("base_unit", "spelling").where(F.col("spelling").rlike(r"\p{L}")).distinct().mapInPandas(run, schema)
+    return spellings.select("base_unit", "spelling").distinct().mapInPandas(run, schema)
 
 
 # A number: thousands in groups or plain, a decimal part, a power of ten, a multiplying word.
@@ -193,8 +209,9 @@ def amounts(rows: DataFrame) -> DataFrame:
         *key,
         F.when(F.col("k") < F.col("given"), F.lit(0)).otherwise(F.col("k") - F.col("given") + 1).alias("place"),
         F.col("m.n").alias("n"),
-        F.trim(F.regexp_replace(F.lower("m.spelling"), r"\s+", " ")).alias("spelling"),
+        F.trim(F.regexp_extract(F.lower("m.spelling"), _SPELLING + r"((?<=[сc][мm])\^?3)?", 0)).alias("spelling"),
     )
+    mentions = written(mentions.where(F.col("spelling").rlike(r"\p{L}")), "mentions")
     found = mentions.join(unit_dictionary(mentions), ["base_unit", "spelling"])
     found = found.withColumn("amount", (number_value(F.col("n")) + F.col("offset")) * F.col("factor"))
     best = found.groupBy(*key).agg(*(F.sum(F.when(F.col("place") == p, F.col("amount"))).alias(f"a{p}") for p in range(3)))

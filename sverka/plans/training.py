@@ -16,7 +16,7 @@ def _attribute_rows(spark: SparkSession, sf_dir: str, value_types: list[str]) ->
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of list attributes that hold at least two, each with its position."""
-    rows = _attribute_rows(spark, sf_dir, ["list"])
+    rows = _attribute_rows(spark, sf_dir, ["list"]).dropDuplicates(["doc_id", "row_ord", "value_raw"])
     return packed.unpack(rows, least=2).select("doc_id", "row_ord", "pos", trimmed(F.col("item")).alias("item"))
 
 
@@ -36,7 +36,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts of quantity rows in the attribute's base unit, in thousandths."""
-    found = units.amounts(_attribute_rows(spark, sf_dir, ["quantity"]))
+    found = units.amounts(_attribute_rows(spark, sf_dir, ["quantity"]).distinct())
     return found.select("doc_id", "row_ord", "base_unit", F.round(F.col("amount") * 1000).cast("bigint").alias("amount_milli"))
 
 
