@@ -8,20 +8,25 @@ letters are look-alikes takes the spelling most used among the words of equal sk
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sverka.functions import forms
+from sverka.session import written
 
-_PROTOTYPES = str.maketrans(forms.CYRILLIC_LOOK + forms.CYRILLIC_LOOK_MORE + forms.GREEK_LOOK, forms.LATIN_LOOK + forms.LATIN_LOOK_MORE + forms.GREEK_AS_LATIN)
+_FROM = forms.CYRILLIC_LOOK + forms.CYRILLIC_LOOK_MORE + forms.GREEK_LOOK
+_TO = forms.LATIN_LOOK + forms.LATIN_LOOK_MORE + forms.GREEK_AS_LATIN
+_PROTOTYPES = str.maketrans(_FROM, _TO)
 _LOOK = forms.LATIN_LOOK + forms.CYRILLIC_LOOK
-#: Words of look-alike letters only.
-_UNSETTLED = rf"(?<!\p{{L}})([{_LOOK}]{{2,}})(?!\p{{L}})"
+_look_words = re.compile(rf"(?<![^\W\d_])[{_LOOK}]{{2,}}(?![^\W\d_])")
 
 
 def skeleton(text: str | None) -> str | None:
@@ -37,11 +42,6 @@ def _skeleton(values: pd.Series) -> pd.Series:
     return values.map(skeleton, na_action="ignore")
 
 
-def word_skeleton(word: Column) -> Column:
-    """Skeleton of a word of look-alike letters, without Python."""
-    return F.translate(word, forms.CYRILLIC_LOOK, forms.LATIN_LOOK)
-
-
 def long_fields(df: DataFrame, table_name: str, key: str, order: str, columns: list[str]) -> DataFrame:
     """table_name, doc_id, ord, col_name, text: one row per field; null fields are left out."""
     fields = F.array(*(F.struct(F.lit(c).alias("col_name"), F.col(c).alias("text")) for c in columns))
@@ -49,48 +49,64 @@ def long_fields(df: DataFrame, table_name: str, key: str, order: str, columns: l
     return long.select("table_name", "doc_id", "ord", "f.col_name", "f.text").where("text is not null")
 
 
+def _open_words(text: str) -> list[str]:
+    """Words of mixed scripts all of whose letters are look-alikes."""
+    return sorted({w for w in _look_words.findall(forms.plain_characters(text)) if len(forms.scripts(w)) > 1})
+
+
 def word_votes(fields: DataFrame) -> DataFrame:
-    """skeleton -> script (L or C) most used for the words of look-alike letters with that skeleton."""
-    words = fields.select(F.explode(F.regexp_extract_all("text", F.lit(_UNSETTLED), F.lit(1))).alias("word"))
-    pure = words.select(
-        word_skeleton(F.col("word")).alias("skeleton"),
-        F.when(F.col("word").rlike(f"^[{forms.LATIN_LOOK}]+$"), "L").when(F.col("word").rlike(f"^[{forms.CYRILLIC_LOOK}]+$"), "C").alias("script"),
-    ).where("script is not null")
-    counted = pure.groupBy("skeleton").agg(F.count(F.when(F.col("script") == "C", 1)).alias("c"), F.count("*").alias("n"))
-    return counted.select("skeleton", F.when(F.col("c") * 2 >= F.col("n"), "C").otherwise("L").alias("script"))
+    """skeleton -> script (L or C) that pure words of look-alike letters with that skeleton mostly have; C at a tie.
+
+    Each task adds up its fields first.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            count: Counter = Counter()
+            for text in part["text"]:
+                for w in _look_words.findall(text):
+                    if len(s := forms.scripts(w)) == 1:
+                        count[w.translate(_PROTOTYPES), s.pop()] += 1
+            yield pd.DataFrame([(k, s, n) for (k, s), n in count.items()], columns=["skeleton", "script", "n"])
+
+    counted = fields.select("text").mapInPandas(run, "skeleton string, script string, n bigint").groupBy("skeleton", "script").agg(F.sum("n").alias("n"))
+    return counted.groupBy("skeleton").agg(F.min(F.struct((-F.col("n")).alias("n"), "script"))["script"].alias("script"))
 
 
 def consistent_fields(fields: DataFrame) -> DataFrame:
-    """Adds form, the consistent form of text, to a table of fields; repeated rows count once.
+    """table_name, doc_id, ord, col_name, text, form of the fields that differ from their consistent form.
 
-    Only fields that can differ from their form go through Python. Empty texts stay empty,
-    texts of any length are read whole. Columns of fields besides table_name, doc_id, ord,
-    col_name and text are dropped.
+    Repeated rows count once. Empty texts stay empty, texts of any length are read whole.
+    Other columns of fields are dropped. Words that their own letters don't settle are
+    looked up among the words of equal skeleton in all fields.
     """
-    key = ["table_name", "doc_id", "ord", "col_name"]
-    odd = fields.where(forms.suspect(F.col("text"))).select(*key, "text").distinct()
-    plain = F.regexp_replace("text", r"\p{Cf}", "")
-    mixed = F.filter(F.regexp_extract_all(plain, F.lit(_UNSETTLED), F.lit(1)), lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-я]"))
-    marked = odd.withColumn("open", mixed)
-    asked = marked.select(F.explode("open").alias("word")).select(word_skeleton(F.col("word")).alias("skeleton")).distinct()
-    votes = asked.join(word_votes(fields), "skeleton")
-    settled = (
-        marked.where(F.size("open") > 0)
-        .select(*key, "text", F.explode("open").alias("word"))
-        .withColumn("skeleton", word_skeleton(F.col("word")))
-        .join(votes, "skeleton", "left")
-        .groupBy(*key, "text")
-        .agg(F.collect_set(F.when(F.col("script").isNotNull(), F.concat("script", "word"))).alias("prefer"))
-    )
-    asis = marked.where(F.size("open") == 0).select(*key, "text", F.expr("cast(array() as array<string>)").alias("prefer"))
-    schema = T.StructType([*odd.schema, T.StructField("form", T.StringType())])
+    key = ["table_name", "doc_id", "ord", "col_name", "text"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column(4).to_pylist()
+            at = [k for k, t in enumerate(texts) if forms.is_suspect(t)]
+            done = [forms.consistent_text(texts[k]) for k in at]
+            at, done = [k for k, f in zip(at, done) if f != texts[k]], [f for k, f in zip(at, done) if f != texts[k]]
+            kept = part.take(pa.array(at, pa.int64()))
+            opened = pa.array([_open_words(texts[k]) for k in at], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(done, pa.string()), opened], names=[*key, "form", "open"])
+
+    kinds = ", ".join(f"{n} {fields.schema[n].dataType.simpleString()}" for n in key)
+    odd = written(fields.select(*key).mapInArrow(found, f"{kinds}, form string, open array<string>"), "odd-fields")
+    settled = odd.where(F.size("open") == 0).drop("open")
+    opened = odd.where(F.size("open") > 0).distinct()
+    if opened.isEmpty():
+        return settled.distinct()
+    asked = opened.select(*key, F.explode("open").alias("w")).withColumn("skeleton", F.translate("w", _FROM, _TO))
+    told = asked.join(word_votes(fields), "skeleton", "left").groupBy(*key).agg(F.collect_list(F.concat(F.coalesce("script", F.lit("?")), "w")).alias("told"))
+
+    def settle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            done = [forms.consistent_text(t, {x[1:]: x[0] for x in p}.get if len(p) else None) for t, p in zip(part["text"], part["prefer"])]
-            yield part.drop(columns="prefer").assign(form=done)
+            votes = [{w[1:]: w[0] for w in t if w[0] != "?"} for t in part["told"]]
+            yield part.drop(columns="told").assign(form=[forms.consistent_text(t, v.get) for t, v in zip(part["text"], votes)])
 
-    return asis.unionByName(settled).mapInPandas(run, schema)
+    return settled.distinct().unionByName(told.mapInPandas(settle, f"{kinds}, form string"))
 
 
 def skeleton_groups(fields: DataFrame) -> DataFrame:
