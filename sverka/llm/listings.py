@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sverka.functions.forms import consistent
-from sverka.operators import attributes, units, wide
+from sverka.functions.forms import consistent_text
+from sverka.operators import attributes, units
 from sverka.session import checkpoint, written
 
 # Words of each kind of product, the one used in English file names last.
@@ -57,6 +57,21 @@ _size = re.compile(r"(?<![\w.,])" + units.NUMBER.replace(r"(?!\p{L})", r"(?![^\W
 _brand_letters = re.compile(r"[a-z-]+|[а-яё-]+")
 _unit_end = re.compile(r"^(?:нанограмм на миллилитр|куб\. см|см\^?3|[^\W\d_]+(?: ?/ ?[^\W\d_]+)?)\.?")
 _words = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_endings = re.compile(r"\.(?:pdf|docx?|xlsx?)$")
+_plain_number = re.compile(r"(?<![\d.,])" + units.NUMBER.replace(r"(?!\p{L})", r"(?![^\W\d_])"))
+_not_amount = re.compile(r"(?<![^\W\d_])(?:п\.|пункт[^\W\d_]*|серия|№|no\.?|раздел[^\W\d_]*)\s*\d+(?:\.\d+)*")
+_indicator_tail = re.compile(r"[,(\[{](.*)$", re.S)
+_whole = re.compile(r"\d{1,3}(?: \d{3})+(?!\d)|\d+")
+
+
+def _either(phrases: list[str]) -> re.Pattern:
+    return re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(phrases, key=len, reverse=True))) + r")(?![\w-])")
+
+
+_kind_of = {p: k for k, phrases in KINDS.items() for p in phrases}
+_kinds = _either(list(_kind_of))
+_variant_of = {(k, x): mark for k, marks in VARIANTS.items() for mark, phrase in marks.items() for x in (mark, phrase)} | {(None, phrase): mark for marks in VARIANTS.values() for mark, phrase in marks.items()}
+_variants = {k: _either([x for kk, x in _variant_of if kk == k]) for k in [*VARIANTS, None]}
 _latin = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", ["a", "b", "v", "g", "d", "e", "e", "zh", "z", "i", "i", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "h", "c", "ch", "sh", "sch", "", "y", "", "e", "yu", "ya"]))
 
 
@@ -87,13 +102,10 @@ def read_listing(text: str | None) -> dict:
     out = dict.fromkeys(("code", "brand", "kind", "variant", "size", "pack"))
     if not text:
         return out
-    t = re.sub(r"[_\s]+", " ", text.lower())
-    t = re.sub(r"\.(?:pdf|docx?|xlsx?)$", "", t)
-    for kind, phrases in KINDS.items():
-        hit = next((p for p in phrases if re.search(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", t)), None)
-        if hit:
-            out["kind"], t = kind, t.replace(hit, " | ")
-            break
+    t = _endings.sub("", " ".join(text.lower().replace("_", " ").split()))
+    if m := _kinds.search(t):
+        out["kind"] = _kind_of[m[0]]
+        t = t[: m.start()] + " | " + t[m.end() :]
     t = _take_code(t, out, 0)
     if m := _joined_pack.search(t):
         out["pack"] = int(m[1])
@@ -114,40 +126,88 @@ def read_listing(text: str | None) -> dict:
             out["pack"] = int(m[1].replace(" ", ""))
             t = t[: m.start()] + " | " + t[m.end() :]
     t = _take_code(t, out, 1)
-    for kind in [out["kind"]] if out["kind"] else VARIANTS:
-        for mark, phrase in VARIANTS[kind].items():
-            if re.search(rf"(?<![^\W_]){re.escape(phrase)}(?![^\W_])", t) or (out["kind"] and re.search(rf"(?<![\w-]){re.escape(mark)}(?![\w-])", t)):
-                out["variant"] = mark
-                t = re.sub(rf"(?<![^\W_])(?:{re.escape(phrase)}|{re.escape(mark)})(?![^\W_])", " ", t)
-                break
-        if out["variant"]:
-            break
+    if m := _variants[out["kind"]].search(t):
+        out["variant"] = _variant_of[out["kind"], m[0]]
+        t = t.replace(m[0], " ", 1) if len(m[0]) > 3 else t
     left = [w for w in _words.findall(t) if len(w) >= 4 and w not in _noise and _brand_letters.fullmatch(w)]
     out["brand"] = brand_key(max(left, key=len)) if left else None
     return out
 
 
+def read_amount(base: str, value: str | None, unit: str | None, indicator: str | None) -> int | None:
+    """Amount in thousandths of base that a quantity row states: the first number with a unit, else with the row's or indicator's unit."""
+    text = _not_amount.sub(" ", value.lower()) if value else ""
+    first = None
+    for m in _plain_number.finditer(text):
+        first = first or m[0]
+        if (found := units.map_unit(base, text[m.end() : m.end() + 60])) is not None:
+            return round((_value(m[0]) + found[1]) * found[0] * 1000)
+    if first is None:
+        return None
+    tail = _indicator_tail.search(indicator or "")
+    for name in ((unit or "").lower(), tail[1].lower() if tail else ""):
+        if name and (found := units.map_unit(base, name)) is not None:
+            return round((_value(first) + found[1]) * found[0] * 1000)
+    return None
+
+
 FIELDS = {"code": "string", "brand": "string", "kind": "string", "variant": "string", "size": "bigint", "pack": "bigint"}
 #: Neighbours on either side that a listing class is compared with in each pass.
 WINDOW = 5
 #: Fields in the order of each pass's key.
-PASSES = [["brand", "kind", "variant", "size", "pack", "code"], ["code", "kind", "brand", "variant", "size", "pack"], ["kind", "variant", "size", "pack", "brand", "code"], ["size", "pack", "brand", "kind", "variant", "code"]]
+PASSES = [["brand", "kind", "variant", "size", "pack", "code"], ["code", "kind", "brand", "variant", "size", "pack"], ["kind", "variant", "size", "pack", "brand", "code"]]
 # Weight of each field in the alignment, and the part of it that makes two classes one product.
 WEIGHTS = {"brand": 3.0, "kind": 2.0, "variant": 2.0, "size": 2.0, "pack": 2.0}
 LEAST = 0.9
 
 
-def read_listings(texts: DataFrame) -> DataFrame:
-    """doc_id, place and the fields of each text of texts (doc_id, place, text)."""
+#: Places of the evidence of a document: name rows first, then other rows from the last to the first, then the file name.
+_ROWS, _FILE = 1 << 40, 1 << 41
+
+
+def read_rows(rows: DataFrame, spec: DataFrame, aliases: DataFrame) -> DataFrame:
+    """doc_id, place, the fields, and the amounts in thousandths that quantity rows state, by attribute.
+
+    rows are indicator/value rows. A name row tells all fields, a row of packs or wells the
+    pack, a quantity row one amount. Narrow: one pass over the rows of a few attributes.
+    """
+    bases = dict(SIZES.values())
+    stated = attributes.attribute_rows(rows, spec, aliases, ["text", "integer", "quantity"], ["name", "pack_qty", "wells", *bases])
+    schema = "doc_id string, place bigint, " + ", ".join(f"{f} {t}" for f, t in FIELDS.items()) + ", wells bigint, " + ", ".join(f"{a} bigint" for a in bases)
+    names = [*FIELDS, "wells", *bases]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            read, place = [], []
+            for order, indicator, value, unit, code in zip(part["row_ord"], part["indicator"], part["value_raw"], part["unit"], part["attr_code"]):
+                if code == "name":
+                    read.append(read_listing(value))
+                elif code in bases:
+                    read.append({code: read_amount(bases[code], value, unit, indicator)})
+                else:
+                    m = _whole.search(value or "")
+                    read.append({"pack" if code == "pack_qty" else "wells": int(m[0].replace(" ", "")) if m else None})
+                place.append(order if code == "name" else _ROWS - order)
+            out = pd.DataFrame(read, columns=names, dtype=object)
+            out.insert(0, "place", place)
+            out.insert(0, "doc_id", part["doc_id"].to_numpy())
+            yield out.astype({n: "Int64" for n in ("size", "pack", "wells", *bases)})
+
+    return stated.select("doc_id", "row_ord", "indicator", "value_raw", "unit", "attr_code").mapInPandas(run, schema)
+
+
+def read_files(docs: DataFrame) -> DataFrame:
+    """doc_id, place and the fields told by file_name."""
     schema = "doc_id string, place bigint, " + ", ".join(f"{f} {t}" for f, t in FIELDS.items())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            read = pd.DataFrame([read_listing(t) for t in part["text"]], columns=list(FIELDS), dtype=object)
-            out = pd.concat([part[["doc_id", "place"]].reset_index(drop=True), read], axis=1)
+            out = pd.DataFrame([read_listing(consistent_text(t)) for t in part["file_name"]], columns=list(FIELDS), dtype=object)
+            out.insert(0, "place", _FILE)
+            out.insert(0, "doc_id", part["doc_id"].to_numpy())
             yield out.astype({"size": "Int64", "pack": "Int64"})
 
-    return texts.select("doc_id", "place", "text").mapInPandas(run, schema)
+    return docs.where("file_name is not null").select("doc_id", "file_name").mapInPandas(run, schema)
 
 
 def _first(value: str) -> Column:
@@ -157,29 +217,16 @@ def _first(value: str) -> Column:
 def listing_fields(docs: DataFrame, rows: DataFrame, spec: DataFrame, aliases: DataFrame) -> DataFrame:
     """doc_id and its fields: told by the name rows, else by the other rows, else by the file name.
 
-    docs: doc_id and file_name (readable). Repeated rows count once. A document that tells
-    nothing has nulls. Every step aggregates partially, no document's rows are collected.
+    docs: doc_id and file_name (readable). Of several rows of an attribute the last usable
+    one counts. Repeated rows don't matter. A document that tells nothing has nulls. One
+    shuffle with partial aggregation; no document's rows are collected.
     """
-    wanted = ["name", "pack_qty", "wells", *sorted({a for a, _ in SIZES.values()})]
-    stated = written(attributes.attribute_rows(rows, spec.where(F.col("attr_code").isin(wanted)), aliases, ["text", "integer", "quantity"]), "listing-rows")
-    names = stated.where("attr_code = 'name' and value_raw is not null").select("doc_id", F.col("row_ord").cast("bigint").alias("place"), F.col("value_raw").alias("text"))
-    files = docs.where("file_name is not null").select("doc_id", F.lit(1 << 40).alias("place"), consistent(F.col("file_name")).alias("text")).distinct()
-    told = read_listings(names.unionByName(files)).withColumn("own", F.col("place") < (1 << 40))
-    size, pack = F.col("own") & F.col("size").isNotNull(), F.col("own") & F.col("pack").isNotNull()
-    main = told.groupBy("doc_id").agg(
-        *(_first(f) for f in ("code", "brand", "kind", "variant")),
-        F.min(F.when(size, F.struct("place", "size")))["size"].alias("size_name"),
-        F.min(F.when(pack, F.struct("place", "pack")))["pack"].alias("pack_name"),
-        F.min(F.when(~F.col("own"), F.col("pack"))).alias("pack_file"),
-    )
-    counts = stated.where("attr_code in ('pack_qty', 'wells')").withColumn("n", wide.cast_integer(F.col("value_raw"))).where("n is not null")
-    packs = counts.groupBy("doc_id").agg(*(F.max(F.when(F.col("attr_code") == a, F.struct("row_ord", "n")))["n"].alias(a) for a in ("pack_qty", "wells")))
-    sizes = units.amounts(stated.where("value_type = 'quantity'")).join(stated.select("doc_id", "row_ord", "attr_code").where("attr_code not in ('name', 'pack_qty', 'wells')").distinct(), ["doc_id", "row_ord"])
-    milli = F.round(F.col("amount") * 1000).cast("bigint").alias("m")
-    sized = sizes.select("doc_id", "row_ord", "attr_code", milli).groupBy("doc_id").agg(*(F.max(F.when(F.col("attr_code") == a, F.struct("row_ord", "m")))["m"].alias(a) for a in sorted({a for a, _ in SIZES.values()})))
+    bases = sorted(dict(SIZES.values()))
+    told = read_rows(rows, spec, aliases).unionByName(read_files(docs), allowMissingColumns=True)
+    main = told.groupBy("doc_id").agg(*(_first(f) for f in (*FIELDS, "wells", *bases)))
     of_kind = F.coalesce(*(F.when(F.col("kind") == k, F.col(a)) for k, (a, _) in SIZES.items()))
-    joined = main.join(packs, "doc_id", "left").join(sized, "doc_id", "left")
-    return joined.select("doc_id", "code", "brand", "kind", "variant", F.coalesce("size_name", of_kind).alias("size"), F.coalesce("pack_name", "pack_qty", F.when(F.col("kind") == "elisa", F.col("wells")), "pack_file").alias("pack"))
+    wells = F.when(F.col("kind") == "elisa", F.col("wells"))
+    return main.select("doc_id", "code", "brand", "kind", "variant", F.coalesce("size", of_kind).alias("size"), F.coalesce("pack", wells).alias("pack"))
 
 
 def sorted_neighbours(classes: DataFrame, key: Column, window: int = WINDOW) -> DataFrame:
