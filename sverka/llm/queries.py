@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sverka.llm import confusables, listings, mojibake, neighbours, tokens
-from sverka.session import table
+from sverka.llm import confusables, grades, listings, mixture, mojibake, neighbours, tokens
+from sverka.session import table, written
 
 SQL: dict[str, str] = {}
 
@@ -39,7 +39,7 @@ def _p5_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that differ from their consistent form, with it."""
-    return confusables.consistent_fields(_p5_fields(spark, sf_dir)).where("form <> text")
+    return confusables.consistent_fields(_p5_fields(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,25 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, sf_dir, "documents"))
 
+def _p9_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("source is not null and text <> ''")
+    return written(tokens.count_tokens(docs, ["doc_id", "source"]), "sizes")
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p6_products": p6_products, "p8_ids": p8_ids}
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture and how often each is repeated."""
+    return mixture.mix(_p9_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    sizes, targets = _p9_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixture.shares(mixture.mix(sizes, targets), sizes, targets)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade of every document of at least 40 words."""
+    return grades.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_ratings")).select("doc_id", "grade")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_forms": p5_forms, "p5_groups": p5_groups, "p6_found": p6_found, "p6_products": p6_products, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
