@@ -69,8 +69,8 @@ def decode_entities(col: Column) -> Column:
 def repair_latin1(col: Column) -> Column:
     """UTF-8 read as Latin-1, repaired where the result is Cyrillic; other texts stay."""
     fits = col.rlike("^[\\x00-\\xFF]*$") & col.rlike("[ÐÑÒÓÖ×ØÙÚÛÜÝÞßà-ÿ]")
-    back = F.decode(F.encode(F.when(fits, col), "ISO-8859-1"), "UTF-8")
-    return F.when(fits & back.rlike("[\\u0400-\\u04FF]") & ~back.contains("�"), back).otherwise(col)
+    back = F.try_validate_utf8(F.encode(F.when(fits, col), "ISO-8859-1").cast("string"))
+    return F.when(fits & back.rlike("[\\u0400-\\u04FF]"), back).otherwise(col)
 
 
 def safe_extension(col: Column) -> Column:

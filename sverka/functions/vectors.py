@@ -99,8 +99,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, group: str | None =
                             rows = np.repeat(np.arange(len(q)), order.shape[1])
                             got = s[rows, order.ravel()]
                             keep = got >= least if least is not None else np.ones(len(got), bool)
-                            cols = [q[rows][keep], *([np.full(keep.sum(), label, object)] if group else []), ids[at][order.ravel()][keep], got[keep]]
-                            yield pa.RecordBatch.from_arrays([pa.array(c.tolist() if c.dtype == object else c) for c in cols], names=names)
+                            named = [pa.array([label] * int(keep.sum()), batch.schema.field(2).type)] if group else []
+                            yield pa.RecordBatch.from_arrays([pa.array(q[rows][keep]), *named, pa.array(ids[at][order.ravel()][keep]), pa.array(got[keep])], names=names)
 
     flat = vectors.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), *([group] if group else [])).where("v is not null")
     found = flat.mapInArrow(run, f"query bigint{kind}, id bigint, similarity double")
