@@ -108,6 +108,8 @@ def split_packed(text: str | None) -> list[str]:
         elif token == "+":
             spaced = text[k - 1 : k].isspace() and text[at : at + 1].isspace()
             end() if spaced else held.append(token)
+        else:
+            held.append(token)
     end()
     return [item for raw in items if (item := _bare(raw))]
 
