@@ -148,7 +148,8 @@ def grade(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
     words = word_table(df, key, text, least_words).join(rated_levels(ratings, key, low, high), key, "left")
     table = written(words, "words")
     sums, model = word_sums(table.where("m is not null"), None, low, levels), None
-    for _ in range(rounds - 1):
+    told = bool(sums.any())
+    for _ in range(rounds - 1 if told else 0):
         model = spark.sparkContext.broadcast(step_difficulties(sums))
         sums = word_sums(table, model, low, levels)
     last = spark.sparkContext.broadcast(step_difficulties(sums))
@@ -161,7 +162,7 @@ def grade(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
             rated = given.sum(1) > 0
             share[rated] = (share[rated] + given[rated]) / 2
             level = share @ np.arange(low, high + 1)
-            best = share.argmax(1) + low if sums.any() else np.full(len(share), (low + high) // 2)
+            best = share.argmax(1) + low if told else np.full(len(share), (low + high) // 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.astype(np.int32)), pa.array(level)], names=[key, "grade", "level"])
 
     return table.mapInArrow(run, f"`{key}` {kind}, grade int, level double")
