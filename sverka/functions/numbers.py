@@ -43,37 +43,47 @@ def value_range(col: Column) -> Column:
     In order: both bounds, a span a-b, an upper bound, a lower bound. Bounds in the wrong
     order are swapped, strict ones count as inclusive.
     """
-    s = squeezed(col)
-    pair = F.coalesce(*(F.when(_got(s, p).isNotNull(), F.struct(F.least(_got(s, p), _got(s, p, 2)).alias("min"), F.greatest(_got(s, p), _got(s, p, 2)).alias("max"))) for p in (BOTH_UP, BOTH_DOWN, SPAN)))
-    high, low = F.coalesce(*(_got(s, p) for p in AT_MOST)), F.coalesce(*(_got(s, p) for p in AT_LEAST))
     inf = F.lit(float("inf"))
-    return F.coalesce(
-        pair,
-        F.when(high.isNotNull(), F.struct((-inf).alias("min"), high.alias("max"))),
-        F.when(low.isNotNull(), F.struct(low.alias("min"), inf.alias("max"))),
-    )
+
+    def both(s: Column, p: str) -> Column:
+        ends = F.struct(_got(s, p).alias("a"), _got(s, p, 2).alias("b"))
+        return X.bound(ends, lambda m: F.when(m["a"].isNotNull(), F.struct(F.least(m["a"], m["b"]).alias("min"), F.greatest(m["a"], m["b"]).alias("max"))))
+
+    def found(s: Column) -> Column:
+        high = X.bound(F.coalesce(*(_got(s, p) for p in AT_MOST)), lambda x: F.when(x.isNotNull(), F.struct((-inf).alias("min"), x.alias("max"))))
+        low = X.bound(F.coalesce(*(_got(s, p) for p in AT_LEAST)), lambda x: F.when(x.isNotNull(), F.struct(x.alias("min"), inf.alias("max"))))
+        return F.when(s.rlike("[0-9]"), F.coalesce(*(both(s, p) for p in (BOTH_UP, BOTH_DOWN, SPAN)), high, low))
+
+    return X.bound(squeezed(col), found)
 
 
 def features(col: Column) -> Column:
-    """All that a comparison needs of a value; computed once per row, before any join."""
-    norm, toks = X.norm_simple(col), X.tokens(col)
+    """All that a comparison needs of a value, as plain fields; computed once per row, before any join.
+
+    low and high are the ends of its range (null without one), first, most and least those
+    of its numbers (null without one).
+    """
     letters = F.length(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), "[^a-zа-яё]", ""))
     digits = F.length(F.regexp_replace(F.coalesce(col, F.lit("")), "[^0-9]", ""))
-    return F.struct(
-        value_range(col).alias("range"),
-        numbers(col).alias("nums"),
-        (digits > 0).alias("digits"),
-        ((F.size(toks) >= 8) & (letters >= 20) & (digits > 0) & (letters >= digits * 3)).alias("textual"),
-        norm.alias("norm"),
-        F.array_distinct(toks).alias("tokens"),
-        F.array_compact(F.array(*(F.when(norm.contains(w), F.lit(w)) for w in BLOOD_LEXEMES))).alias("blood"),
-    )
-
 
-def within(nums: Column, r: Column) -> Column:
-    """Whether numbers keep a range: an open range is held by the largest number, a closed one by all."""
-    most, least, inf = F.array_max(nums), F.array_min(nums), float("inf")
-    return F.when(r["max"] == inf, most >= r["min"]).when(r["min"] == -inf, most <= r["max"]).otherwise((least >= r["min"]) & (most <= r["max"]))
+    def of(m: Column) -> Column:
+        norm = m["norm"]
+        toks = F.filter(F.split(norm, "[^a-z0-9а-яё]+"), lambda t: t != "")
+        return F.struct(
+            m["range"]["min"].alias("low"),
+            m["range"]["max"].alias("high"),
+            F.get(m["nums"], 0).alias("first"),
+            F.array_max(m["nums"]).alias("most"),
+            F.array_min(m["nums"]).alias("least"),
+            (digits > 0).alias("digits"),
+            ((F.size(toks) >= 8) & (letters >= 20) & (digits > 0) & (letters >= digits * 3)).alias("textual"),
+            norm.alias("norm"),
+            (F.length(norm) >= 80).alias("long"),
+            F.array_distinct(toks).alias("tokens"),
+            F.array_compact(F.array(*(F.when(norm.contains(w), F.lit(w)) for w in BLOOD_LEXEMES))).alias("blood"),
+        )
+
+    return X.bound(F.struct(X.norm_simple(col).alias("norm"), numbers(col).alias("nums"), value_range(col).alias("range")), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -81,51 +91,68 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
 
 
-def text_match(q: Column, l: Column) -> Column:  # noqa: E741
-    """struct(match, reason) of two texts without comparable numbers."""
-    share = jaccard(q["tokens"], l["tokens"])
-    least = F.when((F.length(q["norm"]) >= 80) & (F.length(l["norm"]) >= 80), 0.12).otherwise(0.85)
-    return (
-        F.when((q["norm"] == "") | (l["norm"] == ""), _said(False, "empty values"))
-        .when(q["norm"] == l["norm"], _said(True, "exact text match"))
-        .when((F.size(q["tokens"]) == 0) | (F.size(l["tokens"]) == 0), _said(False, "no tokens"))
-        .when(F.arrays_overlap(q["blood"], l["blood"]), _said(True, "biological material overlap"))
-        .when(share >= least, _said(True, "token overlap"))
-        .otherwise(_said(False, "low token overlap"))
-    )
+#: Outcomes of a comparison; the first ones are matches.
+REASONS = [
+    "query range inside library range", "query within library range", "library within query range", "numbers within tolerance", "exact text match", "biological material overlap", "token overlap",
+    "query range outside library range", "query outside library range", "library outside query range", "numbers differ", "digits mismatch", "no numeric/range match", "empty values", "no tokens", "low token overlap",
+]
+MATCHES = 7
+_CODE = {r: k for k, r in enumerate(REASONS)}
+
 
+def _either(ok: Column, yes: str, no: str) -> Column:
+    return F.when(ok, _CODE[yes]).otherwise(_CODE[no])
 
-def _said(match: bool, reason: str) -> Column:
-    return F.struct(F.lit(match).alias("match"), F.lit(reason).alias("reason"))
 
+def _within(n: Column, r: Column) -> Column:
+    """Whether the numbers of n keep the range of r: an open range is held by the largest, a closed one by all."""
+    inf = float("inf")
+    return F.when(r["high"] == inf, n["most"] >= r["low"]).when(r["low"] == -inf, n["most"] <= r["high"]).otherwise((n["least"] >= r["low"]) & (n["most"] <= r["high"]))
 
-def _either(ok: Column, yes: str, no: str) -> Column:
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("match"), F.when(ok, yes).otherwise(no).alias("reason"))
+
+def text_code(q: Column, l: Column) -> Column:  # noqa: E741
+    """Outcome of two texts without comparable numbers."""
+    shared = F.size(F.array_intersect(q["tokens"], l["tokens"]))
+    share = shared / (F.size(q["tokens"]) + F.size(l["tokens"]) - shared)  # the tokens are sets
+    return (
+        F.when((q["norm"] == "") | (l["norm"] == ""), _CODE["empty values"])
+        .when(q["norm"] == l["norm"], _CODE["exact text match"])
+        .when((F.size(q["tokens"]) == 0) | (F.size(l["tokens"]) == 0), _CODE["no tokens"])
+        .when(F.arrays_overlap(q["blood"], l["blood"]), _CODE["biological material overlap"])
+        .otherwise(_either(share >= F.when(q["long"] & l["long"], 0.12).otherwise(0.85), "token overlap", "low token overlap"))
+    )
 
 
-def values_match(q: Column, l: Column, relative: float = 0.1, absolute: float = 0.0) -> Column:  # noqa: E741
-    """struct(match, reason) of a query's and a library value's features, by the first rule that applies.
+def match_code(q: Column, l: Column, relative: float = 0.1, absolute: float = 0.0) -> Column:  # noqa: E741
+    """Place in REASONS of the comparison of a query's and a library value's features, by the first rule that applies.
 
-    The tolerance is relative to the library's number.
+    The tolerance is relative to the library's number. Kept small: a method over the JIT
+    compiler's limit would be interpreted for every pair.
     """
-    has_q, has_l = F.size(q["nums"]) > 0, F.size(l["nums"]) > 0
-    qr, lr = q["range"].isNotNull(), l["range"].isNotNull()
-    inside = (q["range"]["min"] >= l["range"]["min"]) & (q["range"]["max"] <= l["range"]["max"])
-    a, b = F.get(q["nums"], 0), F.get(l["nums"], 0)
-    gap = F.abs(a - b)
-    near = (gap <= absolute) | (F.when(b != 0, gap / F.abs(b)).otherwise(gap) <= relative)
+    has_q, has_l, qr, lr = q["first"].isNotNull(), l["first"].isNotNull(), q["low"].isNotNull(), l["low"].isNotNull()
+    gap = F.abs(q["first"] - l["first"])
+    near = (gap <= absolute) | (gap / F.when(l["first"] != 0, F.abs(l["first"])).otherwise(1.0) <= relative)
     return (
-        F.when(qr & lr, _either(inside, "query range inside library range", "query range outside library range"))
-        .when(lr & has_q, _either(within(q["nums"], l["range"]), "query within library range", "query outside library range"))
-        .when(qr & has_l, _either(within(l["nums"], q["range"]), "library within query range", "library outside query range"))
-        .when(q["textual"] & l["textual"], text_match(q, l))
+        F.when(~q["digits"] & ~l["digits"] & ~qr & ~lr, text_code(q, l))
+        .when(qr & lr, _either((q["low"] >= l["low"]) & (q["high"] <= l["high"]), "query range inside library range", "query range outside library range"))
+        .when(lr & has_q, _either(_within(q, l), "query within library range", "query outside library range"))
+        .when(qr & has_l, _either(_within(l, q), "library within query range", "library outside query range"))
+        .when(q["textual"] & l["textual"], text_code(q, l))
         .when(has_q & has_l, _either(near, "numbers within tolerance", "numbers differ"))
-        .when(q["digits"] != l["digits"], _said(False, "digits mismatch"))
-        .when(q["digits"] & l["digits"], _said(False, "no numeric/range match"))
-        .otherwise(text_match(q, l))
+        .otherwise(_either(q["digits"] != l["digits"], "digits mismatch", "no numeric/range match"))
     )
 
 
+def matches(q: Column, l: Column, relative: float = 0.1, absolute: float = 0.0) -> Column:  # noqa: E741
+    return match_code(q, l, relative, absolute) < MATCHES
+
+
+def values_match(q: Column, l: Column, relative: float = 0.1, absolute: float = 0.0) -> Column:  # noqa: E741
+    """struct(match, reason) of a comparison."""
+    said = F.array(*map(F.lit, REASONS))
+    return X.bound(match_code(q, l, relative, absolute), lambda c: F.struct((c < MATCHES).alias("match"), F.get(said, c).alias("reason")))
+
+
 def has_percent(norm: Column) -> Column:
     return norm.rlike(X.java("%|процент|{b}percent{b}"))
 

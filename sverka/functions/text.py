@@ -19,6 +19,11 @@ def replaced(col: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(col, F.lit(java(pattern)), F.lit(by))
 
 
+def bound(col: Column, f) -> Column:
+    """f of a column that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(col), f), 0)
+
+
 def trimmed(col: Column) -> Column:
     """Without outer white space of any kind."""
     return replaced(col, "^{ws}+|{ws}+$", "")

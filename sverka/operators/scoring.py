@@ -41,7 +41,7 @@ def matched_rows(queries: DataFrame, library: DataFrame, gate: DataFrame | None
         pairs = a.join(b, "k")
     long = (F.col("k") == "composition") & (F.length(F.col("qf.norm")) >= 80) & (F.length(F.col("lf.norm")) >= 80)
     units = N.unit_tokens_match(F.col("qf.norm"), F.col("lf.norm"))
-    ok = units & (N.values_match(F.col("qf"), F.col("lf"))["match"] | long)
+    ok = units & (N.matches(F.col("qf"), F.col("lf")) | long)
     return pairs.where(ok).select("query_id", "doc_id", F.col("q_ord").alias("row_ord"), F.col("q_indicator").alias("indicator")).distinct()
 
 
@@ -75,6 +75,7 @@ def property_scores(rows: DataFrame) -> DataFrame:
     weight = F.lit(0)
     for name, w in L.WEIGHTS.items():
         weight = F.when(F.col("category") == name, w).otherwise(weight)
-    have = rows.select("doc_id", L.category(X.norm_simple(F.col("indicator"))).alias("category"), (F.size(N.numbers(F.col("value_raw"))) > 0).alias("told")).where("category <> 'other'")
+    category = X.bound(X.norm_simple(F.col("indicator")), L.category)
+    have = rows.select("doc_id", category.alias("category"), F.coalesce("value_raw", F.lit("")).rlike("[0-9]").alias("told")).where("category <> 'other'")
     met = have.groupBy("doc_id", "category").agg(F.bool_or("told").alias("told")).withColumn("w", weight)
     return met.groupBy("doc_id").agg(F.sum("w").alias("possible"), F.sum(F.when(F.col("told"), F.col("w")).otherwise(0)).alias("stated"))

@@ -489,16 +489,16 @@ def _melted(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), rows).select("id", "brand", "r.ord", "r.ind", N.features(F.col("r.v")).alias("f"))
 
 
-def _compared(spark, d):
-    """Every part whose key is divisible by 20 against all others of its brand, row by row."""
+def _pairs(spark, d):
+    """Rows of every part whose key is divisible by 20 beside the same rows of all others of its brand."""
     m = _melted(spark, d)
     q = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), "brand", "ord", "ind", F.col("f").alias("q"))
     l = m.where("id % 20 <> 0").select(F.col("id").alias("doc_id"), "brand", "ind", F.col("f").alias("l"))  # noqa: E741
-    return q.join(l, ["brand", "ind"]).select("query_id", "doc_id", "ord", "ind", N.values_match(F.col("q"), F.col("l")).alias("m"))
+    return q.join(l, ["brand", "ind"])
 
 
 def _best(spark, d):
-    points = _compared(spark, d).where("m.match").groupBy("query_id", "doc_id").agg(F.count("*").alias("points")).withColumn("total", F.lit(4))
+    points = _pairs(spark, d).where(N.matches(F.col("q"), F.col("l"))).groupBy("query_id", "doc_id").agg(F.count("*").alias("points")).withColumn("total", F.lit(4))
     return scoring.ranked(points, 1, [F.desc("points"), F.col("doc_id")])
 
 
@@ -512,7 +512,8 @@ def kv_score_parts(spark, d):
 def explain_rows_parts(spark, d):
     """Row by row, why the best part matches."""
     best = _best(spark, d).select("query_id", "doc_id")
-    return _compared(spark, d).join(best, ["query_id", "doc_id"]).select("query_id", "doc_id", "ord", F.col("ind").alias("indicator"), "m.match", "m.reason")
+    told = _pairs(spark, d).join(best, ["query_id", "doc_id"]).withColumn("m", N.values_match(F.col("q"), F.col("l")))
+    return told.select("query_id", "doc_id", "ord", F.col("ind").alias("indicator"), "m.match", "m.reason")
 
 
 _WEIGH = "CASE " + " ".join(f"WHEN c = '{n}' THEN {w}" for n, w in L.WEIGHTS.items()) + " END"
