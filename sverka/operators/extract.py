@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sverka.functions import text as X
 from sverka.functions.numbers import as_double
 from sverka.operators import rows as R
+from sverka.operators.order import next_rows, numbered, running_last
 
 _NG = "(нг/?{ws}*мл|ng/?{ws}*ml)?"
 # Patterns over lower-case text, and the indicator each one tells.
@@ -94,32 +95,30 @@ def doc_lines(rows: DataFrame) -> DataFrame:
 
 def label_next_line(lines: DataFrame) -> DataFrame:
     """A line that is one of a few labels, with the line after it as its value."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    after = lines.withColumn("value_raw", F.lead("line").over(w))
-    return after.where(X.norm_simple(F.col("line")).isin(LABELS) & F.col("value_raw").isNotNull()).select("doc_id", "pos", F.col("line").alias("indicator"), "value_raw")
+    pairs = next_rows(lines.where(F.col("doc_id").isNotNull()), "doc_id", "pos")
+    return pairs.where(X.norm_simple(F.col("a.line")).isin(LABELS)).select("a.doc_id", "a.pos", F.col("a.line").alias("indicator"), F.col("b.line").alias("value_raw"))
 
 
 def names_ahead(lines: DataFrame, ahead: int = 19) -> DataFrame:
     """Lines after one that heads the product name, up to the first stop word or `ahead` lines, that can be a name.
 
-    One window over each document in order instead of a self-join: the last head and the
+    Running values in the order of the lines instead of a self-join: the last head and the
     last stop before a line tell whether it is still under a head.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
     low = F.lower("line")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    here = lines.withColumn("n", F.row_number().over(w)).withColumn("head", low.rlike(X.java("наименование{ws}+товар"))).withColumn("stop", low.rlike(NAME_STOP))
-    marked = here.withColumn("h", F.max(F.when(F.col("head"), F.col("n"))).over(before)).withColumn("s", F.max(F.when(F.col("stop"), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where((F.col("n") - F.col("h") <= ahead) & (F.coalesce("s", F.lit(0)) <= F.col("h")) & (F.length("line") >= 6)).select("doc_id", "pos", F.col("line").alias("value_raw"))
+    placed = numbered(lines.select("doc_id", "pos", "line", low.rlike(X.java("наименование{ws}+товар")).alias("head"), low.rlike(NAME_STOP).alias("stop")), "doc_id", "pos")
+    marked = running_last(placed, "doc_id", F.when(F.col("head"), F.col("n")), "h")
+    marked = running_last(marked, "doc_id", F.when(F.col("stop"), F.col("n")), "s", current=True)
+    under = (F.col("n") - F.col("h") <= ahead) & (F.coalesce("s", F.lit(-1)) <= F.col("h")) & (F.length("line") >= 6)
+    return marked.where(under).select("doc_id", "pos", F.col("line").alias("value_raw"))
 
 
 def carry_forward(cells: DataFrame) -> DataFrame:
     """doc_id, pos, indicator, value_raw: a row without a value takes the indicator of the last row that had one."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     full = F.length(F.coalesce("value", F.lit(""))) >= 2
-    last = F.last(F.when(full, F.col("first")), ignorenulls=True).over(w)
-    alone = ~full & last.isNotNull()
-    return cells.select("doc_id", "pos", F.when(alone, last).otherwise(F.col("first")).alias("indicator"), F.when(alone, F.concat_ws(" \n ", F.col("first"), F.nullif("value", F.lit("")))).otherwise(F.col("value")).alias("value_raw"))
+    held = running_last(numbered(cells.select("doc_id", "pos", "first", "value"), "doc_id", "pos"), "doc_id", F.when(full, F.col("first")), "last")
+    alone = ~full & F.col("last").isNotNull()
+    return held.select("doc_id", "pos", F.when(alone, F.col("last")).otherwise(F.col("first")).alias("indicator"), F.when(alone, F.concat_ws(" \n ", F.col("first"), F.nullif("value", F.lit("")))).otherwise(F.col("value")).alias("value_raw"))
 
 
 def union_first(parts: list[DataFrame], key: str = "doc_id") -> DataFrame:

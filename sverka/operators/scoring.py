@@ -66,8 +66,10 @@ def decided(scored: DataFrame, least_percent: float = 30.0, least_points: int =
 
 
 def narrowed(df: DataFrame, flag: str, key: str = "query_id") -> DataFrame:
-    """Of each key the rows with the flag if it has any, else all: a window instead of a second pass."""
-    return df.withColumn("_any", F.max(F.col(flag)).over(Window.partitionBy(key))).where(F.col(flag) == F.col("_any")).drop("_any")
+    """Of each key the rows with the flag if it has any, else all; a partial aggregation tells which, not a window over the key."""
+    met = df.where(F.col(flag)).select(key).distinct()
+    with_any = df.join(met.withColumn("_any", F.lit(True)), key, "left")
+    return with_any.where(F.col(flag) | F.col("_any").isNull()).drop("_any")
 
 
 def property_scores(rows: DataFrame) -> DataFrame:

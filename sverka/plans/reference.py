@@ -14,6 +14,7 @@ from sverka.functions import vectors as V
 from sverka.functions.regexes import quoted, re2
 from sverka.operators import extract, library, scoring
 from sverka.operators import rows as R
+from sverka.operators.order import next_rows
 from sverka.plans import oracle as D
 from sverka.session import table
 
@@ -144,9 +145,9 @@ def ranges_rows(spark, d):
   r AS (SELECT doc_id, row_ord, {D.match_reason("q", "l")} AS r FROM f) SELECT doc_id, row_ord, r[1] = '1' AS match, substr(r, 3) AS reason FROM r""")
 def values_match_rows(spark, d):
     """Each value against the next one of its indicator."""
-    w = Window.partitionBy("indicator").orderBy("doc_id", "row_ord")
-    rows = table(spark, d, "library_rows").select("doc_id", "row_ord", "indicator", "value_raw").distinct()
-    pairs = rows.withColumn("lv", F.lead("value_raw").over(w)).where("lv is not null").select("doc_id", "row_ord", N.features(F.col("value_raw")).alias("q"), N.features(F.col("lv")).alias("l"))
+    rows = table(spark, d, "library_rows").select("doc_id", "row_ord", "indicator", F.col("value_raw").alias("v")).distinct()
+    both = next_rows(rows, "indicator", "doc_id", "row_ord").where("b.v is not null")
+    pairs = both.select("a.doc_id", "a.row_ord", N.features(F.col("a.v")).alias("q"), N.features(F.col("b.v")).alias("l"))
     return pairs.select("doc_id", "row_ord", N.values_match(F.col("q"), F.col("l")).alias("m")).select("doc_id", "row_ord", "m.match", "m.reason")
 
 
@@ -154,9 +155,9 @@ def values_match_rows(spark, d):
   t AS (SELECT doc_id, chunk_ord, list_distinct({D.tokens("text")}) AS a, list_distinct({D.tokens("after")}) AS b FROM c WHERE after IS NOT NULL)
   SELECT doc_id, chunk_ord, round({D.jaccard("a", "b")}, 6) AS share FROM t""")
 def jaccard_chunks(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("chunk_ord")
-    chunks = table(spark, d, "library_chunks").select("doc_id", "chunk_ord", "text").distinct().withColumn("after", F.lead("text").over(w)).where("after is not null")
-    sets = chunks.select("doc_id", "chunk_ord", F.array_distinct(X.tokens(F.col("text"))).alias("a"), F.array_distinct(X.tokens(F.col("after"))).alias("b"))
+    chunks = table(spark, d, "library_chunks").select("doc_id", "chunk_ord", "text").distinct()
+    both = next_rows(chunks, "doc_id", "chunk_ord").where("b.text is not null")
+    sets = both.select("a.doc_id", "a.chunk_ord", F.array_distinct(X.tokens(F.col("a.text"))).alias("a"), F.array_distinct(X.tokens(F.col("b.text"))).alias("b"))
     return sets.select("doc_id", "chunk_ord", F.round(N.jaccard(F.col("a"), F.col("b")), 6).alias("share"))
 
 
