@@ -14,11 +14,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sverka.functions.forms import consistent_text
 from sverka.operators import attributes, units
+from sverka.operators.order import sorted_neighbours
 from sverka.session import checkpoint, written
 
 # Words of each kind of product, the one used in English file names last.
@@ -229,25 +230,6 @@ def listing_fields(docs: DataFrame, rows: DataFrame, spec: DataFrame, aliases: D
     return main.select("doc_id", "code", "brand", "kind", "variant", F.coalesce("size", of_kind).alias("size"), F.coalesce("pack", wells).alias("pack"))
 
 
-def sorted_neighbours(classes: DataFrame, key: Column, window: int = WINDOW) -> DataFrame:
-    """Pairs (a, b) of rows at most window places apart in the order of a key, as structs.
-
-    The order is made by range partitions, so no group of equal keys goes to one task; the
-    first rows of each partition are copied to the one before, so no pair is lost between.
-    """
-    fields = classes.columns
-    spread = classes.withColumn("_key", key).repartitionByRange(F.col("_key"), F.col("class_id")).sortWithinPartitions("_key", "class_id")
-    placed = spread.withColumn("_id", F.monotonically_increasing_id())
-    block, offset = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    blocks = F.when((offset < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    copied = placed.withColumn("_home", block).withColumn("_block", F.explode(blocks))
-    order = Window.partitionBy("_block").orderBy("_id")
-    here = F.struct(*fields, "_home")
-    lags = F.array(*(F.lag(here, k).over(order) for k in range(1, window + 1)))
-    pairs = copied.withColumn("b", here).withColumn("_before", lags).select("_block", "b", F.explode("_before").alias("a"))
-    return pairs.where("a is not null and not (a._home > _block and b._home > _block)").select("a", "b")
-
-
 def aligned(a: str, b: str) -> Column:
     """Soft alignment of two listing classes from -1 to 1; null fields count neither way.
 
@@ -304,7 +286,7 @@ def group_listings(fields: DataFrame) -> DataFrame:
     links = None
     for order in PASSES:
         key = F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in order))
-        pairs = sorted_neighbours(classes, key).where(aligned("a", "b") >= LEAST).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"))
+        pairs = sorted_neighbours(classes, WINDOW, key, "class_id").where(aligned("a", "b") >= LEAST).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"))
         links = pairs if links is None else links.unionByName(pairs)
     clusters = correlation_clusters(classes.select("class_id"), links)
     return known.select("doc_id", "class_id").join(clusters, "class_id").select("doc_id", F.col("cluster").alias("product_id"))

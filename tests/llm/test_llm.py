@@ -152,14 +152,6 @@ def test_pivots_form_stars(spark):
     assert got[3] == 3 and got[4] == 4 and got[0] in (0, 1) and got[2] in (1, 2)
 
 
-def test_neighbours_cross_partitions(spark):
-    df = spark.range(200).selectExpr("id as class_id", "lpad(id, 4, '0') as k")
-    from pyspark.sql import functions as F
-
-    got = [(r["a"]["class_id"], r["b"]["class_id"]) for r in listings.sorted_neighbours(df, F.col("k"), 2).collect()]
-    assert sorted(got) == sorted((b - d, b) for b in range(200) for d in (1, 2) if b >= d)
-
-
 # ---- tokens ----------------------------------------------------------------------------
 
 
