@@ -12,11 +12,11 @@ from sverka.functions import numbers as N
 from sverka.functions import text as X
 from sverka.functions import vectors as V
 from sverka.functions.regexes import quoted, re2
-from sverka.operators import extract, library, scoring
+from sverka.operators import extract, gate, library, scoring
 from sverka.operators import rows as R
 from sverka.operators.order import next_rows
 from sverka.plans import oracle as D
-from sverka.session import table
+from sverka.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,6 +286,15 @@ def product_names_docs(spark, d):
     return R.product_names(_distinct_rows(spark, d))
 
 
+@query()
+def name_gate_docs(spark, d):
+    """Every document whose number is divisible by 20 against all others, by names, codes and markers."""
+    keys = written(gate.gate_keys(_distinct_rows(spark, d)), "gate-keys")
+    asked = table(spark, d, "library_docs").where("doc_ord % 20 = 0").select("doc_id").distinct()
+    told = gate.candidates(gate.name_gate(keys.join(asked, "doc_id", "left_semi"), keys))
+    return told.where("query_id <> doc_id")
+
+
 _CODE = quoted(re2("({b}[a-zа-яё]{1,8}[-_ ]?[a-zа-яё]?[0-9]{2,5}(?:[-_ ]?[0-9]{1,5})?{b})"))
 
 

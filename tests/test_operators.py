@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sverka.operators import extract, library, scoring
+from sverka.operators import extract, gate, library, models, scoring
 from sverka.operators import rows as R
 from sverka.sources import files
 from sverka.streaming import ingest
@@ -196,3 +196,21 @@ def test_nothing_but_the_entry_imports_the_optional_part(part):
 
     for path in (Path(__file__).parents[1] / "sverka" / part).glob("*.py"):
         assert "sverka.llm" not in path.read_text()
+
+
+def test_name_gate(spark):
+    rows = [("q", 0, "Наименование товара", "Тест-полоски для анализа мочи H10"), ("a", 0, "Наименование товара", "тест полоски для анализа мочи Н10"), ("b", 0, "Наименование товара", "Полоски для анализа мочи"), ("c", 0, "Наименование товара", "Игла медицинская AB-1234"), ("q", 1, "Код", "AB-1234"), ("d", 0, "Прочее", "x")]
+    keys = gate.gate_keys(spark.createDataFrame(rows, ROWS))
+    gated = gate.name_gate(keys.where("doc_id = 'q'"), keys.where("doc_id <> 'q'"))
+    got = {r["doc_id"]: (r["by_name"], r["by_code"], r["contained"]) for r in gated.collect()}
+    assert got == {"a": (True, False, True), "b": (False, False, True), "c": (False, True, False)}
+    assert [r["doc_id"] for r in gate.candidates(gated).collect()] == ["c"]
+
+
+def test_models(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
+    assert [tuple(r) for r in models.embed_texts(df, "t", lambda: lambda texts: [[float(len(t))] for t in texts]).collect()] == [("a", [1.0])]
+    pairs = spark.createDataFrame([("q", "a", [("x", "1")], [("y", "2")])], "query_id string, doc_id string, query_rows array<struct<indicator string, value_raw string>>, library_rows array<struct<indicator string, value_raw string>>")
+    got = models.judge_pairs(pairs, lambda: lambda q, l: {"decision": "match", "confidence": float("inf"), "similarity": 3}).first()
+    assert (got["decision"], got["confidence"], got["similarity"]) == ("match", 0.0, 1.0)
+    assert models.judge_pairs(pairs, lambda: lambda q, l: None).first()["decision"] is None
