@@ -176,11 +176,15 @@ def number_value(col: Column) -> Column:
     """Double of a text that NUMBER matches."""
     plain = F.regexp_extract(col, r"^([\d ]+(?:[.,]\d+)?)", 1)
     plain = F.regexp_replace(F.regexp_replace(plain, " ", ""), ",", ".").try_cast("double")
-    power = F.regexp_extract(col, r"[·×xх*]\s*10\^?(\d+)", 1).try_cast("double")
+    power = F.regexp_extract(col, r"[·×xх*]\s*10\^?(\d{1,2})(?!\d)", 1).try_cast("double")
     powered = F.when(col.rlike(r"[·×xх*]\s*10\^?\d+"), plain * F.pow(F.lit(10.0), power)).otherwise(plain)
     return powered * F.when(col.contains("тыс"), 1e3).when(col.contains("млн"), 1e6).otherwise(1.0)
 
 
+#: Amounts from here on are taken as not told: their thousandths would leave a bigint.
+LARGEST = 1e14
+
+
 def amounts(rows: DataFrame) -> DataFrame:
     """Amount of each row in its base_unit.
 
@@ -188,7 +192,8 @@ def amounts(rows: DataFrame) -> DataFrame:
     Result: doc_id, row_ord, base_unit, amount double; only rows that state a number and a
     unit. The unit is the one after a number in value_raw, else the unit column's, else the
     one after the indicator's comma or bracket. Several numbers with units are summed;
-    numbers without a unit don't count beside them. Nulls state nothing.
+    numbers without a unit don't count beside them. Nulls state nothing, nor do amounts of
+    LARGEST or more.
     """
     key = ["doc_id", "row_ord", "base_unit"]
     base = rows.where(F.col("value_raw").rlike(r"\d")).select(
@@ -215,4 +220,4 @@ def amounts(rows: DataFrame) -> DataFrame:
     found = mentions.join(unit_dictionary(mentions), ["base_unit", "spelling"])
     found = found.withColumn("amount", (number_value(F.col("n")) + F.col("offset")) * F.col("factor"))
     best = found.groupBy(*key).agg(*(F.sum(F.when(F.col("place") == p, F.col("amount"))).alias(f"a{p}") for p in range(3)))
-    return best.select(*key, F.coalesce("a0", "a1", "a2").alias("amount")).where("amount is not null")
+    return best.select(*key, F.coalesce("a0", "a1", "a2").alias("amount")).where(F.abs("amount") < LARGEST)

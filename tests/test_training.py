@@ -98,3 +98,14 @@ def test_fuzzy_units():
     assert units.map_unit("мкл", "анализа") is None
     assert units.map_unit("мл", "нг/мл") is None
     assert units.edit_cost("минута", "минуты") == 0.5
+
+
+def test_extremes_dont_break(spark, spec):
+    values = ["9" * 400 + " мл", "1×10^999 мл", "1" * 25, "", None, "мл " * 50_000, "(" * 5000, '"' * 4999, "31.31.9999", "99999999"]
+    rows = [(d, o, i, v, u) for d in ("a", None) for o in (1, None) for i in [a for _, a in ALIASES] + [None, ""] for v in values for u in (None, "мл")]
+    table = spark.createDataFrame(rows, ROWS)
+    assert units.amounts(attributes.attribute_rows(table, *spec, ["quantity"]).distinct()).count() >= 0
+    stated = attributes.attribute_rows(table, *spec, ["integer", "decimal", "flag", "date", "code"])
+    columns = wide.discover(stated, spec[0])
+    assert wide.cells(wide.widen(stated, columns), columns).count() > 0
+    assert packed.unpack(attributes.attribute_rows(table, *spec, ["list"])).count() > 0
