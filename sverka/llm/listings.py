@@ -50,6 +50,8 @@ NOISE = """новинка премиум топ акция оригинал су
 определение с к по и от до не менее более копия итог исправленная спецификация технические характеристики товара тх тз поставку паспорт изделия описание
 коммерческое предложение list spec tech data offer price v2 v1 v doc docx pdf xls xlsx résumé technique ficha técnica ñ kühlkette données générales
 größentabelle übersicht prüfbericht набор тыс""".split()
+#: Larger counts and amounts (in thousandths) are taken as not told.
+LARGEST = 10**15
 _noise = frozenset(NOISE)
 _codes = [re.compile(rf"(?<![^\W_])([a-z]{{2}}){sep}(\d{{3,4}})(?![\d.,×·^])") for sep in ("-?", " ")]
 _pack = [re.compile(p) for p in (r"\(уп/(\d+)\)", r"\bуп\.? ?(\d[\d ]*\d|\d) ?шт", r"(?<![\w.,])(\d{1,3}(?: \d{3})+|\d+) ?(?:шт|штук|штука|ед|тестов)(?![^\W\d_])", r"(?<![^\W_])n ?(\d+)(?!\w|[.,]\d)")]
@@ -86,10 +88,22 @@ def brand_key(word: str) -> str:
 
 def _value(text: str) -> float:
     head = re.match(r"[\d ]+(?:[.,]\d+)?", text)[0]
-    power = re.search(r"[·×xх*]\s*10\^?(\d+)", text)
+    power = re.search(r"[·×xх*]\s*10\^?(\d{1,2})(?!\d)", text)
     return float(head.replace(" ", "").replace(",", ".")) * 10.0 ** int(power[1] if power else 0) * (1e3 if "тыс" in text else 1.0)
 
 
+def _count(text: str) -> int | None:
+    """A whole number; None for one that no column holds."""
+    n = int(text.replace(" ", "")) if len(text) < 20 else LARGEST
+    return n if n < LARGEST else None
+
+
+def _milli(text: str, unit: tuple[float, float]) -> int | None:
+    """Thousandths of a base unit; None for an amount that no column holds."""
+    x = (_value(text) + unit[1]) * unit[0] * 1000
+    return round(x) if abs(x) < LARGEST else None
+
+
 def _take_code(t: str, out: dict, form: int) -> str:
     """Moves an article code, joined or parted by a space, from the text into the fields."""
     if out["code"] is None and (m := _codes[form].search(t)):
@@ -109,7 +123,7 @@ def read_listing(text: str | None) -> dict:
         t = t[: m.start()] + " | " + t[m.end() :]
     t = _take_code(t, out, 0)
     if m := _joined_pack.search(t):
-        out["pack"] = int(m[1])
+        out["pack"] = _count(m[1])
         t = t[: m.start()] + " | " + t[m.end() :]
     if out["kind"]:
         base = SIZES[out["kind"]][1]
@@ -119,12 +133,12 @@ def read_listing(text: str | None) -> dict:
                 phrase = phrase.rpartition(" ")[0]
             unit = units.map_unit(base, phrase) if phrase else None
             if unit:
-                out["size"] = round((_value(m[0]) + unit[1]) * unit[0] * 1000)
+                out["size"] = _milli(m[0], unit)
                 t = t[: m.start()] + " | " + _unit_end.sub(" ", t[m.end() :].lstrip(), count=1)
                 break
     for p in _pack:
         if out["pack"] is None and (m := p.search(t)):
-            out["pack"] = int(m[1].replace(" ", ""))
+            out["pack"] = _count(m[1])
             t = t[: m.start()] + " | " + t[m.end() :]
     t = _take_code(t, out, 1)
     if m := _variants[out["kind"]].search(t):
@@ -142,13 +156,13 @@ def read_amount(base: str, value: str | None, unit: str | None, indicator: str |
     for m in _plain_number.finditer(text):
         first = first or m[0]
         if (found := units.map_unit(base, text[m.end() : m.end() + 60])) is not None:
-            return round((_value(m[0]) + found[1]) * found[0] * 1000)
+            return _milli(m[0], found)
     if first is None:
         return None
     tail = _indicator_tail.search(indicator or "")
     for name in ((unit or "").lower(), tail[1].lower() if tail else ""):
         if name and (found := units.map_unit(base, name)) is not None:
-            return round((_value(first) + found[1]) * found[0] * 1000)
+            return _milli(first, found)
     return None
 
 
@@ -187,7 +201,7 @@ def read_rows(rows: DataFrame, spec: DataFrame, aliases: DataFrame) -> DataFrame
                     read.append({code: read_amount(bases[code], value, unit, indicator)})
                 else:
                     m = _whole.search(value or "")
-                    read.append({"pack" if code == "pack_qty" else "wells": int(m[0].replace(" ", "")) if m else None})
+                    read.append({"pack" if code == "pack_qty" else "wells": _count(m[0]) if m else None})
                 place.append(order if code == "name" else _ROWS - order)
             out = pd.DataFrame(read, columns=names, dtype=object)
             out.insert(0, "place", place)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sverka.session import checkpoint, written
+from sverka.session import checkpoint
 
 #: Documents of a block of the flight.
 BLOCK = 4000
@@ -100,6 +100,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
     drawn in blocks, no group of it goes to one task.
     """
     spark = sizes.sparkSession
+    sizes = sizes.select("doc_id", "source", "n_tokens")
     rows = plan(sizes, targets, total)
     schema = "source string, whole int, part double"
     chosen = spark.createDataFrame([(r["source"], r["whole"], r["part"]) for r in rows], schema)

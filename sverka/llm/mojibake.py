@@ -123,6 +123,8 @@ class ChainModel:
 
     def clean_score(self, f: np.ndarray) -> float:
         """Mean log-likelihood of bigrams as the better of the two kinds of clean text."""
+        if len(f) > SPACE:  # a long text: by counts, so memory doesn't follow its length
+            return float((self.log[:2] @ np.bincount(f, minlength=SPACE)).max()) / len(f)
         return float(self.log[:2, f].mean(1).max()) if len(f) else 0.0
 
     def restore(self, text: str | None) -> str | None:
@@ -130,7 +132,7 @@ class ChainModel:
         if text is None or text.isascii() or "\ufffd" in text:
             return None
         f = features(text)
-        order = np.argsort(-self.log[:, f].sum(1), kind="stable")
+        order = np.argsort(-(self.log @ np.bincount(f, minlength=SPACE).astype(np.float32)), kind="stable")
         if order[0] < 2 and self._alphabet.issuperset(text):
             return None
         best = None

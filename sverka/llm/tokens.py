@@ -25,6 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: At most so many pieces are remembered by a worker; beyond that they are encoded again.
 REMEMBERED = 400_000
+#: Longer pieces than so many bytes aren't remembered.
+LONGEST_REMEMBERED = 100
 
 _pieces = regex.compile(PATTERN)
 # The same pattern for texts all of whose characters are ASCII, Cyrillic or a few marks, where re's classes agree with the properties.
@@ -79,7 +81,7 @@ class Vocabulary:
             r = self.rank.get(data)
             ids = [r] if r is not None and self.is_own(data) else PrefixTable(self, data).ids()
             known = np.array(ids, "<i4").tobytes()
-            if len(self._encoded) < REMEMBERED:
+            if len(self._encoded) < REMEMBERED and len(data) <= LONGEST_REMEMBERED:
                 self._encoded[piece] = known
         return known
 

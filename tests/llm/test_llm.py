@@ -104,6 +104,11 @@ def test_restore_table(spark):
     assert mojibake.restore(df.limit(0), "doc_id", ["f"]).count() == 0
 
 
+def test_long_texts_are_restored(model):
+    text = " ".join(CLEAN[:2] * 3000)
+    assert model.restore(mojibake._runs.sub(lambda m: mojibake.garble(m[0], (("utf-8", "cp1251"),)), text)) == text
+
+
 # ---- look-alikes -----------------------------------------------------------------------
 
 
@@ -152,6 +157,16 @@ def test_pivots_form_stars(spark):
     assert got[3] == 3 and got[4] == 4 and got[0] in (0, 1) and got[2] in (1, 2)
 
 
+def test_listings_of_extremes(spark):
+    texts = ["9" * 400 + " мл", "Контроль 1×10^999 мл уп. " + "9" * 30 + " шт", "", None, "Игла " * 20_000, "?" * 5000]
+    spec = spark.createDataFrame([("name", "text", None), ("pack_qty", "integer", None), ("vial_vol", "quantity", "мл")], "attr_code string, value_type string, base_unit string")
+    aliases = spark.createDataFrame([("name", "Наименование"), ("pack_qty", "Количество"), ("vial_vol", "Объем")], "attr_code string, alias string")
+    rows = [(d, o, i, t, None, "x") for d in ("a", None) for o in (1, None) for i in ("Наименование", "Количество", "Объем", None) for t in texts]
+    docs = spark.createDataFrame([("a", t, 1) for t in texts] + [(None, "x", 2)], "doc_id string, file_name string, class_id int")
+    fields = listings.listing_fields(docs, spark.createDataFrame(rows, "doc_id string, row_ord int, indicator string, value_raw string, unit string, kind string"), spec, aliases)
+    assert listings.product_pairs(listings.group_listings(fields)).count() == 0
+
+
 # ---- tokens ----------------------------------------------------------------------------
 
 
