@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sverka.functions import text as X
 from sverka.functions.numbers import as_double
 from sverka.operators import rows as R
-from sverka.operators.order import next_rows, numbered, running_last
+from sverka.operators.order import next_rows, numbered, running_last, sorted_neighbours
 
 _NG = "(нг/?{ws}*мл|ng/?{ws}*ml)?"
 # Patterns over lower-case text, and the indicator each one tells.
@@ -147,6 +147,48 @@ def word_table_rows(df: DataFrame, key: str, xml: str) -> DataFrame:
     return flat.withColumn("cells", cells).where(F.size("cells") > 0).select("doc_id", "pos", F.get("cells", 0).alias("first"), F.array_join(F.slice("cells", 2, 1000), " \n ").alias("value"))
 
 
+#: Tokens that say yes, and texts that are no indicator.
+YES = "^(?:наличие|есть|имеется|да)$"
+NO_INDICATOR = "инструкция|значение характеристики|участник закупки|наименование заказчика"
+
+
+def presence_pairs(tokens: DataFrame, back: int = 4) -> DataFrame:
+    """doc_id, pos, indicator, value_raw: a token that says yes with the nearest of the `back` tokens before it that can be its indicator.
+
+    tokens: doc_id, pos, line.
+    """
+    near = sorted_neighbours(tokens.select("doc_id", "pos", "line"), back, "doc_id", "pos").where("a.doc_id = b.doc_id")
+    yes = near.where(F.lower("b.line").rlike(YES) & ~F.lower("a.line").rlike(NO_INDICATOR))
+    fit = yes.select(F.col("b.doc_id").alias("doc_id"), F.col("b.pos").alias("pos"), F.col("b.line").alias("value_raw"), F.col("a.pos").alias("at"), F.col("a.line").alias("indicator"))
+    fit = fit.where(R.acceptable(F.col("indicator"), F.col("value_raw")))
+    return fit.groupBy("doc_id", "pos", "value_raw").agg(F.max_by("indicator", "at").alias("indicator")).select("doc_id", "pos", "indicator", "value_raw")
+
+
+def word_tokens(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """doc_id, pos, line: the text runs of word-processor markup in order."""
+    runs = F.transform(F.regexp_extract_all(F.col(xml), F.lit(r"(?is)<w:t(?: [^>]*)?>(.*?)</w:t>"), F.lit(1)), lambda t: X.decode_entities(X.trimmed(X.replaced(t, "{ws}+", " "))))
+    flat = df.select(F.col(key).alias("doc_id"), F.posexplode(runs).alias("pos", "line"))
+    return flat.where("line <> '' and line <> '\\\\'")
+
+
+def purposes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines that say what a product is meant for."""
+    flat = df.select(key, F.posexplode(X.lines(F.col(text))).alias("ord", "value_raw"))
+    low = F.lower("value_raw")
+    told = (F.length("value_raw") >= 20) & low.rlike("предназначен") & F.col("value_raw").rlike("анализатор|визуал|моч[аи]|тест|полоск|использован")
+    return flat.where(told & ~low.rlike("^(?:описани[ея]|наименование товара|колич|время|состав|хранить)")).select(key, F.lit("Назначение").alias("indicator"), "value_raw", "ord")
+
+
+def document_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, indicator, value_raw, producer, ord: all that a document's text tells, each pair once.
+
+    The producers in order: the line automaton, quantities in a pack, purposes, infection
+    markers, colour scales, sensitivities, needle gauges.
+    """
+    parts = [guess_rows(df, key, text), pack_quantities(df, key, text), purposes(df, key, text), infections(df, key, text).withColumn("ord", F.lit(0)), colour_scales(df, key, text), sensitivities(df, key, text), needle_gauges(df, key, text)]
+    return union_first(parts, key)
+
+
 def spec_blob(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, ord, indicator, value_raw of the parts between semicolons and line breaks: "label: value" or "label 40 units"."""
     parts = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "[;\n\r]+")).alias("ord", "raw")).withColumn("part", X.trimmed(F.col("raw")))

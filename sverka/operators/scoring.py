@@ -81,3 +81,20 @@ def property_scores(rows: DataFrame) -> DataFrame:
     have = rows.select("doc_id", category.alias("category"), F.coalesce("value_raw", F.lit("")).rlike("[0-9]").alias("told")).where("category <> 'other'")
     met = have.groupBy("doc_id", "category").agg(F.bool_or("told").alias("told")).withColumn("w", weight)
     return met.groupBy("doc_id").agg(F.sum("w").alias("possible"), F.sum(F.when(F.col("told"), F.col("w")).otherwise(0)).alias("stated"))
+
+
+def property_points(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """query_id, doc_id, points, possible: weight of the property categories in which a library row satisfies a query row.
+
+    queries: query_id, indicator, value_raw; library: doc_id and the same. Rows meet in
+    their category (an equi-join); sensitivities must agree in their unit.
+    """
+    weight = F.lit(0)
+    for name, w in L.WEIGHTS.items():
+        weight = F.when(F.col("category") == name, w).otherwise(weight)
+    told = lambda df, key: df.select(key, X.bound(X.norm_simple(F.col("indicator")), L.category).alias("category"), N.features(F.col("value_raw")).alias("f")).where("category <> 'other'")
+    q, l = told(queries, "query_id"), told(library, "doc_id")  # noqa: E741
+    pairs = q.join(l.withColumnRenamed("f", "g"), "category")
+    met = pairs.where(N.unit_tokens_match(F.col("f.norm"), F.col("g.norm")) & N.matches(F.col("f"), F.col("g"))).select("query_id", "doc_id", "category").distinct()
+    possible = q.select("query_id", "category").distinct().groupBy("query_id").agg(F.sum(weight).alias("possible"))
+    return met.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("points")).join(possible, "query_id")

@@ -401,9 +401,18 @@ def materials_docs(spark, d):
 @query(f"""SELECT doc_id, line FROM (SELECT doc_id, unnest({D.lines("text")}) AS line FROM documents) WHERE length(line) >= 20 AND regexp_matches(lower(line), 'предназначен')
   AND regexp_matches(line, 'анализатор|визуал|моч[аи]|тест|полоск|использован') AND NOT regexp_matches(lower(line), '^(?:описани[ея]|наименование товара|колич|время|состав|хранить)')""")
 def purpose_lines_docs(spark, d):
-    flat = table(spark, d, "documents").select("doc_id", F.explode(X.lines(F.col("text"))).alias("line"))
-    low = F.lower("line")
-    return flat.where((F.length("line") >= 20) & low.rlike("предназначен") & F.col("line").rlike("анализатор|визуал|моч[аи]|тест|полоск|использован") & ~low.rlike("^(?:описани[ея]|наименование товара|колич|время|состав|хранить)"))
+    return extract.purposes(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("value_raw").alias("line"))
+
+
+@query()
+def document_rows_docs(spark, d):
+    """All producers over every document."""
+    return extract.document_rows(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def presence_pairs_rows(spark, d):
+    return extract.presence_pairs(extract.doc_lines(_distinct_rows(spark, d)))
 
 
 _DESC = quoted(re2("(?:^|[\\t|;,\\n\\r ])описани[ея]{ws}*[:\\-]?{ws}*([^\\n\\r]{20,400})"))

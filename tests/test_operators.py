@@ -214,3 +214,21 @@ def test_models(spark):
     got = models.judge_pairs(pairs, lambda: lambda q, l: {"decision": "match", "confidence": float("inf"), "similarity": 3}).first()
     assert (got["decision"], got["confidence"], got["similarity"]) == ("match", 0.0, 1.0)
     assert models.judge_pairs(pairs, lambda: lambda q, l: None).first()["decision"] is None
+
+
+def test_presence(spark):
+    xml = "<w:t>Стерильность</w:t><w:t>инструкция</w:t><w:t xml:space='preserve'> да </w:t><w:tab/><w:t>есть</w:t>"
+    tokens = extract.word_tokens(spark.createDataFrame([("a", xml), ("b", None)], "doc_id string, xml string"), "doc_id", "xml")
+    assert [(r["indicator"], r["value_raw"]) for r in extract.presence_pairs(tokens).orderBy("pos").collect()] == [("Стерильность", "да"), ("Стерильность", "есть")]
+
+
+def test_document_rows(spark):
+    df = spark.createDataFrame([("a", "Игла 21G\nСрок: 12 мес\nСрок: 12 мес\nИзделие предназначено: тест предназначен для анализатора"), ("b", None)], "doc_id string, text string")
+    got = {(r["indicator"], r["value_raw"], r["producer"]) for r in extract.document_rows(df, "doc_id", "text").collect()}
+    assert ("Срок", "12 мес", 0) in got and ("Размер иглы, G", "21 G", 6) in got and any(i == "Назначение" for i, *_ in got)
+
+
+def test_property_points(spark):
+    q = spark.createDataFrame([("q", "Специфичность", "≥ 95 %"), ("q", "Чувствительность", "99 %"), ("q", "Цвет", "1")], "query_id string, indicator string, value_raw string")
+    lib = spark.createDataFrame([("a", "Диагностическая специфичность", "97%"), ("a", "Чувствительность", "99"), ("b", "Специфичность", "90 %")], "doc_id string, indicator string, value_raw string")
+    assert [tuple(r) for r in scoring.property_points(q, lib).collect()] == [("q", "a", 3, 6)]
