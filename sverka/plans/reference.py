@@ -305,23 +305,23 @@ def product_codes_docs(spark, d):
     return flat.groupBy("code").agg(F.count("*").alias("docs"))
 
 
-@query("SELECT doc_id, marker FROM (" + " UNION ".join(f"SELECT doc_id, '{m}' AS marker FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {quoted(re2(p))})" for m, p in R.MARKERS.items()) + ")")
-def disease_markers_docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(R.disease_markers(F.col("text"))).alias("marker"))
+_MARK = " UNION ".join(f"SELECT doc_id, '{m}' AS marker FROM library_rows WHERE regexp_matches(lower(coalesce(value_raw, '')), {quoted(re2(p))})" for m, p in R.MARKERS.items())
 
 
-_MARK = " UNION ".join(f"SELECT doc_id, '{m}' AS marker FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {quoted(re2(p))})" for m, p in R.MARKERS.items())
+@query(_MARK)
+def disease_markers_docs(spark, d):
+    return table(spark, d, "library_rows").select("doc_id", F.explode(R.disease_markers(F.col("value_raw"))).alias("marker")).distinct()
 
 
-@query(f"""WITH m AS ({_MARK}), s AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), src AS (SELECT DISTINCT source, marker FROM m JOIN documents USING (doc_id) WHERE source IS NOT NULL), c AS (SELECT source, count(*) AS size FROM src GROUP BY 1),
+@query(f"""WITH m AS ({_MARK}), s AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), src AS (SELECT DISTINCT source, marker FROM m JOIN (SELECT DISTINCT doc_id, substr(stored_path, 1, 20) AS source FROM library_docs WHERE stored_path IS NOT NULL) USING (doc_id)), c AS (SELECT source, count(*) AS size FROM src GROUP BY 1),
   h AS (SELECT m.doc_id, src.source, count(*) AS hits FROM m JOIN src USING (marker) GROUP BY 1, 2), r AS (SELECT doc_id, source, hits / n AS recall, hits / size AS precision, size - hits AS extra FROM h JOIN s USING (doc_id) JOIN c USING (source)),
   a AS (SELECT * FROM r QUALIFY recall = max(recall) OVER (PARTITION BY doc_id)), b AS (SELECT * FROM a QUALIFY precision = max(precision) OVER (PARTITION BY doc_id))
   SELECT doc_id, source, round(recall, 6) AS recall, round(precision, 6) AS precision, extra FROM b QUALIFY extra = min(extra) OVER (PARTITION BY doc_id)""")
 def marker_cascade(spark, d):
-    """The sources whose markers cover a document's best: by recall, then precision, then least extra."""
-    docs = table(spark, d, "documents")
-    m = docs.select("doc_id", "source", F.explode(R.disease_markers(F.col("text"))).alias("marker"))
-    src = m.where("source is not null").select("source", "marker").distinct()
+    """The folders whose markers cover a document's best: by recall, then precision, then least extra."""
+    m = disease_markers_docs(spark, d)
+    folders = table(spark, d, "library_docs").where("stored_path is not null").select("doc_id", F.substring("stored_path", 1, 20).alias("source")).distinct()
+    src = m.join(folders, "doc_id").select("source", "marker").distinct()
     size = src.groupBy("source").agg(F.count("*").alias("size"))
     n = m.groupBy("doc_id").agg(F.count("*").alias("n"))
     hits = m.select("doc_id", "marker").join(src, "marker").groupBy("doc_id", "source").agg(F.count("*").alias("hits")).join(n, "doc_id").join(size, "source")
@@ -348,11 +348,6 @@ def _all(text: str, pattern: str, group: int = 1) -> str:
     return f"regexp_extract_all(lower(coalesce({text}, '')), {quoted(re2(pattern))}, {group})"
 
 
-@query(f"SELECT DISTINCT doc_id, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw FROM (SELECT doc_id, unnest({_all('text', extract.PACK)})::INT AS n FROM documents) WHERE n > 0")
-def pack_quantities_docs(spark, d):
-    return extract.pack_quantities(table(spark, d, "documents"), "doc_id", "text").drop("ord")
-
-
 _JOINED = "SELECT DISTINCT doc_id || '/' || row_ord AS k, concat_ws(' ', indicator, value_raw) AS text FROM library_rows"
 
 
@@ -360,6 +355,11 @@ def _row_texts(spark, d):
     return _distinct_rows(spark, d).select(F.concat_ws("/", "doc_id", "row_ord").alias("k"), F.concat_ws(" ", "indicator", "value_raw").alias("text")).distinct()
 
 
+@query(f"SELECT DISTINCT k, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw FROM (SELECT k, unnest({_all('text', extract.PACK)})::INT AS n FROM ({_JOINED})) WHERE n > 0")
+def pack_quantities_rows(spark, d):
+    return extract.pack_quantities(_row_texts(spark, d), "k", "text").drop("ord")
+
+
 @query(f"SELECT DISTINCT k, 'Размер иглы, G' AS indicator, n || ' G' AS value_raw FROM (SELECT k, unnest({_all('text', extract.GAUGE)})::INT AS n FROM ({_JOINED})) WHERE n > 0")
 def needle_gauges_rows(spark, d):
     return extract.needle_gauges(_row_texts(spark, d), "k", "text").drop("ord")
@@ -383,9 +383,9 @@ def colour_scales_docs(spark, d):
 _NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), {quoted(re2(p))}) THEN '{m}' END" for m, p in extract.INFECTIONS) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"SELECT doc_id, array_to_string(m, '; ') AS value_raw FROM (SELECT doc_id, {_NAMED} AS m FROM documents) WHERE len(m) >= 2")
-def infections_docs(spark, d):
-    return extract.infections(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "value_raw")
+@query(f"SELECT k, array_to_string(m, '; ') AS value_raw FROM (SELECT k, {_NAMED} AS m FROM ({_JOINED})) WHERE len(m) >= 2")
+def infections_rows(spark, d):
+    return extract.infections(_row_texts(spark, d), "k", "text").select("k", "value_raw")
 
 
 _LOWROW = "lower(concat_ws(' ', coalesce(indicator, ''), coalesce(value_raw, '')))"
@@ -462,13 +462,13 @@ def spec_blob_chunks(spark, d):
     return extract.spec_blob(texts, "k", "text").groupBy("k", "indicator", "value_raw").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH g AS (SELECT DISTINCT doc_id, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw, 0 AS p FROM (SELECT doc_id, unnest({_all("text", extract.PACK)})::INT AS n FROM documents) WHERE n > 0
-  UNION ALL SELECT DISTINCT doc_id, 'Размер иглы, G', n || ' G', 1 FROM (SELECT doc_id, unnest({_all("text", extract.GAUGE)})::INT AS n FROM documents) WHERE n > 0
-  UNION ALL SELECT doc_id, 'Выявление маркеров инфекционных заболеваний', array_to_string(m, '; '), 2 FROM (SELECT doc_id, {_NAMED} AS m FROM documents) WHERE len(m) >= 2) SELECT doc_id, indicator, value_raw, min(p) AS producer FROM g GROUP BY ALL""")
-def union_first_docs(spark, d):
-    docs = table(spark, d, "documents")
-    parts = [extract.pack_quantities(docs, "doc_id", "text"), extract.needle_gauges(docs, "doc_id", "text"), extract.infections(docs, "doc_id", "text").withColumn("ord", F.lit(0))]
-    return extract.union_first(parts).drop("ord")
+@query(f"""WITH t AS ({_JOINED}), g AS (SELECT DISTINCT k, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw, 0 AS p FROM (SELECT k, unnest({_all("text", extract.PACK)})::INT AS n FROM t) WHERE n > 0
+  UNION ALL SELECT DISTINCT k, 'Размер иглы, G', n || ' G', 1 FROM (SELECT k, unnest({_all("text", extract.GAUGE)})::INT AS n FROM t) WHERE n > 0
+  UNION ALL SELECT k, 'Выявление маркеров инфекционных заболеваний', array_to_string(m, '; '), 2 FROM (SELECT k, {_NAMED} AS m FROM t) WHERE len(m) >= 2) SELECT k, indicator, value_raw, min(p) AS producer FROM g GROUP BY ALL""")
+def union_first_rows(spark, d):
+    texts = _row_texts(spark, d)
+    parts = [extract.pack_quantities(texts, "k", "text"), extract.needle_gauges(texts, "k", "text"), extract.infections(texts, "k", "text").withColumn("ord", F.lit(0))]
+    return extract.union_first(parts, "k").drop("ord")
 
 
 @query()
