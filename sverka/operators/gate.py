@@ -1,4 +1,8 @@
-"""Which library documents a query document is compared with at all: by names, codes and markers."""
+"""Which library documents a query document is compared with at all: by names and codes.
+
+Disease markers have a handful of values, so pairs that share one are a fixed part of all
+pairs; they are compared as classes (marker_cascade), not as pairs.
+"""
 
 from __future__ import annotations
 
@@ -11,15 +15,14 @@ from sverka.operators.scoring import narrowed
 
 
 def gate_keys(rows: DataFrame) -> DataFrame:
-    """doc_id, kind (name, code or marker), key: what a document can be found by, each once.
+    """doc_id, kind (name or code), key: what a document can be found by, each once.
 
     rows: doc_id, row_ord, indicator, value_raw.
     """
     names = R.product_names(rows).select("doc_id", F.lit("name").alias("kind"), F.col("name").alias("key"))
     text = F.concat_ws(" ", "indicator", "value_raw")
     codes = rows.select("doc_id", F.lit("code").alias("kind"), F.explode(R.product_codes(text)).alias("key"))
-    markers = rows.select("doc_id", F.lit("marker").alias("kind"), F.explode(R.disease_markers(text)).alias("key"))
-    return names.unionByName(codes).unionByName(markers).distinct()
+    return names.unionByName(codes).distinct()
 
 
 def rare_words(names: DataFrame, cover: float = 0.75) -> DataFrame:
@@ -32,19 +35,19 @@ def rare_words(names: DataFrame, cover: float = 0.75) -> DataFrame:
 
 
 def name_gate(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """query_id, doc_id, by_name, by_code, by_marker, contained of the document pairs that pass.
+    """query_id, doc_id, by_name, by_code, contained of the document pairs that pass.
 
-    queries, library: gate_keys with query_id or doc_id. Equal names, codes and markers are
+    queries, library: gate_keys with query_id or doc_id. Equal names and codes are
     equi-joins on the key; names of which one holds most words of the other meet on one of
     its rarest words and are then compared. Nothing is compared with everything.
     """
     q, l = queries.withColumnRenamed("doc_id", "query_id"), library  # noqa: E741
-    equal = q.join(l, ["kind", "key"]).groupBy("query_id", "doc_id").agg(*(F.bool_or(F.col("kind") == k).alias(f"by_{k}") for k in ("name", "code", "marker")))
+    equal = q.join(l, ["kind", "key"]).groupBy("query_id", "doc_id").agg(*(F.bool_or(F.col("kind") == k).alias(f"by_{k}") for k in ("name", "code")))
     named_q = rare_words(q.where("kind = 'name'").select(F.col("query_id").alias("doc_id"), "key")).select(F.col("doc_id").alias("query_id"), F.col("key").alias("a"), "word")
     named_l = rare_words(l.where("kind = 'name'").select("doc_id", "key")).select("doc_id", F.col("key").alias("b"), "word")
     near = named_q.join(named_l, "word").where(R.names_contain(F.col("a"), F.col("b"))).select("query_id", "doc_id").distinct().withColumn("contained", F.lit(True))
     told = equal.join(near, ["query_id", "doc_id"], "full")
-    flags = ["by_name", "by_code", "by_marker", "contained"]
+    flags = ["by_name", "by_code", "contained"]
     return told.select("query_id", "doc_id", *(F.coalesce(f, F.lit(False)).alias(f) for f in flags))
 
 

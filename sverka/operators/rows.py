@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sverka.functions import lexicon as L
@@ -26,7 +29,7 @@ _LETTER = "[a-zа-яё]"
 
 def name_norm(norm: Column) -> Column:
     """Whether a text of heavy form can be a product name."""
-    banned = norm.rlike("|".join(NO_NAME))
+    banned = reduce(or_, (F.contains(norm, F.lit(p)) for p in NO_NAME))
     return (F.length(norm) >= 3) & ~norm.rlike("^[0-9]+$") & ~banned & ~((F.length(norm) <= 12) & norm.isin(NO_NAME_SHORT))
 
 
@@ -36,7 +39,11 @@ def could_be_name(col: Column) -> Column:
 
 def beside_name(col: Column) -> Column:
     """Whether a text is what tables hold beside a product name: a count, a unit, a yes."""
-    n = X.norm_heavy(col)
+    return beside_norm(X.norm_heavy(col), col)
+
+
+def beside_norm(n: Column, col: Column) -> Column:
+    """The same for a text and its heavy form."""
     code = X.trimmed(col).rlike(r"^\d{2}\.\d{2}\.\d{2}\.\d{3}-\d+$")
     return (n != "") & (n.rlike("^[0-9]+$") | code | n.isin(BESIDE_NAME) | ((F.length(n) <= 14) & n.rlike("шт|набор|ед изм")))
 
@@ -47,29 +54,38 @@ def is_name_column(indicator: Column) -> Column:
 
 def allows_text(indicator: Column) -> Column:
     """Whether values without a number are fine for an indicator."""
-    low = F.lower(indicator)
-    return is_name_column(indicator) | L.meets(low, L.TEXT_VALUE) | (low.contains("состав") & ~low.contains("код ктру"))
+    return _allows(X.norm_heavy(indicator), F.lower(indicator))
+
+
+def _allows(norm: Column, low: Column) -> Column:
+    return L.meets(norm, L.NAME_COLUMN) | L.meets(low, L.TEXT_VALUE) | (low.contains("состав") & ~low.contains("код ктру"))
 
 
 def acceptable(indicator: Column, value: Column) -> Column:
     """Whether a value can belong to an indicator: one with a digit does (in a name column with a letter too),
-    a yes, a mark beside a name, or a text of the length its kind of indicator asks for."""
-    v, low = X.trimmed(value), F.lower(indicator)
-    worded = F.lower(v).rlike(_LETTER)
-    listed = L.meets(low, [[["выявляем"], ["веществ", "перечень"]]])
-    long = low.rlike("состав|комплектац|описание")
-    material = L.meets(low, [[["биологич"], ["материал"]], [["материал"], ["исследован"]]])
-    return F.coalesce(
-        F.when(value.rlike("[0-9]"), ~(is_name_column(indicator) & ~F.lower(value).rlike(_LETTER)))
-        .when(F.lower(v).rlike(PRESENT) & F.lower(X.trimmed(indicator)).rlike(_LETTER) & (F.length(X.trimmed(indicator)) >= 5), True)
-        .when(could_be_name(indicator) & beside_name(value), True)
-        .when(~allows_text(indicator), False)
-        .when(listed, worded & (F.length(v) >= 8))
-        .when(long, worded & (F.length(v) >= 20))
-        .when(material, worded & (F.length(v) >= 5))
-        .otherwise(could_be_name(value)),
-        F.lit(False),
-    )
+    a yes, a mark beside a name, or a text of the length its kind of indicator asks for.
+
+    The heavy forms are computed once and bound, else they would stand in every branch.
+    """
+    forms = F.struct(X.norm_heavy(indicator).alias("n"), F.lower(X.trimmed(indicator)).alias("low"), X.norm_heavy(value).alias("w"), X.trimmed(value).alias("v"), F.lower(value).rlike(_LETTER).alias("worded"))
+
+    def decide(m: Column) -> Column:
+        low, v, worded = m["low"], m["v"], m["worded"]
+        listed = L.meets(low, [[["выявляем"], ["веществ", "перечень"]]])
+        long = low.rlike("состав|комплектац|описание")
+        material = L.meets(low, [[["биологич"], ["материал"]], [["материал"], ["исследован"]]])
+        return (
+            F.when(v.rlike("[0-9]"), worded | ~L.meets(m["n"], L.NAME_COLUMN))
+            .when(F.lower(v).rlike(PRESENT) & low.rlike(_LETTER) & (F.length(low) >= 5), True)
+            .when(beside_norm(m["w"], v) & name_norm(m["n"]), True)
+            .when(~_allows(m["n"], low), False)
+            .when(listed, worded & (F.length(v) >= 8))
+            .when(long, worded & (F.length(v) >= 20))
+            .when(material, worded & (F.length(v) >= 5))
+            .otherwise(name_norm(m["w"]))
+        )
+
+    return F.coalesce(X.bound(forms, decide), F.lit(False))
 
 
 def name_candidates(col: Column) -> Column:
@@ -81,24 +97,29 @@ def name_candidates(col: Column) -> Column:
 def product_names(rows: DataFrame) -> DataFrame:
     """doc_id, ord, name: the product names of each document.
 
-    rows: doc_id, row_ord, indicator, value_raw. Told by name columns; if there are none,
-    by first columns beside a count or unit among the first 40 rows; else by narrative
-    rows among the first 80. The fallbacks are ranked, only the best kind a document has
+    rows: doc_id, row_ord (from 0), indicator, value_raw. Told by name columns; if there
+    are none, by first columns beside a count or unit among the first 40 rows; else by
+    narrative rows among the first 80. The fallbacks are ranked, only the best kind a document has
     is kept. A name once, at its first place.
     """
-    w = Window.partitionBy("doc_id").orderBy("row_ord")
-    placed = rows.withColumn("place", F.row_number().over(w)).withColumn("ind", X.norm_heavy(F.col("indicator")))
-    value, ind = F.col("value_raw"), F.col("ind")
-    named = L.meets(ind, L.NAME_COLUMN) & ~X.trimmed(value).rlike(r"^[\d.,\s/+-]*$") & could_be_name(value)
-    head = ind.contains("техническое задание") | ind.contains("объект закупки")
-    first = (F.col("place") <= 40) & ~head & ind.rlike(PRODUCT_WORDS) & could_be_name(F.col("indicator")) & beside_name(value)
-    told = (F.col("place") <= 80) & (head | ind.contains("предмет закупки"))
-    kind = F.when(named, 1).when(first, 2).when(told, 3)
-    source = F.when(kind == 2, F.col("indicator")).otherwise(value)
-    flat = placed.withColumn("kind", kind).where("kind is not null").select("doc_id", "place", "kind", F.posexplode(name_candidates(source)).alias("part", "raw"))
-    names = flat.withColumn("name", X.norm_heavy(F.col("raw"))).where(name_norm(F.col("name")) & ((F.col("kind") < 3) | F.col("name").rlike(NARRATIVE_WORDS)))
+    forms = F.struct(X.norm_heavy(F.col("indicator")).alias("ind"), X.norm_heavy(F.col("value_raw")).alias("val"), F.col("indicator").alias("i"), F.col("value_raw").alias("v"), F.col("row_ord").alias("p"))
+
+    def pick(m: Column) -> Column:
+        ind, place = m["ind"], m["p"]
+        named = L.meets(ind, L.NAME_COLUMN) & ~X.trimmed(m["v"]).rlike(r"^[\d.,\s/+-]*$") & name_norm(m["val"])
+        head = ind.contains("техническое задание") | ind.contains("объект закупки")
+        first = (place < 40) & ~head & ind.rlike(PRODUCT_WORDS) & beside_norm(m["val"], m["v"]) & name_norm(ind)
+        told = (place < 80) & (head | ind.contains("предмет закупки"))
+        raws = lambda kind, col: F.transform(name_candidates(col), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("raw")))
+        return F.when(named, raws(1, m["v"])).when(first, raws(2, m["i"])).when(told, raws(3, m["v"]))
+
+    picked = rows.select("doc_id", F.col("row_ord").alias("place"), F.posexplode(X.bound(forms, pick)).alias("part", "x"))
+    flat = picked.select("doc_id", "place", "part", "x.kind", "x.raw")
+    heavy = flat.select("doc_id", "place", "part", "kind", X.norm_heavy(F.col("raw")).alias("name"))
+    names = heavy.where(name_norm(F.col("name")) & ((F.col("kind") < 3) | F.col("name").rlike(NARRATIVE_WORDS)))
     best = names.groupBy("doc_id", "kind", "name").agg(F.min(F.struct("place", "part")).alias("ord"))
-    ranked = best.withColumn("least", F.min("kind").over(Window.partitionBy("doc_id"))).where("kind = least")
+    least = best.groupBy("doc_id").agg(F.min("kind").alias("kind"))
+    ranked = best.join(least, ["doc_id", "kind"], "left_semi")
     return ranked.select("doc_id", F.col("ord.place").alias("ord"), "name")
 
 

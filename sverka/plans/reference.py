@@ -288,7 +288,7 @@ def product_names_docs(spark, d):
 
 @query()
 def name_gate_docs(spark, d):
-    """Every document whose number is divisible by 20 against all others, by names, codes and markers."""
+    """Every document whose number is divisible by 20 against all others, by names and codes."""
     keys = written(gate.gate_keys(_distinct_rows(spark, d)), "gate-keys")
     asked = table(spark, d, "library_docs").where("doc_ord % 20 = 0").select("doc_id").distinct()
     told = gate.candidates(gate.name_gate(keys.join(asked, "doc_id", "left_semi"), keys))
