@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
