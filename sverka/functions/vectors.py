@@ -10,7 +10,6 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sverka.functions import text as X
 from sverka.session import fresh_path
 
 
