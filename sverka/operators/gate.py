@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sverka.functions import text as X
 from sverka.operators import rows as R
 from sverka.operators.scoring import narrowed
+from sverka.session import written
 
 
 def gate_keys(rows: DataFrame) -> DataFrame:
@@ -25,13 +26,30 @@ def gate_keys(rows: DataFrame) -> DataFrame:
     return names.unionByName(codes).distinct()
 
 
-def rare_words(names: DataFrame, cover: float = 0.75) -> DataFrame:
-    """Adds word: the rarest words of each name, as many as a name that shares `cover` of its words must share one of."""
-    words = names.withColumn("word", F.explode(F.array_distinct(X.name_tokens(F.col("key")))))
+def contained_names(queries: DataFrame, library: DataFrame, cover: float = 0.75) -> DataFrame:
+    """query_id, doc_id of the pairs of which one name holds the other (query_id, key; doc_id, key).
+
+    Names are compared once each, by a number for each different name. In one order of all
+    words, the rarest first, a name that has `cover` of its words in another must have one of
+    its first ones there, so each name's first words meet all words of the others. Names
+    that share a root but no such word aren't met.
+    """
+    numbered = lambda df, doc: df.select(doc, F.xxhash64("key").alias("name"))
+    names = queries.select("key").union(library.select("key")).distinct().withColumn("name", F.xxhash64("key"))
+    words = names.select("name", F.explode(F.array_distinct(X.name_tokens(F.col("key")))).alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("often"))
-    ranked = words.join(often, "word").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("w"))
+    ranked = words.join(often, "word").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("w"))
     needed = F.floor(F.size("w") * (1 - cover)).cast("int") + 1
-    return ranked.select("doc_id", "key", F.explode(F.transform(F.slice("w", F.lit(1), needed), lambda x: x["word"])).alias("word"))
+    first = written(ranked.select("name", F.explode(F.transform(F.slice("w", F.lit(1), needed), lambda x: x["word"])).alias("word")), "first-words")
+    asked = numbered(queries, "query_id")
+    own = lambda df: df.join(asked.select("name").distinct(), "name", "left_semi").withColumnRenamed("name", "one")
+    held = own(first).join(words.withColumnRenamed("name", "other"), "word")
+    holds = own(words).join(first.withColumnRenamed("name", "other"), "word")
+    pairs = held.select("one", "other").union(holds.select("one", "other")).distinct()
+    text = lambda at, name: names.select(F.col("name").alias(at), F.col("key").alias(name))
+    met = pairs.join(text("one", "a"), "one").join(text("other", "b"), "other").where((F.col("one") == F.col("other")) | R.names_contain(F.col("a"), F.col("b"))).select("one", "other")
+    found = asked.withColumnRenamed("name", "one").join(met, "one").join(numbered(library, "doc_id").withColumnRenamed("name", "other"), "other")
+    return found.select("query_id", "doc_id").distinct()
 
 
 def name_gate(queries: DataFrame, library: DataFrame) -> DataFrame:
@@ -41,11 +59,9 @@ def name_gate(queries: DataFrame, library: DataFrame) -> DataFrame:
     equi-joins on the key; names of which one holds most words of the other meet on one of
     its rarest words and are then compared. Nothing is compared with everything.
     """
-    q, l = queries.withColumnRenamed("doc_id", "query_id"), library  # noqa: E741
-    equal = q.join(l, ["kind", "key"]).groupBy("query_id", "doc_id").agg(*(F.bool_or(F.col("kind") == k).alias(f"by_{k}") for k in ("name", "code")))
-    named_q = rare_words(q.where("kind = 'name'").select(F.col("query_id").alias("doc_id"), "key")).select(F.col("doc_id").alias("query_id"), F.col("key").alias("a"), "word")
-    named_l = rare_words(l.where("kind = 'name'").select("doc_id", "key")).select("doc_id", F.col("key").alias("b"), "word")
-    near = named_q.join(named_l, "word").where(R.names_contain(F.col("a"), F.col("b"))).select("query_id", "doc_id").distinct().withColumn("contained", F.lit(True))
+    q = queries.withColumnRenamed("doc_id", "query_id")
+    equal = q.join(library, ["kind", "key"]).groupBy("query_id", "doc_id").agg(*(F.bool_or(F.col("kind") == k).alias(f"by_{k}") for k in ("name", "code")))
+    near = contained_names(q.where("kind = 'name'").select("query_id", "key"), library.where("kind = 'name'").select("doc_id", "key")).withColumn("contained", F.lit(True))
     told = equal.join(near, ["query_id", "doc_id"], "full")
     flags = ["by_name", "by_code", "contained"]
     return told.select("query_id", "doc_id", *(F.coalesce(f, F.lit(False)).alias(f) for f in flags))
