@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,35 @@ def flight(p: list[float], size: list[float], rng: random.Random) -> list[float]
     return p
 
 
-def landing(p: list[float], size: list[float]) -> list[int]:
-    """The nearest whole choice by tokens for the few documents left, then by count."""
+def landing(p: list[float], size: list[float], swaps: int = 3) -> list[int]:
+    """The nearest whole choice by tokens for the few documents left, then by count.
+
+    What the few can't balance is evened out by swapping a chosen document with one that
+    isn't, as close as may be to the tokens still wanted; the count stays.
+    """
     left = [k for k, x in enumerate(p) if _NEAR < x < 1 - _NEAR]
     out = [round(x) for x in p]
     want, count = sum(p[k] * size[k] for k in left), sum(p[k] for k in left)
-    best = min(itertools.product((0, 1), repeat=len(left)), key=lambda c: (abs(sum(x * size[k] for x, k in zip(c, left)) - want), abs(sum(c) - count), c), default=())
+    best = min(itertools.product((0, 1), repeat=len(left)), key=lambda c: (abs(sum(c) - count) >= 1, abs(sum(x * size[k] for x, k in zip(c, left)) - want), c), default=())
     for k, x in zip(left, best):
         out[k] = x
-    return out
+    s, chosen = np.asarray(size, float), np.asarray(out, bool)
+    lack = want - sum(x * size[k] for x, k in zip(best, left))
+    for _ in range(swaps):
+        ins, outs = np.flatnonzero(chosen), np.flatnonzero(~chosen)
+        if not len(ins) or not len(outs):
+            break
+        outs = outs[np.argsort(s[outs], kind="stable")]
+        at = np.searchsorted(s[outs], s[ins] + lack)
+        near = np.stack([np.clip(at - 1, 0, len(outs) - 1), np.clip(at, 0, len(outs) - 1)], 1)
+        miss = np.abs(lack - (s[outs][near] - s[ins][:, None]))
+        i, j = np.unravel_index(miss.argmin(), miss.shape)
+        if miss[i, j] >= abs(lack):
+            break
+        a, b = ins[i], outs[near[i, j]]
+        chosen[a], chosen[b] = False, True
+        lack -= s[b] - s[a]
+    return chosen.astype(int).tolist()
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> list[dict]:
@@ -111,7 +132,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed:
 
     def fly(last: bool):
         def run(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")  # the smallest are left for the landing
+            f = f.sort_values("doc_id", kind="stable")
             p = flight(f["p"].tolist(), f["n_tokens"].tolist(), random.Random(f"{seed}/{level}/{f['source'].iat[0]}/{f['block'].iat[0]}"))
             return f.assign(p=[float(x) for x in landing(p, f["n_tokens"].tolist())] if last else p).drop(columns="block")
 
