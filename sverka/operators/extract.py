@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,18 @@ LABELS = ["назначение", "описание", "определяемые
 NAME_STOP = "^(?:описани[ея]|назначени[ея]|колич|определя|исследуем|время|материал|наименование показателя|содержание)"
 
 
+#: A pattern can only be found in a text that holds its lexeme.
+HINTS = {PACK: ["колич"], GAUGE: ["игл", "needle"], ANALYTIC: ["аналитическ"], MINIMUM: ["минимальн"], COLOURS[0]: ["цветн"], COLOURS[1]: ["цветов"]}
+
+
 def _found(text: str, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(X.java(pattern)), F.lit(group))
+    """All matches of a group in lower case; the search only starts where a lexeme of the pattern stands."""
+
+    def search(low: Column) -> Column:
+        held = reduce(or_, (low.contains(h) for h in HINTS[pattern]))
+        return F.when(held, F.regexp_extract_all(low, F.lit(X.java(pattern)), F.lit(group))).otherwise(F.array().cast("array<string>"))
+
+    return X.bound(F.lower(F.coalesce(F.col(text), F.lit(""))), search)
 
 
 def _rows(df: DataFrame, key: str, values: Column, indicator: str) -> DataFrame:
