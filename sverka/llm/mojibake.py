@@ -112,6 +112,8 @@ class ChainModel:
         own = [self.clean_score(features(t)) for t in clean]
         #: Mean log-likelihood a bigram that clean text has at least.
         self.least = float(np.percentile(own, 0.2)) - 0.5 if own else -8.0
+        #: A text as likely as most clean ones needs no look at the chains.
+        self.sure = float(np.percentile(own, 20)) if own else 0.0
 
     @staticmethod
     def _bad(text: str, chain) -> str | None:
@@ -132,8 +134,12 @@ class ChainModel:
         if text is None or text.isascii() or "\ufffd" in text:
             return None
         f = features(text)
-        order = np.argsort(-(self.log @ np.bincount(f, minlength=SPACE).astype(np.float32)), kind="stable")
-        if order[0] < 2 and self._alphabet.issuperset(text):
+        known = self._alphabet.issuperset(text)
+        if known and self.clean_score(f) >= self.sure:
+            return None
+        scores = self.log @ np.bincount(f, minlength=SPACE).astype(np.float32) if len(f) > SPACE // 4 else self.log[:, f].sum(1)
+        order = np.argsort(-scores, kind="stable")
+        if order[0] < 2 and known:
             return None
         best = None
         for k in [k for k in order if k > 1][:TRIED]:
