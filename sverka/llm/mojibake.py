@@ -149,6 +149,8 @@ class ChainModel:
                     score = self.clean_score(features(got)) + WHOLE * whole
                     if best is None or score > best[0] + 1e-6:
                         best = (score, got)
+            if best and best[0] >= self.sure + WHOLE:  # as likely as most clean texts: the next chains are less likely ones
+                break
         return best[1] if best and best[0] > self.clean_score(f) + GAIN else None
 
     def _reads(self, text: str) -> bool:
