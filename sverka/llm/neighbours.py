@@ -287,7 +287,7 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int =
     placed = "kind string, cell int, sub int, key string, extra boolean, v binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cell of each vector; of many equal vectors in a batch only the k + 1 least keys keep theirs."""
+        """Cell of each vector; of many equal vectors in a batch all but the k + 2 least keys are extra."""
         for batch in batches:
             rows, v = _usable(batch, 2, dim)
             if not len(rows):
@@ -305,18 +305,22 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int =
                 sub[at] = (h % parts[cell[at]].astype(np.uint64)).astype(np.int32)
             extra = np.zeros(len(v), bool)
             _, same, times = np.unique(blob, return_inverse=True, return_counts=True)
-            if (times > k + 1).any():
+            if (times > k + 2).any():
                 f = pd.DataFrame({"kind": kinds, "same": same, "key": keys})
-                extra = f.groupby(["kind", "same"])["key"].rank(method="first").to_numpy() > k + 1
+                extra = f.groupby(["kind", "same"])["key"].rank(method="dense").to_numpy() > k + 2
             blobs = pa.Array.from_buffers(pa.binary(4 * dim), len(v), [None, pa.py_buffer(v.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(cell), pa.array(sub), pa.array(keys, pa.string()), pa.array(extra), blobs], names=["kind", "cell", "sub", "key", "extra", "v"])
 
     located = vectors.mapInArrow(place, placed)
     index = fresh_path(spark, "graphs")
-    stored = "kind string, cell int, sub int, full boolean, keys array<string>, sizes binary, vectors binary, members binary, links binary, shape binary"
+    stored = "kind string, cell int, sub int, copied array<binary>, keys array<string>, sizes binary, vectors binary, members binary, links binary, shape binary"
 
     def build(table: pa.Table) -> pa.Table:
-        """One row: the graph of a shard, a node for each different vector with its k + 1 least keys."""
+        """One row: the graph of a shard, a node for each different vector with its k + 1 least keys.
+
+        copied: the vectors that have more keys than that. place() leaves k + 2 keys of each
+        of them, so their number tells, however they are spread over batches.
+        """
         flat = np.frombuffer(b"".join(table["v"].to_pylist()), "<f4").reshape(-1, dim)
         different, node = np.unique(np.ascontiguousarray(flat).view(f"V{4 * dim}")[:, 0], return_inverse=True)
         names = np.array(table["key"].to_pylist(), object)
@@ -325,11 +329,12 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int =
         once = np.ones(len(node), bool)
         once[1:] = (node[1:] != node[:-1]) | (names[1:] != names[:-1])
         node, names = node[once], names[once]
+        copied = different[np.bincount(node, minlength=len(different)) > k + 1]
         held = np.arange(len(node)) - np.searchsorted(node, node) <= k
         node, names = node[held], names[held]
         sizes = np.bincount(node, minlength=len(different)).astype("<i4")
         v = np.frombuffer(different.tobytes(), "<f4").reshape(-1, dim)
-        row = {"kind": table["kind"][0], "cell": table["cell"][0], "sub": table["sub"][0], "full": bool((sizes > k).any()), "keys": names.tolist(), "sizes": sizes.tobytes()} | Graph.build(v).arrays()
+        row = {"kind": table["kind"][0], "cell": table["cell"][0], "sub": table["sub"][0], "copied": [x.tobytes() for x in copied], "keys": names.tolist(), "sizes": sizes.tobytes()} | Graph.build(v).arrays()
         return pa.Table.from_pylist([{n: (x.as_py() if isinstance(x, pa.Scalar) else x) for n, x in row.items()}], schema=_arrow(stored))
 
     located.where("not extra").groupBy("kind", "cell", "sub").applyInArrow(build, stored).write.partitionBy("kind", "cell").parquet(index)
@@ -344,19 +349,18 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int =
     n_shards = sum(int(parts.sum()) for _, parts, _ in plan.values())
     spread = graphs.select("kind", "cell", "sub").repartition(n_shards, "kind", "cell", "sub")
     found = spread.mapInPandas(walk, "kind string, key string, near_key string")
-    if graphs.where("full").isEmpty():  # no vector has more copies than its node holds
+    if graphs.where("size(copied) > 0").isEmpty():  # no vector has more copies than its node holds
         return found
-    return _with_copies(found, located, k)
+    return _with_copies(found, located, graphs.select("kind", F.explode("copied").alias("v")).distinct(), k)
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[t]) for n, t in (x.strip().split(" ") for x in ddl.split(","))])
 
 
-def _with_copies(found: DataFrame, located: DataFrame, k: int) -> DataFrame:
-    """Adds the pairs of copies that were left out of the graphs: their nearest are the k least keys of their vector."""
-    many = located.where("extra").select("kind", "v").distinct()
+def _with_copies(found: DataFrame, located: DataFrame, many: DataFrame, k: int) -> DataFrame:
+    """Adds the pairs of copies that were left out of the graphs: their nearest are the k least keys of their vector (of many: kind, v)."""
     members = located.join(many, ["kind", "v"]).select("kind", "v", "key").distinct()
     w = Window.partitionBy("kind", "v").orderBy("key")  # the limit on row_number also works before the shuffle
     top = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("kind", "v").agg(F.sort_array(F.collect_list("key")).alias("least"))

@@ -54,6 +54,28 @@ def test_many_copies_of_one_vector(spark):
     assert len(by) == 301
 
 
+def test_copies_spread_over_batches(spark):
+    from pyspark.sql import functions as F
+
+    v = [1.0] + [0.0] * 7
+    items = [(f"c{n:02}", v) for n in range(20) for _ in range(2)] + [("z", [0.0, 1.0] + [0.0] * 6)]
+    df = spark.createDataFrame(items, "key string, e array<double>").repartition(20)
+    by = {}
+    for r in neighbours.neighbour_pairs(neighbours.vectors_of(df, "x", F.col("key"), "e", 8), k=5, dim=8).collect():
+        by.setdefault(r["key"], set()).add(r["near_key"])
+    least = [f"c{n:02}" for n in range(6)]
+    assert by == {f"c{n:02}": set([x for x in least if x != f"c{n:02}"][:5]) for n in range(20)} | {"z": set(least[:5])}
+
+
+def test_copies_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    v = [1.0] + [0.0] * 7
+    df = spark.createDataFrame([("a", v)] * 12 + [("b", v), ("z", [0.0, 1.0] + [0.0] * 6)], "key string, e array<double>").coalesce(1)
+    got = neighbours.neighbour_pairs(neighbours.vectors_of(df, "x", F.col("key"), "e", 8), k=3, dim=8).collect()
+    assert {("a", "b"), ("b", "a"), ("z", "a"), ("z", "b")} <= {(r["key"], r["near_key"]) for r in got}
+
+
 def test_graph_survives_storing():
     v = neighbours.unit_rows(np.random.default_rng(1).normal(size=(900, 6)))
     g = neighbours.Graph.build(v)
