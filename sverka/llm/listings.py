@@ -150,13 +150,15 @@ def read_listing(text: str | None) -> dict:
 
 
 def read_amount(base: str, value: str | None, unit: str | None, indicator: str | None) -> int | None:
-    """Amount in thousandths of base that a quantity row states: the first number with a unit, else with the row's or indicator's unit."""
+    """Amount in thousandths of base that a quantity row states: the sum of the numbers with a unit, else the first number with the row's or indicator's unit."""
     text = _not_amount.sub(" ", value.lower()) if value else ""
-    first = None
+    first, told = None, []
     for m in _plain_number.finditer(text):
         first = first or m[0]
         if (found := units.map_unit(base, text[m.end() : m.end() + 60])) is not None:
-            return _milli(m[0], found)
+            told.append(_milli(m[0], found))
+    if told:
+        return sum(told) if None not in told and abs(sum(told)) < LARGEST else None
     if first is None:
         return None
     tail = _indicator_tail.search(indicator or "")
@@ -170,7 +172,7 @@ FIELDS = {"code": "string", "brand": "string", "kind": "string", "variant": "str
 #: Neighbours on either side that a listing class is compared with in each pass.
 WINDOW = 5
 #: Fields in the order of each pass's key.
-PASSES = [["brand", "kind", "variant", "size", "pack", "code"], ["code", "kind", "brand", "variant", "size", "pack"], ["kind", "variant", "size", "pack", "brand", "code"]]
+PASSES = [["brand", "kind", "variant", "size", "pack", "code"], ["code", "kind", "brand", "variant", "size", "pack"], ["kind", "variant", "size", "pack", "brand", "code"], ["size", "pack", "brand", "kind", "variant", "code"]]
 # Weight of each field in the alignment, and the part of it that makes two classes one product.
 WEIGHTS = {"brand": 3.0, "kind": 2.0, "variant": 2.0, "size": 2.0, "pack": 2.0}
 LEAST = 0.9
@@ -265,7 +267,7 @@ def correlation_clusters(nodes: DataFrame, links: DataFrame, most: int = 50) ->
 
     A node of least random priority among its open neighbours is a pivot and takes them; at
     a tie of two pivots the lesser one wins. Rounds go on until no link is left between open
-    nodes; each is written to the shared folder. Nodes without links are their own cluster.
+    nodes, at most `most`, else an error is raised; each is written to the shared folder. Nodes without links are their own cluster.
     """
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a"))).where("x <> y").distinct()
     open_links = checkpoint(both.select("x", "y", F.xxhash64("x").alias("px"), F.xxhash64("y").alias("py")))
@@ -280,6 +282,9 @@ def correlation_clusters(nodes: DataFrame, links: DataFrame, most: int = 50) ->
         taken.append(done)
         gone = done.select("x")
         open_links = checkpoint(open_links.join(gone, "x", "left_anti").join(gone.withColumnRenamed("x", "y"), "y", "left_anti").select("x", "y", "px", "py"))
+    else:
+        if not open_links.isEmpty():
+            raise RuntimeError(f"links are left between open nodes after {most} rounds of pivots")
     if not taken:
         return nodes.select(F.col("class_id"), F.col("class_id").alias("cluster"))
     clusters = taken[0]

@@ -172,6 +172,27 @@ def test_grouping(spark):
     assert listings.product_pairs(listings.group_listings(spark.createDataFrame([], fields))).count() == 0
 
 
+def test_classes_without_variant_and_code_meet_their_product(spark):
+    fields = "doc_id string, code string, brand string, kind string, variant string, size bigint, pack bigint"
+    rows = [("a", None, "brandone", "serum", None, 7, 3), ("b", "x20", "brandone", "serum", "l1", 7, 3)]
+    rows += [(f"n{k:02}", f"y{k:02}", "brandone", "serum", "p" if k % 2 else "n", 100 + k, 5) for k in range(40)]
+    pairs = {(r["doc_a"], r["doc_b"]) for r in listings.product_pairs(listings.group_listings(spark.createDataFrame(rows, fields))).collect()}
+    assert pairs == {("a", "b")}
+
+
+def test_amounts_told_together_are_summed():
+    assert listings.read_amount("мл", "2 мл + 0,5 мл", None, None) == 2500
+    assert listings.read_amount("мл", "3 шт по 2 мл", None, None) == 2000
+    assert listings.read_amount("мл", "2", "мл", None) == 2000
+    assert listings.read_amount("мл", "2 мл + " + "9" * 30 + " мл", None, None) is None
+
+
+def test_too_few_rounds_of_pivots_are_an_error(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        listings.correlation_clusters(spark.range(201).withColumnRenamed("id", "class_id"), links, most=1)
+
+
 def test_pivots_form_stars(spark):
     nodes = spark.range(5).withColumnRenamed("id", "class_id")
     links = spark.createDataFrame([(0, 1), (1, 2), (3, 3)], "a bigint, b bigint")
