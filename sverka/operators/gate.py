@@ -1,29 +1,50 @@
-"""Which library documents a query document is compared with at all: by names and codes.
-
-Disease markers have a handful of values, so pairs that share one are a fixed part of all
-pairs; they are compared as classes (marker_cascade), not as pairs.
-"""
+"""Which library documents a query document is compared with at all: by names, codes, markers and name vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sverka.functions import text as X
+from sverka.functions import vectors as V
 from sverka.operators import rows as R
 from sverka.operators.scoring import narrowed
 from sverka.session import written
 
 
+#: A name of so many letters may be held in another as a text.
+HELD = 14
+
+
 def gate_keys(rows: DataFrame) -> DataFrame:
-    """doc_id, kind (name or code), key: what a document can be found by, each once.
+    """doc_id, kind (name, code or marker), key: what a document can be found by, each once.
 
     rows: doc_id, row_ord, indicator, value_raw.
     """
     names = R.product_names(rows).select("doc_id", F.lit("name").alias("kind"), F.col("name").alias("key"))
     text = F.concat_ws(" ", "indicator", "value_raw")
     codes = rows.select("doc_id", F.lit("code").alias("kind"), F.explode(R.product_codes(text)).alias("key"))
-    return names.unionByName(codes).distinct()
+    markers = rows.select("doc_id", F.lit("marker").alias("kind"), F.explode(R.disease_markers(text)).alias("key"))
+    return names.unionByName(codes).unionByName(markers).distinct()
+
+
+def name_vectors(rows: DataFrame, dim: int = 32) -> DataFrame:
+    """doc_id, v (unit length): the embeddings of the rows that tell a document's names, each once.
+
+    rows: doc_id, row_ord, indicator, value_raw, embedding. Vectors of another length, with a
+    null, NaN or infinite number or all zero drop out.
+    """
+    named = R.product_names(rows.select("doc_id", "row_ord", "indicator", "value_raw").distinct()).select("doc_id", F.col("ord").alias("row_ord")).distinct()
+    v = F.col("embedding")
+    fine = (F.size(v) == dim) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0)
+    told = rows.where(fine).select("doc_id", "row_ord", "embedding").join(named, ["doc_id", "row_ord"])
+    return told.select("doc_id", V.normalized(v).alias("v")).distinct()
 
 
 def contained_names(queries: DataFrame, library: DataFrame, cover: float = 0.75) -> DataFrame:
@@ -31,39 +52,94 @@ def contained_names(queries: DataFrame, library: DataFrame, cover: float = 0.75)
 
     Names are compared once each, by a number for each different name. In one order of all
     words, the rarest first, a name that has `cover` of its words in another must have one of
-    its first ones there, so each name's first words meet all words of the others. Names
-    that share a root but no such word aren't met.
+    its first ones there, so each name's first words meet all words of the others. A name held
+    in another as a text, if inside a word, has its rarest piece of HELD letters there. Names of
+    three words that share a root meet on it if one of them has a domain word.
     """
     numbered = lambda df, doc: df.select(doc, F.xxhash64("key").alias("name"))
-    names = queries.select("key").union(library.select("key")).distinct().withColumn("name", F.xxhash64("key"))
+    asked, stocked = written(numbered(queries, "query_id"), "asked-names"), written(numbered(library, "doc_id"), "stocked-names")
+    names = written(queries.select("key").union(library.select("key")).distinct().withColumn("name", F.xxhash64("key")), "names")
     words = names.select("name", F.explode(F.array_distinct(X.name_tokens(F.col("key")))).alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("often"))
     ranked = words.join(often, "word").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("w"))
     needed = F.floor(F.size("w") * (1 - cover)).cast("int") + 1
     first = written(ranked.select("name", F.explode(F.transform(F.slice("w", F.lit(1), needed), lambda x: x["word"])).alias("word")), "first-words")
-    asked = numbered(queries, "query_id")
     own = lambda df: df.join(asked.select("name").distinct(), "name", "left_semi").withColumnRenamed("name", "one")
     held = own(first).join(words.withColumnRenamed("name", "other"), "word")
     holds = own(words).join(first.withColumnRenamed("name", "other"), "word")
-    pairs = held.select("one", "other").union(holds.select("one", "other")).distinct()
+    pieces = names.where(F.length("key") >= HELD).select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - HELD + 1), lambda i: F.substring("key", i, F.lit(HELD))))).alias("word"))
+    seldom = pieces.groupBy("word").agg(F.count("*").alias("often"))
+    rarest = written(pieces.join(seldom, "word").groupBy("name").agg(F.min(F.struct("often", "word"))["word"].alias("word")), "rarest-pieces")
+    cut = own(rarest).join(pieces.withColumnRenamed("name", "other"), "word")
+    cuts = own(pieces).join(rarest.withColumnRenamed("name", "other"), "word")
+    long = names.where(F.size(X.name_tokens(F.col("key"))) >= 3)
+    rooted = long.select("name", F.col("key").rlike(R.DOMAIN).alias("domain"), F.explode(F.array_distinct(X.roots(X.name_tokens(F.col("key"))))).alias("word"))
+    root = own(rooted).join(rooted.withColumnRenamed("name", "other").withColumnRenamed("domain", "too"), "word").where("domain or too")
+    pairs = reduce(DataFrame.union, (df.select("one", "other") for df in (held, holds, cut, cuts, root))).distinct()
     text = lambda at, name: names.select(F.col("name").alias(at), F.col("key").alias(name))
     met = pairs.join(text("one", "a"), "one").join(text("other", "b"), "other").where((F.col("one") == F.col("other")) | R.names_contain(F.col("a"), F.col("b"))).select("one", "other")
-    found = asked.withColumnRenamed("name", "one").join(met, "one").join(numbered(library, "doc_id").withColumnRenamed("name", "other"), "other")
+    found = asked.withColumnRenamed("name", "one").join(met, "one").join(stocked.withColumnRenamed("name", "other"), "other")
+    return found.select("query_id", "doc_id").distinct()
+
+
+def near_vectors(queries: DataFrame, library: DataFrame, least: float = 0.82, cells: int = 256, dim: int = 32) -> DataFrame:
+    """query_id, doc_id of the pairs with a cosine of at least `least` (query_id, v; doc_id, v of unit length).
+
+    Exact: a library vector lies in the cell of its nearest centre, and by the triangle
+    inequality of angles a query meets every cell that can hold a vector near enough.
+    Centres are at most `cells` vectors of the library; equal vectors are compared once.
+    """
+    numbered = lambda df, doc: df.select(doc, F.xxhash64("v").alias("n"))
+    different = lambda df: df.select(F.xxhash64("v").alias("n"), "v").dropDuplicates(["n"])
+    stored = written(different(library), "gate-vectors")
+    centres = np.array([r["v"] for r in stored.orderBy("n").limit(cells).collect()], float).reshape(-1, dim)
+    empty = queries.select("query_id").join(library.select("doc_id"), F.lit(False))
+    if not len(centres):
+        return empty
+    angles = lambda part: np.arccos(np.clip(np.array(part["v"].tolist(), float).reshape(-1, dim) @ centres.T, -1, 1))
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                a = angles(part)
+                yield part.assign(cell=a.argmin(1), angle=a.min(1))
+
+    placed = written(stored.mapInPandas(place, "n bigint, v array<double>, cell int, angle double"), "gate-cells")
+    radius = np.full(len(centres), -np.inf)
+    for r in placed.groupBy("cell").agg(F.max("angle").alias("angle")).collect():  # at most `cells` rows
+        radius[r["cell"]] = r["angle"]
+    reach = float(np.arccos(least)) + 1e-6
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                i, c = np.nonzero(angles(part) <= radius + reach)
+                yield pd.DataFrame({"one": part["n"].to_numpy()[i], "w": part["v"].to_numpy()[i], "cell": c})
+
+    asked = different(queries).mapInPandas(meet, "one bigint, w array<double>, cell int")
+    cosine = reduce(add, (F.col("w")[k] * F.col("v")[k] for k in range(dim)))
+    met = asked.join(placed, "cell").where(cosine >= least - 1e-12).select("one", "n")
+    found = numbered(queries, "query_id").withColumnRenamed("n", "one").join(met, "one").join(numbered(library, "doc_id"), "n")
     return found.select("query_id", "doc_id").distinct()
 
 
-def name_gate(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """query_id, doc_id, by_name, by_code, contained of the document pairs that pass.
+def name_gate(queries: DataFrame, library: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_id, doc_id, by_name, by_code, by_marker, contained, by_vector of the document pairs that pass.
 
-    queries, library: gate_keys with query_id or doc_id. Equal names and codes are
-    equi-joins on the key; names of which one holds most words of the other meet on one of
-    its rarest words and are then compared. Nothing is compared with everything.
+    queries, library: gate_keys with query_id or doc_id; vectors: name_vectors of both, if
+    there are any. Equal names, codes and markers are equi-joins on the key; names of which
+    one holds the other meet on a rare word, a rare piece or a root and are then compared.
+    Nothing is compared with everything.
     """
     q = queries.withColumnRenamed("doc_id", "query_id")
-    equal = q.join(library, ["kind", "key"]).groupBy("query_id", "doc_id").agg(*(F.bool_or(F.col("kind") == k).alias(f"by_{k}") for k in ("name", "code")))
+    equal = q.join(library, ["kind", "key"]).groupBy("query_id", "doc_id").agg(*(F.bool_or(F.col("kind") == k).alias(f"by_{k}") for k in ("name", "code", "marker")))
     near = contained_names(q.where("kind = 'name'").select("query_id", "key"), library.where("kind = 'name'").select("doc_id", "key")).withColumn("contained", F.lit(True))
     told = equal.join(near, ["query_id", "doc_id"], "full")
-    flags = ["by_name", "by_code", "contained"]
+    if vectors:
+        told = told.join(near_vectors(vectors[0].withColumnRenamed("doc_id", "query_id"), vectors[1]).withColumn("by_vector", F.lit(True)), ["query_id", "doc_id"], "full")
+    else:
+        told = told.withColumn("by_vector", F.lit(False))
+    flags = ["by_name", "by_code", "by_marker", "contained", "by_vector"]
     return told.select("query_id", "doc_id", *(F.coalesce(f, F.lit(False)).alias(f) for f in flags))
 
 

@@ -22,6 +22,7 @@ NO_NAME = """ед изм|единица измерения|наименован
 NO_NAME_SHORT = ["набор", "шт", "наличие", "кол во", "количество", "показатели", "показатель", "значение", "да", "нет", "объем", "поставка"]
 BESIDE_NAME = ["ед изм", "единица измерения", "ед", "шт", "набор", "комплект", "уп", "упак", "упаковка", "наличие", "да", "нет"]
 PRESENT = "^(?:наличие|есть|да|имеется|присутствует)$"
+DOMAIN = "ивд|тест|анализ|диагност|кассет|панел|контейнер|полоск"
 PRODUCT_WORDS = "ивд|тест|наркот|реагент|издел|анализ|кассет|полоск|панел|контейнер"
 NARRATIVE_WORDS = "ивд|тест|наркот|панел|кассет|контейнер|индикатор|полоск"
 _LETTER = "[a-zа-яё]"
@@ -145,6 +146,6 @@ def names_contain(a: Column, b: Column) -> Column:
     held = ((F.length(a) >= 14) & b.contains(a)) | ((F.length(b) >= 14) & a.contains(b))
     short, long = F.when(F.size(ta) <= F.size(tb), ta).otherwise(tb), F.when(F.size(ta) <= F.size(tb), tb).otherwise(ta)
     cover = F.size(F.filter(short, lambda t: F.array_contains(long, t))) / F.greatest(F.lit(1), F.size(short))
-    rooted = F.arrays_overlap(X.roots(ta), X.roots(tb)) & F.concat_ws(" ", a, b).rlike("ивд|тест|анализ|диагност|кассет|панел|контейнер|полоск")
+    rooted = F.arrays_overlap(X.roots(ta), X.roots(tb)) & F.concat_ws(" ", a, b).rlike(DOMAIN)
     enough = (F.size(ta) >= 3) & (F.size(tb) >= 3)
     return (F.trim(a) != "") & (F.trim(b) != "") & (held | (enough & ((cover >= 0.75) | rooted)))

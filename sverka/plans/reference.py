@@ -288,10 +288,11 @@ def product_names_docs(spark, d):
 
 @query()
 def name_gate_docs(spark, d):
-    """Every document whose number is divisible by 20 against all others, by names and codes."""
+    """Every document whose number is divisible by 20 against all others, by names, codes, markers and the vectors of name rows."""
     keys = written(gate.gate_keys(_distinct_rows(spark, d)), "gate-keys")
+    vectors = written(gate.name_vectors(table(spark, d, "library_rows")), "name-vectors")
     asked = table(spark, d, "library_docs").where("doc_ord % 20 = 0").select("doc_id").distinct()
-    told = gate.candidates(gate.name_gate(keys.join(asked, "doc_id", "left_semi"), keys))
+    told = gate.candidates(gate.name_gate(keys.join(asked, "doc_id", "left_semi"), keys, (vectors.join(asked, "doc_id", "left_semi"), vectors)))
     return told.where("query_id <> doc_id")
 
 

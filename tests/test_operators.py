@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sverka.operators import extract, gate, library, models, scoring
 from sverka.operators import rows as R
+from sverka.session import written
 from sverka.sources import files
 from sverka.streaming import ingest
 
@@ -207,6 +208,31 @@ def test_name_gate(spark):
     assert [r["doc_id"] for r in gate.candidates(gated).collect()] == ["c"]
 
 
+def test_name_gate_by_root_piece_marker_and_vector(spark):
+    named = "Наименование товара"
+    rows = [("q", 0, named, "Экспресс-тест выявления наркотических соединений"), ("q", 1, "Назначение", "ВИЧ"), ("q2", 0, named, "полоски для мочи"), ("root", 0, named, "Кассета на наркотики быстрая"), ("marker", 0, named, "Игла медицинская"), ("marker", 1, "Прочее", "anti-HIV"), ("piece", 0, named, "Тестполоски для мочи"), ("vector", 0, named, "Банка"), ("far", 0, named, "Пробирка")]
+    vector = {"q": [1.0, 0.1] + [0.0] * 30, "vector": [2.0] + [0.0] * 31, "far": [0.7, 0.9] + [0.0] * 30}
+    df = spark.createDataFrame([(*r, vector.get(r[0]) if r[1] == 0 else None) for r in rows], ROWS + ", embedding array<double>")
+    keys, vectors = written(gate.gate_keys(df), "keys"), written(gate.name_vectors(df), "vectors")
+    asked = lambda x, yes: x.where(F.col("doc_id").isin("q", "q2") == yes)
+    flags = ["by_name", "by_code", "by_marker", "contained", "by_vector"]
+    got = {(r["query_id"], r["doc_id"]): [f for f in flags if r[f]] for r in gate.name_gate(asked(keys, True), asked(keys, False), (asked(vectors, True), asked(vectors, False))).collect()}
+    assert got == {("q", "root"): ["contained"], ("q", "marker"): ["by_marker"], ("q2", "piece"): ["contained"], ("q", "vector"): ["by_vector"]}
+
+
+def test_near_vectors_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.normal(size=(40, 32)), 10, 0) + 0.35 * rng.normal(size=(400, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"d{k}", x.tolist()) for k, x in enumerate(v)], "doc_id string, v array<double>")
+    got = {(r["query_id"], r["doc_id"]) for r in gate.near_vectors(df.limit(100).withColumnRenamed("doc_id", "query_id"), df, cells=16).collect()}
+    asked = {q for q, _ in got}
+    assert len(asked) == 100
+    assert got == {(q, f"d{k}") for q in asked for k in np.flatnonzero(v[int(q[1:])] @ v.T >= 0.82)}
+
+
 def test_models(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
     assert [tuple(r) for r in models.embed_texts(df, "t", lambda: lambda texts: [[float(len(t))] for t in texts]).collect()] == [("a", [1.0])]
