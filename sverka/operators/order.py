@@ -22,21 +22,28 @@ def ranged(df: DataFrame, *order: Column | str) -> DataFrame:
     return placed.withColumn("_range", F.shiftright("_id", 33))
 
 
-def sorted_neighbours(df: DataFrame, window: int, *order: Column | str) -> DataFrame:
+#: Rows of one block in which neighbours are looked for; a larger window makes larger blocks.
+BLOCK = 8192
+
+
+def sorted_neighbours(df: DataFrame, window: int, *order: Column | str, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of rows, as structs, of which a comes at most window places before b.
 
-    The first rows of each range are copied to the range before, so no pair is lost between.
+    Rows are numbered over the whole order and cut into blocks of at least window rows, so
+    what lies at most window places past a block's end is in the next one, however short
+    the ranges of the sort are; those rows are copied to the block before.
     """
-    fields = df.columns
-    placed = ranged(df, *order)
-    offset = F.col("_id").bitwiseAND((1 << 33) - 1)
-    blocks = F.when((offset < window) & (F.col("_range") > 0), F.array(F.col("_range"), F.col("_range") - 1)).otherwise(F.array("_range"))
-    copied = placed.withColumn("_block", F.explode(blocks))
-    w = Window.partitionBy("_block").orderBy("_id")
-    here = F.struct(*fields, "_range")
-    lags = F.array(*(F.lag(here, k).over(w) for k in range(1, window + 1)))
-    pairs = copied.withColumn("b", here).withColumn("_before", lags).select("_block", "b", F.explode("_before").alias("a"))
-    return pairs.where("a is not null and not (a._range > _block and b._range > _block)").select("a", "b")
+    size = max(window, block)
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_k{k}") for k, c in enumerate(order)]
+    placed = numbered(df.select(F.struct(*df.columns).alias("_row"), *keys), *(f"_k{k}" for k in range(len(keys))))
+    own = F.floor(F.col("n") / size)
+    blocks = F.when((F.col("n") % size < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    copied = placed.select("n", F.col("_row").alias("b"), own.alias("_own"), F.explode(blocks).alias("_block"))
+    w = Window.partitionBy("_block").orderBy("n")
+    lags = F.array(*(F.lag(F.struct("b", "_own"), k).over(w) for k in range(1, window + 1)))
+    pairs = copied.withColumn("_before", lags).select("_block", "b", F.explode("_before").alias("_a"), "_own")
+    # a pair of two copied rows is found in their own block
+    return pairs.where("_a is not null and not (_own > _block and _a._own > _block)").select(F.col("_a.b").alias("a"), "b")
 
 
 def next_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -44,19 +51,21 @@ def next_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
     return sorted_neighbours(df, 1, key, *order).where(F.col(f"a.{key}") == F.col(f"b.{key}"))
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """Adds n, the place of a row in the order over the whole table, and keeps _range.
 
-    The ranges' sizes are counted first: one number a range is sent to the tasks.
+    The ranges' sizes are counted first: one number a range is sent to the tasks (there
+    are at most as many ranges as shuffle partitions).
     """
     placed = checkpoint(ranged(df, *order))
     sizes = {r["_range"]: r["c"] for r in placed.groupBy("_range").agg(F.count("*").alias("c")).collect()}
     starts, total = [], 0
     for p in sorted(sizes):
-        starts += [F.lit(p), F.lit(total)]
+        starts.append((p, total))
         total += sizes[p]
-    start = F.create_map(*starts)[F.col("_range")] if starts else F.lit(0)
-    return placed.withColumn("n", start + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    start = df.sparkSession.createDataFrame(starts, "_range bigint, _start bigint")
+    joined = placed.join(F.broadcast(start), "_range")
+    return joined.withColumn("n", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_start")
 
 
 def running_last(numbered_rows: DataFrame, key: str, value: Column, name: str, current: bool = False) -> DataFrame:

@@ -10,6 +10,22 @@ def test_neighbours_cross_ranges(spark):
     assert order.sorted_neighbours(df.limit(0), 2, "k").count() == 0
 
 
+def test_neighbours_over_short_ranges(spark):
+    want = {(b - d, b) for b in range(24) for d in range(1, 6) if b >= d}
+    df = spark.range(24).selectExpr("id", "lpad(id, 4, '0') as k").repartition(3)
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for adaptive in ("false", "true"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            for block in (5, 7, 4096):
+                got = [(r["a"]["id"], r["b"]["id"]) for r in order.sorted_neighbours(df, 5, "k", block=block).collect()]
+                assert len(got) == len(want) and set(got) == want
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+
+
 def test_next_rows_of_a_hot_key(spark):
     df = spark.range(300).selectExpr("if(id < 280, 'hot', concat('k', id % 5)) as k", "id")
     got = {(r["a"]["id"], r["b"]["id"]) for r in order.next_rows(df, "k", "id").collect()}
