@@ -294,3 +294,28 @@ def test_grades_on_held_out_texts(spark):
     assert not {900, 901, 902} & set(got)
     assert {r["grade"] for r in grades.grade(df, ratings.limit(0)).collect()} == {3}
     assert grades.grade(df.limit(0), ratings).count() == 0
+
+
+def test_planted_difficulties_are_recovered(spark):
+    """Texts drawn from the model itself: levels and the order of difficulties come back."""
+    rng = np.random.default_rng(5)
+    names = ["".join(chr(0x430 + int(x)) for x in rng.integers(0, 32, 7)) for _ in range(150)]
+    beta, theta = rng.normal(0, 0.8, 150), rng.uniform(-2.4, 2.4, 500)
+    texts = []
+    for t in theta:
+        w = np.exp(beta * t)
+        texts.append(" ".join(names[k] for k in rng.choice(150, 80, p=w / w.sum())))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ratings = spark.createDataFrame([(k, 1, int(np.clip(round(theta[k]) + 3, 1, 5))) for k in range(120)], "doc_id int, rater int, grade int")
+    got = {r["doc_id"]: r for r in grades.grade(df, ratings).collect()}
+    level = np.array([got[k]["level"] for k in range(120, 500)])
+    assert np.corrcoef(level, theta[120:])[0, 1] > 0.95
+    near = [abs(got[k]["grade"] - 3 - theta[k]) < 1 for k in range(120, 500)]
+    assert sum(near) / len(near) > 0.95
+
+
+def test_cuts_without_some_grades():
+    scale = grades.Scale(1, 3)
+    counts = np.zeros((3, len(scale.grid)))
+    counts[1, 10] = 4
+    assert np.searchsorted(grades.cuts(counts, scale), [-9.0, 0.0, 9.0]).tolist() == [1, 1, 1]
