@@ -134,9 +134,30 @@ def test_long_texts_are_restored(model):
 # ---- look-alikes -----------------------------------------------------------------------
 
 
-def test_skeletons():
-    assert confusables.skeleton("Cок") == confusables.skeleton("Сок") == confusables.skeleton("С​ок")
-    assert confusables.skeleton(None) is None
+def test_skeletons(spark):
+    table = confusables.look_alikes(spark)
+    look = lambda t: confusables.skeleton(t, table)
+    assert look("Cок") == look("Сок") == look("С\u200bок")
+    for a, b in [("Ӏ", "l"), ("ӏ", "i"), ("ɑ", "a"), ("օ", "o"), ("ѵ", "v"), ("ԁ", "d"), ("һ", "h"), ("‐", "-"), ("’", "'"), ("rn", "m"), ("Ａ", "A"), ("é", "é"), ("α", "a")]:
+        assert look(a) == look(b)
+    assert look("нос") != look("сон")
+    assert look(None) is None and look("") == ""
+    assert confusables.skeleton("ab", {ord("a"): "xy"}) == "xyb"  # the table is a parameter
+
+
+def test_forms_come_from_the_group():
+    assert confusables.form_of("тoвap", {"C": ("товар", 9)}) == "товар"
+    assert confusables.form_of("cа", {"C": ("са", 1), "L": ("ca", 5)}) == "ca"
+    assert confusables.form_of("cа", {}) == "са"
+    assert confusables.form_of("тoвap", {"C": ("товары", 9)}) == "товар"  # a spelling that doesn't fit
+
+
+def test_joined_forms_equal_sent_ones(spark, monkeypatch):
+    df = spark.createDataFrame([("a", k, t) for k, t in enumerate(["товaр", "товар", "Cа и тeкст", "Са", "６０", "x", "тeкст"])], "doc_id string, ord int, text string")
+    fields = confusables.long_fields(df, "t", "doc_id", "ord", ["text"])
+    sent = sorted(map(tuple, confusables.consistent_fields(fields).collect()))
+    monkeypatch.setattr(confusables, "MOST_SENT", 0)
+    assert sorted(map(tuple, confusables.consistent_fields(fields).collect())) == sent and len(sent) == 4
 
 
 def test_consistent_fields(spark):
@@ -146,7 +167,7 @@ def test_consistent_fields(spark):
     got = {(r["doc_id"], r["ord"]): r["form"][-6:] for r in confusables.consistent_fields(fields).collect()}
     assert got == {("a", 1): "товар", ("a", 2): "Са", ("b", 5): " текст"}
     groups = confusables.skeleton_groups(fields).collect()
-    assert [(g["form"], g["n_texts"], g["n_fields"]) for g in groups if g["skeleton"] == "Ca"] == [("Са", 2, 3)]
+    assert [(g["form"], g["n_texts"], g["n_fields"]) for g in groups if g["form"] == "Са"] == [("Са", 2, 3)]
     assert confusables.consistent_fields(fields.limit(0)).count() == 0
 
 
