@@ -1,9 +1,10 @@
 """Several values packed in one field: a quote-aware finite-state tokenizer.
 
-The tokenizer walks a value's lexemes and tracks three things: whether it is inside
-quotes, how deep inside brackets, and the number that the next list number must have.
-Delimiters count only outside quotes and brackets; a comma or slash between digits belongs
-to a number. The state is one value's; there is nothing to shuffle.
+The tokenizer walks a value's lexemes and tracks three things: the quote it is inside, the
+brackets that are open, and the number that the next list number must have. Delimiters
+count only outside quotes and brackets; a comma or slash between digits belongs to a
+number; a backslash takes the meaning off the mark after it. The state is one value's;
+there is nothing to shuffle.
 """
 
 from __future__ import annotations
@@ -19,32 +20,45 @@ from pyspark.sql import types as T
 _QUOTES = {'"': '"', "«": "»", "“": "”", "„": "“"}
 _OPEN, _CLOSE = "([{", ")]}"
 _PAIR = dict(zip(_OPEN, _CLOSE))
+_OPENER = dict(zip(_CLOSE, _OPEN))
 # Lexemes that can change the state; the text between two of them is taken at once.
-_lexeme = re.compile(r'["«»“”„]|[()\[\]{}]|[;|\n\t•,/+\r]|(?<!\S)\d{1,3}[.)](?=\s)')
+_lexeme = re.compile(r'\\[\\"«»“”„()\[\]{};|•,/+]|["«»“”„]|[()\[\]{}]|[;|\n\t•,/+\r]|(?<!\S)\d{1,3}[.)](?=\s)')
+# Escaped marks stand as private characters until the item is done.
+_masked = {c: chr(0xF0000 + ord(c)) for c in '\\"«»“”„()[]{};|•,/+'}
+_unmask = {ord(m): c for c, m in _masked.items()}
 _number = re.compile(r"(\d{1,3})[.)](?=\s)")
 _bullet = re.compile(r"^(?:[-*—–•·▪●]\s+)+")
 _numbered = re.compile(r"\s*1[.)]\s")
 _inner_quote = re.compile(r'^(["«“„])(.*)(["»”“])$', re.S)
 
 
+def _closed(open_marks: list[str], closer: str) -> None:
+    """A closer closes the nearest opener of its kind and whatever was opened inside; without one it's plain text."""
+    opener = _OPENER[closer]
+    if opener in open_marks:
+        while open_marks.pop() != opener:
+            pass
+
+
 def _enclosed(text: str) -> str:
     """Without one pair of brackets around the whole list."""
     body = text.strip().rstrip(";,|").rstrip()
     if len(body) < 2 or body[0] not in _OPEN or body[-1] != _PAIR[body[0]]:
         return text
-    depth, quoted = 0, False
-    for k, c in enumerate(body):
+    opened, quoted = [], False
+    for m in _lexeme.finditer(body):
+        c = m[0]
         if c == '"':
             quoted = not quoted
-        elif quoted:
+        elif quoted or c[0] == "\\":
             continue
         elif c in _OPEN:
-            depth += 1
+            opened.append(c)
         elif c in _CLOSE:
-            depth -= 1
-            if depth == 0 and k < len(body) - 1:
+            _closed(opened, c)
+            if not opened and m.end() < len(body):
                 return text
-    return body[1:-1]
+    return body[1:-1] if not opened and not quoted else text
 
 
 def split_packed(text: str | None) -> list[str]:
@@ -53,13 +67,15 @@ def split_packed(text: str | None) -> list[str]:
     Outside quotes and brackets these delimit: ; | line break, tab, bullet, a comma or
     slash that isn't between digits, a plus between spaces, and the numbers 1. 2. 3. or
     1) 2) 3) of a numbered list, taken in sequence. Inside quotes a doubled quote is one
-    quote. Empty items don't count, repeated ones stay.
+    quote. A mark after a backslash is plain text (the backslash goes); quotes and brackets
+    that are never closed are too. Empty items don't count, repeated ones stay.
     """
     if text is None or not text.strip():
         return []
     text = _enclosed(text)
     numbered = bool(_numbered.match(text))
-    due, items, held, depth, quote, at, n = 1, [], [], 0, "", 0, len(text)
+    due, items, held, opened, quote, at, n = 1, [], [], [], "", 0, len(text)
+    last = {c: text.rfind(c) for c in {*_CLOSE, *_QUOTES.values()}}
 
     def end() -> None:
         items.append("".join(held))
@@ -73,9 +89,11 @@ def split_packed(text: str | None) -> list[str]:
         if m.start() > at:
             held.append(text[at : m.start()])
         token, k, at = m[0], m.start(), m.end()
-        if token[0].isdigit():
+        if token[0] == "\\":
+            held.append(_masked[token[1]])
+        elif token[0].isdigit():
             mark = token[:-1]
-            if numbered and not quote and not depth and int(mark) == due:
+            if numbered and not quote and not opened and int(mark) == due:
                 due += 1
                 end()
             else:  # a number of the text; its bracket or point is looked at by itself
@@ -89,16 +107,17 @@ def split_packed(text: str | None) -> list[str]:
                     continue
                 quote = ""
             held.append(token)
-        elif token in _QUOTES and text.find(_QUOTES[token], at) >= 0:
+        elif token in _QUOTES and last[_QUOTES[token]] >= at:
             quote = _QUOTES[token]
             held.append(token)
         elif token in _OPEN:
-            depth += text.find(_PAIR[token], at) >= 0
+            if last[_PAIR[token]] >= at:
+                opened.append(token)
             held.append(token)
         elif token in _CLOSE:
-            depth = max(0, depth - 1)
+            _closed(opened, token)
             held.append(token)
-        elif depth:
+        elif opened:
             held.append(token)
         elif token in ";|\n\t•\r":
             end()
@@ -111,7 +130,8 @@ def split_packed(text: str | None) -> list[str]:
         else:
             held.append(token)
     end()
-    return [item for raw in items if (item := _bare(raw))]
+    done = [item for raw in items if (item := _bare(raw))]
+    return [item.translate(_unmask) for item in done] if "\\" in text else done
 
 
 def _bare(item: str) -> str:

@@ -31,7 +31,7 @@ UNITS = [
     ("concentration", 1e-3, 0.0, "пг/мл pg/ml нг/л ng/l|пикограмм на миллилитр|нанограмм на литр"),
     ("concentration", 1e3, 0.0, "мкг/мл ug/ml мг/л mg/l|микрограмм на миллилитр|миллиграмм на литр"),
     ("concentration", 1e4, 0.0, "мг/дл mg/dl|миллиграмм на децилитр"),
-    ("concentration", 1e1, 0.0, "мкг/дл ug/dl нг/дл*100|микрограмм на децилитр"),
+    ("concentration", 1e1, 0.0, "мкг/дл ug/dl|микрограмм на децилитр"),
     ("concentration", 1e6, 0.0, "мг/мл mg/ml г/л g/l|миллиграмм на миллилитр|грамм на литр"),
     ("time", 1 / 60, 0.0, "с сек секунд секунда секунды s sec second seconds"),
     ("time", 1.0, 0.0, "мин минут минута минуты min minute minutes"),
@@ -70,8 +70,10 @@ class UnitIndex:
         for dimension, factor, offset, spellings in UNITS:
             words, *phrases = spellings.split("|")
             for s in [*words.split(), *phrases]:
-                if "*" not in s:
-                    self.exact[(dimension, squeezed(s))] = (factor, offset)
+                self.exact[(dimension, squeezed(s))] = (factor, offset)
+        longest = max(len(s) for _, s in self.exact)
+        #: No longer spelling is within the distance of a known one: what is left over weighs at least half.
+        self.longest = int(longest * (1 + 2 * _PART))
         for key in self.exact:
             for g in self._grams(key[1]):
                 self.grams[(key[0], g)].add(key)
@@ -85,7 +87,7 @@ class UnitIndex:
         for s in (spelling, spelling.replace(".", ""), spelling.replace(". ", " ")):
             if (dimension, s) in self.exact:
                 return self.exact[(dimension, s)]
-        if len(spelling) < _SHORT or len(spelling) > 40 or not any(c.isalpha() for c in spelling):
+        if len(spelling) < _SHORT or len(spelling) > self.longest or not any(c.isalpha() for c in spelling):
             return None
         own, shared = self._grams(spelling), defaultdict(int)
         for g in own:
@@ -115,18 +117,20 @@ def edit_cost(a: str, b: str) -> float:
 
 _index: UnitIndex | None = None
 _mapped: dict[tuple[str, str], tuple[float, float] | None] = {}
-#: What can follow a number as its unit: up to the next mark that no unit has, at most so many characters.
-_SPELLING = r"^\s*([^\d,;()\[\]{}\"«»:]{0,40})"
-_spelling = re.compile(_SPELLING + r"((?<=[сc][мm])\^?3)?")
+#: Words of the longest known unit, and one more for a slash that stands by itself.
+WORDS = 1 + max(len(phrase.split()) for *_, spellings in UNITS for phrase in spellings.split("|")[1:])
+#: What can follow a number as its unit: so many words, up to the next mark that no unit has.
+_SPELLING = r"\s*+(?:[^\s\d,;()\[\]{}\"«»:]++\s*+){0,%d}((?<=[сc][мm])\^?3)?" % WORDS
+_spelling = re.compile(_SPELLING)
 
 
-def map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
-    """(factor, offset) to base_unit of the unit a text starts with, or None.
+def map_unit(base_unit: str, text: str, start: int = 0) -> tuple[float, float] | None:
+    """(factor, offset) to base_unit of the unit at a place of a text, or None.
 
-    amount in base_unit = (number + offset) * factor. The longest phrase of at most four
-    words that is a unit of base_unit's dimension counts; what follows it doesn't matter.
+    amount in base_unit = (number + offset) * factor. The longest phrase that is a unit of
+    base_unit's dimension counts; what follows it doesn't matter.
     """
-    m = _spelling.match(text)
+    m = _spelling.match(text, start)
     at = (base_unit, m[0])
     if at not in _mapped:
         if len(_mapped) > 200_000:
@@ -144,7 +148,7 @@ def _map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
         return None
     own = _index.exact[(dimension, base)]
     words = squeezed(text).split(" ")
-    for n in range(min(4, len(words)), 0, -1):
+    for n in range(min(WORDS, len(words)), 0, -1):
         found = _index.find(dimension, squeezed(" ".join(words[:n])))
         if found:
             factor, offset = found
@@ -181,10 +185,6 @@ def number_value(col: Column) -> Column:
     return powered * F.when(col.contains("тыс"), 1e3).when(col.contains("млн"), 1e6).otherwise(1.0)
 
 
-#: Amounts from here on are taken as not told: their thousandths would leave a bigint.
-LARGEST = 1e14
-
-
 def amounts(rows: DataFrame) -> DataFrame:
     """Amount of each row in its base_unit.
 
@@ -192,8 +192,8 @@ def amounts(rows: DataFrame) -> DataFrame:
     Result: doc_id, row_ord, base_unit, amount double; only rows that state a number and a
     unit. The unit is the one after a number in value_raw, else the unit column's, else the
     one after the indicator's comma or bracket. Several numbers with units are summed;
-    numbers without a unit don't count beside them. Nulls state nothing, nor do amounts of
-    LARGEST or more.
+    numbers without a unit don't count beside them. Nulls state nothing. Amounts of any
+    size are told, as doubles.
     """
     key = ["doc_id", "row_ord", "base_unit"]
     base = rows.where(F.col("value_raw").rlike(r"\d")).select(
@@ -214,10 +214,10 @@ def amounts(rows: DataFrame) -> DataFrame:
         *key,
         F.when(F.col("k") < F.col("given"), F.lit(0)).otherwise(F.col("k") - F.col("given") + 1).alias("place"),
         F.col("m.n").alias("n"),
-        F.trim(F.regexp_extract(F.lower("m.spelling"), _SPELLING + r"((?<=[сc][мm])\^?3)?", 0)).alias("spelling"),
+        F.trim(F.regexp_extract(F.lower("m.spelling"), "^" + _SPELLING, 0)).alias("spelling"),
     )
     mentions = written(mentions.where(F.col("spelling").rlike(r"\p{L}")), "mentions")
     found = mentions.join(unit_dictionary(mentions), ["base_unit", "spelling"])
     found = found.withColumn("amount", (number_value(F.col("n")) + F.col("offset")) * F.col("factor"))
     best = found.groupBy(*key).agg(*(F.sum(F.when(F.col("place") == p, F.col("amount"))).alias(f"a{p}") for p in range(3)))
-    return best.select(*key, F.coalesce("a0", "a1", "a2").alias("amount")).where(F.abs("amount") < LARGEST)
+    return best.select(*key, F.coalesce("a0", "a1", "a2").alias("amount"))

@@ -14,7 +14,7 @@ FALSE_WORDS = ["нет", "не имеется", "отсутствует", "от
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 
 #: Column type of each value type; a type not named here is kept as text.
-COLUMN_TYPES = {"integer": "bigint", "decimal": "decimal(20,6)", "flag": "boolean", "date": "date", "code": "string", "text": "string", "list": "string", "quantity": "string"}
+COLUMN_TYPES = {"integer": "decimal(38,0)", "decimal": "decimal(38,18)", "flag": "boolean", "date": "date", "code": "string", "text": "string", "list": "string", "quantity": "string"}
 
 
 def usable(value: Column) -> Column:
@@ -22,15 +22,20 @@ def usable(value: Column) -> Column:
     return value.isNotNull() & ~F.lower(trimmed(value)).isin(PLACEHOLDERS)
 
 
-def _number(value: Column) -> Column:
+def _digits(value: Column) -> Column:
+    """The first number of a text, without spaces, with a point; 1 000 is one number."""
     digits = F.regexp_extract(value, r"((?:\d{1,3}(?: \d{3})+(?!\d)|\d+)(?:[.,]\d+)?)", 1)
-    return F.regexp_replace(F.regexp_replace(digits, " ", ""), ",", ".").try_cast("decimal(20,6)")
+    return F.regexp_replace(F.regexp_replace(digits, " ", ""), ",", ".")
+
+
+def cast_decimal(value: Column) -> Column:
+    """First number of a text; else null."""
+    return _digits(value).try_cast("decimal(38,18)")
 
 
 def cast_integer(value: Column) -> Column:
-    """First number of a text if it is whole; 1 000 is one number. Else null."""
-    n = _number(value)
-    return F.when(n == F.floor(n), n.try_cast("bigint"))
+    """First number of a text if it is whole, of any size up to 38 digits. Else null."""
+    return F.regexp_extract(_digits(value), r"^(\d+)(?:\.0+)?$", 1).try_cast("decimal(38,0)")
 
 
 def cast_flag(value: Column) -> Column:
@@ -58,7 +63,7 @@ def cast_code(value: Column) -> Column:
     return F.when(usable(value), trimmed(value))
 
 
-CASTS = {"integer": cast_integer, "decimal": _number, "flag": cast_flag, "date": cast_date, "code": cast_code, "text": cast_code, "list": cast_code, "quantity": cast_code}
+CASTS = {"integer": cast_integer, "decimal": cast_decimal, "flag": cast_flag, "date": cast_date, "code": cast_code, "text": cast_code, "list": cast_code, "quantity": cast_code}
 
 
 def discover(rows: DataFrame, attributes: DataFrame) -> list[tuple[str, str]]:
@@ -88,7 +93,9 @@ def widen(rows: DataFrame, columns: list[tuple[str, str]], entity: str = "doc_id
 def cell_text(col: Column, kind: str) -> Column:
     """A typed cell as text: digits, a decimal without needless zeros, true or false, YYYY-MM-DD."""
     if kind == "decimal":
-        return F.regexp_replace(F.regexp_replace(col.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        whole = F.floor(col).cast("decimal(38,0)")
+        part = F.regexp_replace(F.lpad(((col - whole) * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(18,0)").cast("string"), 18, "0"), "0+$", "")
+        return F.concat(whole.cast("string"), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
     if kind == "date":
         return F.date_format(col, "yyyy-MM-dd")
     return col.cast("string")

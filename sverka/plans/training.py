@@ -35,9 +35,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts of quantity rows in the attribute's base unit, in thousandths."""
+    """Amounts of quantity rows in the attribute's base unit, in thousandths; null if no bigint holds them."""
     found = units.amounts(_attribute_rows(spark, sf_dir, ["quantity"]).distinct())
-    return found.select("doc_id", "row_ord", "base_unit", F.round(F.col("amount") * 1000).cast("bigint").alias("amount_milli"))
+    return found.select("doc_id", "row_ord", "base_unit", F.round(F.col("amount") * 1000).try_cast("bigint").alias("amount_milli"))
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_wide": p4_wide, "p7_found": p7_found}

@@ -30,6 +30,12 @@ def spec(spark):
         ("a|| b;a|", ["a", "b", "a"]),
         ("моча + мокрота", ["моча", "мокрота"]),
         ('a "b; c', ['a "b', "c"]),
+        ('"a\\"; b"; c', ['a"; b', "c"]),
+        ("a\\; b", ["a; b"]),
+        ("c:\\dir; d", ["c:\\dir", "d"]),
+        ("(a; [b; c); d]; e", ["(a; [b; c)", "d]", "e"]),
+        ("a) b; (c", ["a) b", "(c"]),
+        ("(" * 3000 + "; a", ["(" * 3000, "a"]),
         (";;", []),
         ("", []),
         (None, []),
