@@ -139,6 +139,38 @@ def map_unit(base_unit: str, text: str, start: int = 0) -> tuple[float, float] |
     return _mapped[at]
 
 
+#: The dimensions of units, in a fixed order.
+DIMENSIONS = tuple(dict.fromkeys(u[0] for u in UNITS))
+_any: dict[str, tuple[int, dict[str, tuple[float, float]]] | None] = {}
+_leading = [re.compile(r"\s*(?:\S+\s+){%d}\S+" % (n - 1)) for n in range(1, WORDS + 1)]
+
+
+def unit_at(text: str, start: int = 0) -> tuple[int, dict[str, tuple[float, float]]] | None:
+    """Where the unit at a place of a text ends, and by dimension its factor and offset to the dimension's own unit.
+
+    The longest phrase that is a unit of some dimension counts; None without one.
+    """
+    m = _spelling.match(text, start)
+    if m[0] not in _any:
+        if len(_any) > 200_000:
+            _any.clear()
+        _any[m[0]] = _unit_at(m[0])
+    found = _any[m[0]]
+    return None if found is None else (start + found[0], found[1])
+
+
+def _unit_at(phrase: str) -> tuple[int, dict[str, tuple[float, float]]] | None:
+    global _index
+    _index = _index or UnitIndex()
+    for words in reversed(_leading):
+        m = words.match(phrase)
+        if m:
+            found = {d: u for d in DIMENSIONS if (u := _index.find(d, squeezed(m[0])))}
+            if found:
+                return m.end(), found
+    return None
+
+
 def _map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
     global _index
     _index = _index or UnitIndex()

@@ -103,6 +103,12 @@ def test_fuzzy_units():
     assert units.map_unit("мл", "миллилитру в пробе") == (1.0, 0.0)
     assert units.map_unit("мкл", "анализа") is None
     assert units.map_unit("мл", "нг/мл") is None
+    text = "2 нанограмм на миллилитр морфин"
+    end, found = units.unit_at(text, 1)
+    assert text[end:] == " морфин" and found == {"concentration": (1.0, 0.0)}
+    assert units.unit_at("5 тестов", 1) is None and units.unit_at("5", 1) is None
+    long = "x" * 200_000
+    assert units.unit_at(f"5 мл {long}", 1)[1]["volume"] == (1.0, 0.0) and units.map_unit("мл", long) is None
     assert units.edit_cost("минута", "минуты") == 0.5
 
 
