@@ -118,6 +118,17 @@ def test_garbling_is_reversible(text, chain):
     assert mojibake.ungarble(bad, chain) == text
 
 
+def test_characters_the_sample_never_held(model):
+    for text in ["Описание товара за 5 €", "Описание товара 7 ₽", "Опис товару її", "Описание товара?", "Это описание? Да, товара"]:
+        bad = mojibake.garble(text, (("utf-8", "latin-1"),))
+        assert model.restore(bad) == text and model.restore(text) is None
+
+
+def test_columns_that_repeat_each_other(model):
+    bad = mojibake.garble("Описание товара", (("utf-8", "cp1251"),))
+    assert model.restore_all([f"a/b-{bad}.doc", bad, None, "", "x", f"a/{bad}?"]) == ["a/b-Описание товара.doc", "Описание товара", None, None, None, "a/Описание товара?"]
+
+
 def test_restore_table(spark):
     bad = mojibake.garble("Описание", (("utf-8", "cp1251"),))
     df = spark.createDataFrame([("a", bad, "x", 1), ("a", bad, "x", 1), ("b", None, "", 2), ("c", "Описание", None, 3)], "doc_id string, f string, g string, text int")
@@ -175,10 +186,58 @@ def test_consistent_fields(spark):
 
 
 def test_reading_listings():
-    a = listings.read_listing("Контрольная сыворотка «Вентирулаб» ML-2607 10 шт низкий уровень ПРЕМИУМ 0,005 л")
+    a = listings.read_listing("Контрольная сыворотка «Вентирулаб» ML-2607 10 шт низкий уровень 0,005 л")
     b = listings.read_listing("Контроль L1 ventirulab ml 2607 (уп/10) 5 мл")
-    assert a == b == {"code": "ml2607", "brand": "ventirulab", "kind": "serum", "variant": "l1", "size": 5000, "pack": 10}
-    assert set(listings.read_listing(None).values()) == {None}
+    assert (a["code"], a["pack"], a["sizes"]) == (b["code"], b["pack"], b["sizes"]) == ("ml2607", 10, {"volume": 5_000_000})
+    assert a["words"] == ["контрольная", "сыворотка", "вентирулаб", "низкий", "уровень"] and a["names"] == ["вентирулаб"]
+    assert b["words"] == ["контроль", "l1", "ventirulab"]
+    assert listings.sound_key("Вентирулаб") == listings.sound_key("ventirulab")
+    assert listings.read_listing("VM 881 с фторидом")["code"] == "vm881"
+    assert listings.read_listing(None)["words"] == [] == listings.read_listing("")["words"]
+    assert listings.read_listing("слово " * 50_000)["words"] == ["слово"]
+
+
+def made_listings(rng, products, docs):
+    """Listings of products no code knows of: documents with a name row and a file name, and their products."""
+    words = {
+        "syringe": (["шприц инъекционный", "шприц одноразовый", "инъектор"], {"a": ["луер", "ls"], "b": ["луерлок", "ll"], "c": ["катетерный", "ct"]}, [("2 мл", "2000 мкл"), ("5 мл", "0,005 л"), ("10 мл", "1 сл")]),
+        "glove": (["перчатки смотровые", "перчатки медицинские", "рукавицы"], {"a": ["нитриловые", "nbr"], "b": ["латексные", "ltx"], "c": ["виниловые", "pvc"]}, [("240 мм", "24 см"), ("300 мм", "0,3 м")]),
+        "mask": (["маска лицевая", "повязка на лицо", "респиратор"], {"a": ["детская", "kid"], "b": ["взрослая", "ad"]}, [("175 мм", "17,5 см"), ("145 мм", "14,5 см")]),
+    }
+    syllables = ["ка", "ло", "ри", "мен", "тос", "ви", "дар", "пел", "зу", "гор"]
+    brands = ["".join(rng.sample(syllables, 3)) for _ in range(40)]
+    made = set()
+    while len(made) < products:
+        kind = rng.choice(sorted(words))
+        made.add((rng.choice(brands), kind, rng.choice(sorted(words[kind][1])), rng.randrange(len(words[kind][2])), rng.choice([1, 10, 100])))
+    made = sorted(made)
+    out = []
+    for d in range(docs):
+        p = rng.choice(made)
+        brand, kind, variant, size, pack = p
+        phrases, variants, sizes = words[kind]
+        name = [rng.choice(phrases), f"«{brand}»" if rng.random() < 0.6 else brand.title(), rng.choice(variants[variant]), rng.choice(sizes[size]), rng.choice([f"{pack} шт", f"(уп/{pack})"]), rng.choice(["акция", "хит сезона", "новое", ""])]
+        rng.shuffle(name)
+        file = f"{rng.choice(['описание', 'паспорт', 'лист'])} {rng.choice(phrases)} {rng.choice(variants[variant])}.doc"
+        out.append((f"d{d:04}", " ".join(name), file, p))
+    return out
+
+
+def test_products_outside_any_vocabulary(spark, spec=None):
+    made = made_listings(random.Random(3), 120, 900)
+    spec = spark.createDataFrame([("name", "Имя", "text", None), ("qty", "Число", "integer", None)], "attr_code string, title string, value_type string, base_unit string")
+    aliases = spark.createDataFrame([("name", "Имя"), ("qty", "Число")], "attr_code string, alias string")
+    rows = spark.createDataFrame([(d, 0, "Имя", n, None, 1) for d, n, _, _ in made] + [("e", 0, "Имя", None, None, 1), ("f", 1, None, "x", None, 1)], "doc_id string, row_ord int, indicator string, value_raw string, unit string, code int")
+    docs = spark.createDataFrame([(d, f, 2) for d, _, f, _ in made] + [("e", None, 2), ("g", "", 2)], "doc_id string, file_name string, brand int")
+    fields = listings.listing_fields(docs, rows, spec, aliases)
+    got = {(r["doc_a"], r["doc_b"]) for r in listings.product_pairs(listings.group_listings(fields)).collect()}
+    of = {}
+    for d, _, _, p in made:
+        of.setdefault(p, []).append(d)
+    want = {(a, b) for ds in of.values() for a in ds for b in ds if a < b}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+    none = listings.listing_fields(docs.limit(0), rows.limit(0), spec, aliases)
+    assert none.count() == 0
 
 
 def test_grouping(spark):
@@ -202,16 +261,21 @@ def test_classes_without_variant_and_code_meet_their_product(spark):
 
 
 def test_amounts_told_together_are_summed():
-    assert listings.read_amount("мл", "2 мл + 0,5 мл", None, None) == 2500
-    assert listings.read_amount("мл", "3 шт по 2 мл", None, None) == 2000
-    assert listings.read_amount("мл", "2", "мл", None) == 2000
-    assert listings.read_amount("мл", "2 мл + " + "9" * 30 + " мл", None, None) is None
-
-
-def test_too_few_rounds_of_pivots_are_an_error(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a bigint, b bigint")
-    with pytest.raises(RuntimeError):
-        listings.correlation_clusters(spark.range(201).withColumnRenamed("id", "class_id"), links, most=1)
+    volume = lambda *x: listings.read_amounts(*x).get("volume")
+    assert volume("2 мл + 0,5 мл", None, None) == 2_500_000
+    assert volume("3 шт по 2 мл", None, None) == 2_000_000
+    assert volume("2", "мл", None) == volume("2", None, "Объем, мл") == 2_000_000
+    assert volume("2 мл + " + "9" * 30 + " мл", None, None) is None
+    assert listings.read_amounts(None, None, None) == {} == listings.read_amounts("5", None, None)
+
+
+def test_pivots_go_on_until_no_link_is_left(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(600)], "a bigint, b bigint")
+    got = {r["class_id"]: r["cluster"] for r in listings.correlation_clusters(spark.range(601).withColumnRenamed("id", "class_id"), links).collect()}
+    assert all(got[k] != k or got[k + 1] in (k, k + 1) or got[k + 1] != k + 1 for k in range(600))
+    alone = [k for k in range(1, 600) if list(got.values()).count(got[k]) == 1]
+    # a node stays alone only beside neighbours that pivots took
+    assert all(list(got.values()).count(got[k - 1]) > 1 and list(got.values()).count(got[k + 1]) > 1 for k in alone)
 
 
 def test_pivots_form_stars(spark):
