@@ -71,6 +71,13 @@ class UnitIndex:
             words, *phrases = spellings.split("|")
             for s in [*words.split(), *phrases]:
                 self.exact[(dimension, squeezed(s))] = (factor, offset)
+        # the same over all dimensions, fuzzy only among spellings of as many words
+        self.any: dict[str, dict[str, tuple[float, float]]] = defaultdict(dict)
+        self.any_grams: dict[tuple[int, str], set] = defaultdict(set)
+        for (dimension, s), unit in self.exact.items():
+            self.any[s][dimension] = unit
+            for g in self._grams(s) if len(s) >= _SHORT else ():
+                self.any_grams[(s.count(" "), g)].add(s)
         longest = max(len(s) for _, s in self.exact)
         #: No longer spelling is within the distance of a known one: what is left over weighs at least half.
         self.longest = int(longest * (1 + 2 * _PART))
@@ -101,6 +108,21 @@ class UnitIndex:
         return self.exact[(dimension, min(near)[1])] if near else None
 
 
+    def find_any(self, spelling: str) -> dict[str, tuple[float, float]]:
+        """By dimension factor and offset of a spelling, as find tells them; a near spelling must have as many words."""
+        for s in (spelling, spelling.replace(".", ""), spelling.replace(". ", " ")):
+            if s in self.any:
+                return self.any[s]
+        if len(spelling) < _SHORT or len(spelling) > self.longest or not any(c.isalpha() for c in spelling):
+            return {}
+        own, words, shared = self._grams(spelling), spelling.count(" "), defaultdict(int)
+        for g in own:
+            for s in self.any_grams.get((words, g), ()):
+                shared[s] += 1
+        near = [(cost, s) for s, n in shared.items() if 2 * n >= len(own) - 2 and (cost := edit_cost(spelling, s)) <= _PART * min(len(spelling), len(s))]
+        return self.any[min(near)[1]] if near else {}
+
+
 def edit_cost(a: str, b: str) -> float:
     """Edit distance in which vowels, endings and points weigh half."""
     weight = lambda c: 0.5 if c in _SMALL else 1.0
@@ -141,6 +163,7 @@ def map_unit(base_unit: str, text: str, start: int = 0) -> tuple[float, float] |
 
 #: The dimensions of units, in a fixed order.
 DIMENSIONS = tuple(dict.fromkeys(u[0] for u in UNITS))
+_spellings: dict[str, dict[str, tuple[float, float]]] = {}
 _any: dict[str, tuple[int, dict[str, tuple[float, float]]] | None] = {}
 _leading = [re.compile(r"\s*(?:\S+\s+){%d}\S+" % (n - 1)) for n in range(1, WORDS + 1)]
 
@@ -160,28 +183,34 @@ def unit_at(text: str, start: int = 0) -> tuple[int, dict[str, tuple[float, floa
 
 
 def _unit_at(phrase: str) -> tuple[int, dict[str, tuple[float, float]]] | None:
-    global _index
-    _index = _index or UnitIndex()
     for words in reversed(_leading):
         m = words.match(phrase)
         if m:
-            found = {d: u for d in DIMENSIONS if (u := _index.find(d, squeezed(m[0])))}
-            if found:
-                return m.end(), found
+            spelling = squeezed(m[0])
+            if spelling not in _spellings:
+                if len(_spellings) > 200_000:
+                    _spellings.clear()
+                _spellings[spelling] = _units().find_any(spelling)
+            if _spellings[spelling]:
+                return m.end(), _spellings[spelling]
     return None
 
 
-def _map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
+def _units() -> UnitIndex:
     global _index
     _index = _index or UnitIndex()
-    base = squeezed(base_unit)
-    dimension = next((d for d in ("volume", "concentration", "time", "length", "mass", "temperature") if (d, base) in _index.exact), None)
+    return _index
+
+
+def _map_unit(base_unit: str, text: str) -> tuple[float, float] | None:
+    index, base = _units(), squeezed(base_unit)
+    dimension = next((d for d in DIMENSIONS if (d, base) in index.exact), None)
     if dimension is None:
         return None
-    own = _index.exact[(dimension, base)]
+    own = index.exact[(dimension, base)]
     words = squeezed(text).split(" ")
     for n in range(min(WORDS, len(words)), 0, -1):
-        found = _index.find(dimension, squeezed(" ".join(words[:n])))
+        found = index.find(dimension, squeezed(" ".join(words[:n])))
         if found:
             factor, offset = found
             return (factor / own[0], offset - own[1] * own[0] / factor)
