@@ -1,9 +1,10 @@
 """The most similar vectors of every vector: a hierarchical navigable small world per shard.
 
 Vectors are split into shards by the nearest of a few centroids (fitted on a bounded
-sample; every vector is indexed). Each shard's graph is built as flat neighbour arrays and
-written to the shared folder. A query walks the graphs of the shards nearest to it, and the
-shards' results are merged. Exact copies of a vector are one node of the graph.
+sample; every vector is indexed). Each shard's graph is built by inserting its vectors in
+groups, each of which walks the graph built so far; it is stored as flat neighbour arrays in
+the shared folder. Every query walks the graphs of its own and of the nearest shards, and
+the shards' results are merged. Exact copies of a vector are one node of the graph.
 """
 
 from __future__ import annotations
@@ -28,14 +29,20 @@ PROBES, CORE = 8, 0.6
 LINKS = 12
 #: Candidates kept during a walk, and nodes expanded at once.
 BEAM, STEP = 8, 4
+#: Candidates kept while a node is inserted, and nodes inserted at once.
+BUILD_BEAM, GROUP = 24, 1024
 #: Bounds of the sample that centroids are fitted on (documented bound), and of their number.
-SAMPLE_LEAST, SAMPLE_EACH, CENTROIDS_MOST = 8192, 64, 4096
+SAMPLE_LEAST, SAMPLE_EACH, SAMPLE_MOST, CENTROIDS_MOST = 8192, 64, 262_144, 16_384
+#: Up to so many centroids are fitted at once, more of them in two levels.
+ONE_LEVEL = 512
+#: A shard's queries choose among so many centroids nearest to its own.
+NEAR_CELLS = 256
 #: One node of a layer in so many is also in the layer above.
 THIN = 16
-#: Lines that a row of similarities is folded into to find its greatest ones.
-FOLD = 16
 #: A layer of at most so many nodes is looked through as one block.
 BLOCK = 512
+#: Vectors of the graphs that a worker holds at once.
+HELD = 150_000
 
 
 def unit_rows(v: np.ndarray) -> np.ndarray:
@@ -43,59 +50,61 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return (v / np.where(n > 0, n, 1)).astype(np.float32)
 
 
-def _links(v: np.ndarray, most: int) -> np.ndarray:
-    """Neighbour array (n, most) of one layer; -1 fills.
-
-    The candidates of each node are thinned by the diversity rule (a candidate nearer to a
-    chosen neighbour than to the node is put back), then links are made mutual up to most.
-    """
-    n = len(v)
-    wide = min(n - 1, most + most // 2)
-    out = np.full((n, most), -1, np.int32)
-    if wide <= 0:
-        return out
-    near, sims = np.empty((n, wide), np.int32), np.empty((n, wide), np.float32)
-    step = max(1, min(n, (1 << 23) // n))
-    columns = -(-n // FOLD)  # a row of similarities folded into FOLD lines
-    other = np.zeros((v.shape[1], columns * FOLD), np.float32)
-    other[:, :n] = v.T
-    for at in range(0, n, step):
-        s = v[at : at + step] @ other
-        s[:, n:] = -np.inf
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        if columns > wide:  # the nearest lie in the columns of greatest maximum, as many as are wanted
-            most_of = s.reshape(len(s), FOLD, columns).max(1)
-            best = np.argpartition(most_of, columns - wide, axis=1)[:, columns - wide :]
-            places = (best[:, None, :] + (np.arange(FOLD) * columns)[None, :, None]).reshape(len(s), -1)
-        else:
-            places = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        part = np.take_along_axis(s, places, 1)
-        top = np.argpartition(part, part.shape[1] - wide, axis=1)[:, part.shape[1] - wide :]
-        val, top = np.take_along_axis(part, top, 1), np.take_along_axis(places, top, 1)
-        o = np.lexsort((top, -val), axis=1)
-        near[at : at + step], sims[at : at + step] = np.take_along_axis(top, o, 1), np.take_along_axis(val, o, 1)
-    keep = np.zeros((n, wide), bool)
-    half = most // 2
-    for at in range(0, n, 2048):
-        c, own = v[near[at : at + 2048]], sims[at : at + 2048]
-        between = c @ c.transpose(0, 2, 1)
-        chosen = np.zeros(own.shape, bool)
-        for k in range(wide):
-            chosen[:, k] = ~((between[:, k] > own[:, k, None]) & chosen).any(1) & (chosen.sum(1) < most)
-        # the nearest few stay in any case: what is asked for are the nearest
-        chosen[:, : min(half, wide)] = True
-        keep[at : at + 2048] = chosen
-    a, k = np.nonzero(keep)
-    b, s = near[a, k], sims[a, k]
-    frm, to, w = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-    _, first = np.unique(frm.astype(np.int64) * n + to, return_index=True)
-    frm, to, w = frm[first], to[first], w[first]
-    o = np.lexsort((to, -w, frm))
-    frm, to = frm[o], to[o]
-    rank = np.arange(len(frm)) - np.searchsorted(frm, frm)
-    ok = rank < most
-    out[frm[ok], rank[ok]] = to[ok]
-    return out
+def _best(sims: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most greatest similarities of each row, greatest first, with their ids."""
+    if sims.shape[1] > most:
+        top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
+        sims, ids = np.take_along_axis(sims, top, 1), np.take_along_axis(ids, top, 1)
+    o = np.argsort(-sims, axis=1, kind="stable")
+    return np.take_along_axis(sims, o, 1), np.take_along_axis(ids, o, 1)
+
+
+def _diverse(v: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+    """Which candidates (nearest first; -inf fills) a node links to: those not nearer to a chosen one than to the node; the nearest few in any case."""
+    c = v[near]
+    between = c @ c.transpose(0, 2, 1)
+    chosen = np.zeros(sims.shape, bool)
+    for k in range(sims.shape[1]):
+        chosen[:, k] = ~((between[:, k] > sims[:, k, None]) & chosen).any(1) & (chosen.sum(1) < most)
+    chosen[:, : most // 2] = True
+    return chosen & np.isfinite(sims)
+
+
+class _Layer:
+    """One layer while it is built: flat neighbour arrays with their similarities, -1 fills."""
+
+    def __init__(self, v: np.ndarray, most: int):
+        self.v, self.most = v, most
+        self.links = np.full((len(v), most), -1, np.int32)
+        self.sims = np.full((len(v), most), -np.inf, np.float32)
+
+    def insert(self, new: np.ndarray, entry: np.ndarray) -> None:
+        """Links new nodes: candidates are what a walk from the entry nodes (-1 fills) finds and the nearest of the group itself."""
+        v, q = self.v, self.v[new]
+        wide = min(self.most + self.most // 2, BUILD_BEAM + len(new) - 1)
+        own = q @ q.T
+        np.fill_diagonal(own, -np.inf)
+        sims, at = _best(own, np.broadcast_to(np.arange(len(new)), own.shape), min(wide, len(new)))
+        ids = new[at]
+        if entry.shape[1]:
+            start = np.where(entry < 0, -np.inf, np.einsum("qd,qkd->qk", q, v[np.maximum(entry, 0)])).astype(np.float32)
+            found, near = Graph._beam(q, v, self.links, entry, start, BUILD_BEAM, None)
+            sims, ids = _best(np.concatenate([sims, near], 1), np.concatenate([ids, np.maximum(found, 0)], 1), wide)
+        keep = _diverse(v, ids, sims, self.most)
+        a, k = np.nonzero(keep)
+        frm, to, w = new[a], ids[a, k], sims[a, k]
+        # mutual: what a node links to links back; of more than it holds the nearest stay
+        touched = np.unique(np.concatenate([frm, to]))
+        r, k = np.nonzero(self.links[touched] >= 0)
+        frm, to, w = np.concatenate([frm, to, touched[r]]), np.concatenate([to, frm, self.links[touched[r], k]]), np.concatenate([w, w, self.sims[touched[r], k]])
+        _, once = np.unique(frm.astype(np.int64) * len(v) + to, return_index=True)
+        frm, to, w = frm[once], to[once], w[once]
+        o = np.lexsort((to, -w, frm))
+        frm, to, w = frm[o], to[o], w[o]
+        rank = np.arange(len(frm)) - np.searchsorted(frm, frm)
+        ok = rank < self.most
+        self.links[touched], self.sims[touched] = -1, -np.inf
+        self.links[frm[ok], rank[ok]], self.sims[frm[ok], rank[ok]] = to[ok], w[ok]
 
 
 class Graph:
@@ -106,13 +115,27 @@ class Graph:
 
     @classmethod
     def build(cls, v: np.ndarray, links: int = LINKS, seed: int = 1) -> Graph:
+        """Layers from the top down; in each the nodes of the layer above come first, then the others in groups."""
         rng = np.random.default_rng(seed)
-        members, layers = np.arange(len(v), dtype=np.int32), []
-        while True:
-            layers.append((members, _links(v[members], links if not layers else max(2, links // 2)) if len(members) > BLOCK else np.zeros((0, 0), np.int32)))
-            if len(members) <= BLOCK:
-                return cls(v, layers)
-            members = np.sort(rng.choice(members, max(1, len(members) // THIN), replace=False))
+        sets = [np.arange(len(v), dtype=np.int32)]
+        while len(sets[-1]) > BLOCK:
+            sets.append(np.sort(rng.choice(sets[-1], max(1, len(sets[-1]) // THIN), replace=False)))
+        graph = cls(v, [(sets[-1], np.zeros((0, 0), np.int32))])
+        for depth in range(len(sets) - 2, -1, -1):
+            members, above = sets[depth], sets[depth + 1]
+            layer = _Layer(v[members], links if depth == 0 else max(2, links // 2))
+            first = np.searchsorted(members, above).astype(np.int32)
+            rest = rng.permutation(np.setdiff1d(np.arange(len(members), dtype=np.int32), first))
+            order = np.concatenate([first, rest])
+            for at in range(0, len(order), GROUP):
+                new = order[at : at + GROUP]
+                if at < len(first):  # of the layer above: no way down to walk yet but what is in already
+                    entry = np.broadcast_to(order[: min(at, 1)], (len(new), min(at, 1)))
+                else:
+                    entry = np.searchsorted(members, graph._down(v[members[new]], 4)).astype(np.int32)
+                layer.insert(new, entry)
+            graph = cls(v, [(members, layer.links), *graph.layers])
+        return graph
 
     def search(self, q: np.ndarray, k: int, beam: int = BEAM, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of about the k nearest nodes of each query, best first; -1 fills.
@@ -128,30 +151,40 @@ class Graph:
             ids[at : at + step], sims[at : at + step] = i[:, :k], s[:, :k]
         return ids, sims
 
-    def own_neighbours(self, k: int) -> np.ndarray:
-        """Each node and its k nearest in the shard: the first of its own neighbour array, which keeps the nearest half in any case."""
-        links, me = self.layers[0][1], np.arange(len(self.v), dtype=np.int32)
-        if 2 * k > links.shape[1]:
-            return self.search(self.v, k + 1, start=me)[0]
-        return np.concatenate([me[:, None], links[:, :k]], 1)
+    def exact(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of the k nearest nodes of each query by comparing all, in blocks."""
+        k = min(k, len(self.v))
+        step = max(1, (1 << 23) // max(1, len(self.v)))
+        parts = []
+        for at in range(0, len(q), step):
+            s = q[at : at + step] @ self.v.T
+            parts.append(_best(s, np.broadcast_to(np.arange(len(self.v)), s.shape), k))
+        return np.concatenate([i for _, i in parts]).astype(np.int32), np.concatenate([s for s, _ in parts])
+
+    def _down(self, q: np.ndarray, width: int) -> np.ndarray:
+        """Some nodes of the lowest layer so far that are near each query."""
+        return self._descend(q, width, 0)[0][:, :width]
 
-    def _walk(self, q: np.ndarray, beam: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def _descend(self, q: np.ndarray, beam: int, until: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         top = self.layers[-1][0]
         s = q @ self.v[top].T
         width = min(beam, len(top))
         first = np.argpartition(-s, width - 1, axis=1)[:, :width]
         ids, sims = top[first], np.take_along_axis(s, first, 1)
-        for depth in range(len(self.layers) - 2, -1, -1):
+        for depth in range(len(self.layers) - 2, until - 1, -1):
             members, links = self.layers[depth]
-            if depth:
+            whole = len(members) == len(self.v)
+            if not whole:
                 ids = np.searchsorted(members, ids).astype(np.int32)
-            seed = start if depth == 0 else None
-            ids, sims = self._beam(q, self.v if depth == 0 else self.v[members], links, ids, sims, beam if depth == 0 else 8, seed)
-            if depth:
+            ids, sims = self._beam(q, self.v if whole else self.v[members], links, ids, sims, beam if whole else 8, start if whole else None)
+            if not whole:
                 ids = members[np.maximum(ids, 0)]
         o = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, o, 1), np.take_along_axis(sims, o, 1)
 
+    def _walk(self, q: np.ndarray, beam: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        return self._descend(q, beam, 0, start)
+
     @staticmethod
     def _beam(q, v, links, ids, sims, beam, start):
         n, rows = len(v), np.arange(len(q))[:, None]
@@ -213,9 +246,14 @@ class Graph:
 
 
 def fit_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Spherical k-means on a bounded sample."""
+    """Spherical k-means on a bounded sample; many centroids are fitted in two levels."""
     rng = np.random.default_rng(seed)
     count = max(1, min(count, len(sample)))
+    if count > ONE_LEVEL:
+        coarse = fit_centroids(sample, int(np.sqrt(count)), rounds, seed)
+        home = np.concatenate([(sample[k : k + 8192] @ coarse.T).argmax(1) for k in range(0, len(sample), 8192)])
+        parts = [sample[home == c] for c in range(len(coarse))]
+        return np.concatenate([fit_centroids(p, min(ONE_LEVEL, max(1, round(count * len(p) / len(sample)))), rounds, seed) for p in parts if len(p)])
     c = sample[rng.choice(len(sample), count, replace=False)].copy()
     for _ in range(rounds):
         near = np.concatenate([(sample[k : k + 8192] @ c.T).argmax(1) for k in range(0, len(sample), 8192)])
@@ -227,6 +265,13 @@ def fit_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3
     return c
 
 
+def nearest_centroid(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centroid, similarity to it) of each vector, in blocks."""
+    step = max(1, (1 << 23) // len(centroids))
+    found = [(s.argmax(1), s.max(1)) for k in range(0, len(v), step) for s in (v[k : k + step] @ centroids.T,)]
+    return (np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) if found else (np.zeros(0, int), np.zeros(0, np.float32))
+
+
 def _usable(batch: pa.RecordBatch, at: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, vectors) of a batch's vectors that are finite and not all zero."""
     flat = batch.column(at).flatten()
@@ -246,7 +291,7 @@ def _plan(vectors: DataFrame, dim: int, shard: int) -> dict[str, tuple[np.ndarra
     counts = {r["kind"]: r["n"] for r in vectors.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     plan = {}
     wanted = {k: min(CENTROIDS_MOST, -(-n // shard)) for k, n in counts.items()}
-    limits = {k: max(SAMPLE_LEAST, SAMPLE_EACH * c) for k, c in wanted.items()}
+    limits = {k: min(SAMPLE_MOST, max(SAMPLE_LEAST, SAMPLE_EACH * c)) for k, c in wanted.items()}
     chance = {k: min(1.0, 1.2 * limits[k] / counts[k]) for k in counts}
     drawn = None
     for k in counts:
@@ -264,17 +309,19 @@ def _plan(vectors: DataFrame, dim: int, shard: int) -> dict[str, tuple[np.ndarra
         if not len(sample):
             continue
         c = fit_centroids(sample, wanted[k])
-        sims = sample @ c.T
-        home = sims.argmax(1)
+        home, own = nearest_centroid(sample, c)
         share = np.bincount(home, minlength=len(c)) / max(1, len(sample))
-        angle = np.array([np.quantile(np.arccos(np.clip(sims[home == x, x], -1, 1)), 1 - CORE) if (home == x).any() else np.pi for x in range(len(c))])
+        angle = np.array([np.quantile(np.arccos(np.clip(own[home == x], -1, 1)), 1 - CORE) if (home == x).any() else np.pi for x in range(len(c))])
         plan[k] = (c, np.maximum(1, np.ceil(share * n / (3 * shard))).astype(np.int32), angle)
     return plan
 
 
-def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
+def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int = SHARD, probes: int | None = PROBES) -> DataFrame:
     """kind, key, near_key: about the k nearest vectors of each vector, within its kind.
 
+    probes: shards walked for a query; None compares every vector with all others, in
+    blocks, and gives exactly the k nearest (of copies the k least keys).
+
     vectors: kind, key (string), v (array of dim numbers), as vectors_of gives them. By
     cosine, at a tie the smaller key is nearer; repeated rows count once. A kind of fewer
     than k + 1 vectors gives all pairs there are, an empty table none.
@@ -299,7 +346,7 @@ def neighbour_pairs(vectors: DataFrame, k: int = 5, dim: int = 32, shard: int =
             for kind in set(kinds):
                 at = np.flatnonzero(kinds == kind)
                 c, parts, _ = shared.value[kind]
-                cell[at] = (v[at] @ c.T).argmax(1)
+                cell[at] = nearest_centroid(v[at], c)[0]
                 mix = np.frombuffer(v[at].tobytes(), np.uint32).reshape(len(at), dim).astype(np.uint64)
                 h = (mix * (np.arange(dim, dtype=np.uint64) * 2 + 2654435761)).sum(1) >> np.uint64(13)
                 sub[at] = (h % parts[cell[at]].astype(np.uint64)).astype(np.int32)
@@ -369,18 +416,18 @@ def _with_copies(found: DataFrame, located: DataFrame, many: DataFrame, k: int)
 
 
 class _Shards:
-    """Graphs read from the shared folder, the last few kept."""
+    """Graphs read from the shared folder, the last few kept: at most HELD vectors and the cell asked for."""
 
-    def __init__(self, uri: str, dim: int, kept: int = 24):
+    def __init__(self, uri: str, dim: int):
         from pyarrow import fs
 
         self.fs, self.base = fs.FileSystem.from_uri(uri)
-        self.dim, self.kept, self.have = dim, kept, {}
+        self.dim, self.have = dim, {}
 
     def cell(self, kind: str, cell: int) -> list[tuple[int, Graph, list, np.ndarray]]:
         at = (kind, cell)
         if at not in self.have:
-            if len(self.have) >= self.kept:
+            while self.have and sum(len(g.v) for c in self.have.values() for _, g, _, _ in c) > HELD:
                 self.have.pop(next(iter(self.have)))
             t = []
             from pyarrow import fs
@@ -393,7 +440,7 @@ class _Shards:
         return self.have[at]
 
 
-def _shard_pairs(reader: _Shards, plan, kind: str, cell: int, sub: int, k: int, probes: int) -> pd.DataFrame:
+def _shard_pairs(reader: _Shards, plan, kind: str, cell: int, sub: int, k: int, probes: int | None) -> pd.DataFrame:
     """Nearest keys of every node of one shard, from its own graph and those of the nearest shards.
 
     Shards are walked from the nearest centre on; one whose core, seen from the query, lies
@@ -402,16 +449,20 @@ def _shard_pairs(reader: _Shards, plan, kind: str, cell: int, sub: int, k: int,
     centroids, _, core = plan
     own, keys, ends = next((g, ks, e) for s, g, ks, e in reader.cell(kind, cell) if s == sub)
     q, n = own.v, len(own.v)
-    angle = np.arccos(np.clip(q @ centroids.T, -1, 1))
-    angle[:, cell] = -1  # its own cell comes first
-    probes = min(probes, len(centroids))
-    order = np.argsort(angle, axis=1)[:, :probes]
+    # its own cell comes first, then the cells nearest to a query among those nearest to its cell
+    close = np.argsort(-(centroids @ centroids[cell]), kind="stable")[: len(centroids) if probes is None else NEAR_CELLS]
+    angle = np.arccos(np.clip(q @ centroids[close].T, -1, 1))
+    angle[:, close == cell] = -1
+    rounds = len(close) if probes is None else min(probes, len(close))
+    order = np.argsort(angle, axis=1)[:, :rounds]
     best_s, best = np.full((n, k + 1), -np.inf), np.full((n, k + 1), -1, np.int64)
     used: dict[tuple[int, int], int] = {}
     bases, names = [0], []
-    for r in range(probes):
-        todo = order[:, r]
+    for r in range(rounds):
+        todo = close[order[:, r]]
         near = np.take_along_axis(angle, order[:, r : r + 1], 1)[:, 0] - core[todo] < np.arccos(np.clip(best_s[:, k], -1, 1))
+        if probes is None:
+            near[:] = True
         for c in np.unique(todo[near]) if r else [cell]:
             rows = np.flatnonzero(near & (todo == c)) if r else np.arange(n)
             for s, g, ks, e in reader.cell(kind, int(c)):
@@ -419,7 +470,10 @@ def _shard_pairs(reader: _Shards, plan, kind: str, cell: int, sub: int, k: int,
                     used[c, s] = bases[-1]
                     bases.append(bases[-1] + len(g.v))
                     names.append((ks, e))
-                ids = g.own_neighbours(k) if c == cell and s == sub else g.search(q[rows], k + 1)[0]
+                if probes is None:
+                    ids = g.exact(q[rows], k + 1)[0]
+                else:
+                    ids = g.search(q[rows], k + 1, start=rows.astype(np.int32) if c == cell and s == sub else None)[0]
                 sims = np.where(ids < 0, -np.inf, np.einsum("qd,qkd->qk", q[rows].astype(np.float64), g.v[np.maximum(ids, 0)].astype(np.float64)))
                 if ids.shape[1] < k + 1:
                     pad = ((0, 0), (0, k + 1 - ids.shape[1]))
