@@ -140,8 +140,10 @@ class ChainModel:
         own = self.clean_scores(clean) if clean else np.zeros(0)
         #: Mean log-likelihood a bigram that clean text has at least.
         self.least = float(np.percentile(own, 0.2)) - 0.5 if len(own) else -8.0
-        #: A text as likely as most clean ones needs no look at the chains.
-        self.sure = float(np.percentile(own, 20)) if len(own) else 0.0
+        #: A text restored in parts must be as likely as most clean ones for other chains not to be tried.
+        self.usual = float(np.percentile(own, 20)) if len(own) else 0.0
+        #: A text as likely as nearly all clean ones is clean, and a chain that gives one is the right one.
+        self.sure = (self.usual + self.least) / 2
 
     def clean_scores(self, texts: list[str]) -> np.ndarray:
         """Mean log-likelihood of a bigram of each text as the better of the two kinds of clean text."""
@@ -178,7 +180,7 @@ class ChainModel:
         return self.restore_all([text])[0]
 
     def _restored(self, text: str) -> str | None:
-        """The original of one text: chains are tried from the likeliest on, as long as they are likelier than clean text, until one gives a text as likely as most clean ones."""
+        """The original of one text: chains are tried from the likeliest on, as long as they are likelier than clean text, until one gives a text as likely as nearly all clean ones."""
         if "\ufffd" in text:
             return None
         f = features(text)
@@ -189,11 +191,14 @@ class ChainModel:
             for whole in (True, False):
                 got = self._invert(text, CHAINS[k - 2], whole)
                 every = whole and got is not None and self._every(text, CHAINS[k - 2])
-                if got is not None and (score := self._reads(got, every)) is not None and (best is None or score + WHOLE * whole > best[0] + 1e-6):
+                score = self._reads(got, every) if got is not None else None
+                if score is not None and (best is None or score + WHOLE * whole > best[0] + 1e-6):
                     best = (score + WHOLE * whole, got)
-                if every:  # runs that all decode as several bytes a character weren't clean by chance
+                right = best is not None and best[0] >= (self.sure if whole else self.usual) + WHOLE
+                # runs that all decode as several bytes a character weren't clean by chance
+                if every or right:
                     break
-            if best and best[0] >= self.sure + WHOLE:  # the next chains are less likely ones
+            if right:  # the next chains are less likely ones
                 break
         return best[1] if best and best[0] > own + GAIN else None
 
