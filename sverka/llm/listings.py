@@ -145,27 +145,59 @@ def read_amounts(value: str | None, unit: str | None, indicator: str | None) ->
 
 _SIZES = [f"size_{d}" for d in units.DIMENSIONS]
 #: Places of the evidence of a document: name rows first, then the file name; other rows from the last to the first.
-_FILE, _ROWS = 1 << 40, 1 << 40
+_FILE, _ROWS = 1 << 40, 1 << 41
 
 
-def _read_texts(df: DataFrame, source: int) -> DataFrame:
-    """doc_id, place, text of one source read into tokens."""
-    schema = "doc_id string, place bigint, source int, code string, pack bigint, " + ", ".join(f"{s} bigint" for s in _SIZES) + ", words array<string>, keys array<string>, names array<string>"
+_TOLD = "doc_id string, place bigint, attr string, number bigint, code string, pack bigint, " + ", ".join(f"{s} bigint" for s in _SIZES) + ", words array<string>, keys array<string>, names array<string>"
+_NOTHING: dict = {"code": None, "pack": None, "sizes": {}, "words": None, "names": None}
+
+
+def _told(doc_id: pa.Array, place: list[int], attr: list[str | None], number: list[int | None], read: list[dict]) -> pa.RecordBatch:
+    """What was read of some rows as a batch of _TOLD."""
+    texts = pa.list_(pa.string())
+    keys = [None if r["words"] is None else [sound_key(w) for w in r["words"]] for r in read]
+    names = [None if r["names"] is None else sorted({sound_key(w) for w in r["names"]}) for r in read]
+    columns = [doc_id, pa.array(place, pa.int64()), pa.array(attr, pa.string()), pa.array(number, pa.int64()), pa.array([r["code"] for r in read], pa.string()), pa.array([r["pack"] for r in read], pa.int64())]
+    columns += [pa.array([r["sizes"].get(d) for r in read], pa.int64()) for d in units.DIMENSIONS]
+    columns += [pa.array([r["words"] for r in read], texts), pa.array(keys, texts), pa.array(names, texts)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in _TOLD.split(", ")])
+
+
+def read_files(docs: DataFrame) -> DataFrame:
+    """What the file names of documents (doc_id, file_name) tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            yield _told(batch.column(0), [_FILE] * n, [None] * n, [None] * n, [read_listing(consistent_text(t)) for t in batch.column(1).to_pylist()])
+
+    return docs.where("file_name is not null").select("doc_id", "file_name").mapInArrow(run, _TOLD)
+
+
+def read_rows(rows: DataFrame, spec: DataFrame, aliases: DataFrame, name: str, counts: list[str], sized: list[str]) -> DataFrame:
+    """What the rows of some attributes tell: name rows their tokens, others a whole number or the amounts by dimension. One pass."""
+    stated = attributes.attribute_rows(rows, spec, aliases, ["text", "integer", "quantity"], [name, *counts, *sized])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [read_listing(t if source == 0 else consistent_text(t)) for t in batch.column(2).to_pylist()]
-            sizes = [pa.array([r["sizes"].get(d) for r in read], pa.int64()) for d in units.DIMENSIONS]
-            words, texts = [r["words"] for r in read], pa.list_(pa.string())
-            columns = [batch.column(0), batch.column(1), pa.array([source] * len(read), pa.int32()), pa.array([r["code"] for r in read], pa.string()), pa.array([r["pack"] for r in read], pa.int64()), *sizes]
-            lists = [pa.array(words, texts), pa.array([[sound_key(w) for w in x] for x in words], texts), pa.array([sorted({sound_key(w) for w in r["names"]}) for r in read], texts)]
-            yield pa.RecordBatch.from_arrays([*columns, *lists], names=["doc_id", "place", "source", "code", "pack", *_SIZES, "words", "keys", "names"])
+            order, indicator, value, unit, code = (batch.column(c).to_pylist() for c in ("row_ord", "indicator", "value_raw", "unit", "attr_code"))
+            number, read = [None] * len(code), []
+            for r, (i, v, u, c) in enumerate(zip(indicator, value, unit, code)):
+                if c == name:
+                    read.append(read_listing(v))
+                    continue
+                if c in counts:
+                    m = _whole.search(v or "")
+                    number[r] = _count(m[0]) if m else None
+                read.append(_NOTHING if c in counts else _NOTHING | {"sizes": read_amounts(v, u, i)})
+            place = [(o or 0) if c == name else _ROWS - (o or 0) for o, c in zip(order, code)]
+            yield _told(batch.column("doc_id"), place, [None if c == name else c for c in code], number, read)
 
-    return df.mapInArrow(run, schema)
+    return stated.select("doc_id", "row_ord", "indicator", "value_raw", "unit", "attr_code").mapInArrow(run, _TOLD)
 
 
 def frequent_words(told: DataFrame) -> list[str]:
-    """The words of at least one text in FREQUENT that aren't names, most frequent first, at most MOST_WORDS."""
+    """The words of at least one text (a row of _TOLD without attr) in FREQUENT that aren't names, most frequent first, at most MOST_WORDS."""
     used = told.select(F.explode(F.arrays_zip("words", "keys")).alias("x")).groupBy(F.col("x.words").alias("word"), F.col("x.keys").alias("key")).agg(F.count("*").alias("n"))
     named = told.select(F.explode("names").alias("key")).groupBy("key").agg(F.count("*").alias("named"))
     keys = used.groupBy("key").agg(F.sum("n").alias("all")).join(named, "key", "left")
@@ -191,7 +223,8 @@ def _marked(told: DataFrame, words: list[str]) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             marks, brands = np.zeros((2 * blocks, n), np.int64), []
-            for r, (source, own, keys, names) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "words", "keys", "names")))):
+            for r, (place, own, keys, names) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "words", "keys", "names")))):
+                source = int(place == _FILE)
                 for w in own:
                     if w in ids:
                         marks[blocks * source + ids[w] // 63, r] |= 1 << (ids[w] % 63)
@@ -202,24 +235,6 @@ def _marked(told: DataFrame, words: list[str]) -> DataFrame:
     return told.mapInArrow(run, schema)
 
 
-def read_attributes(rows: DataFrame, spec: DataFrame, aliases: DataFrame, counts: list[str], sized: list[str]) -> DataFrame:
-    """doc_id, place, attr, number, and the amounts by dimension of the rows of some attributes, whole numbers and quantities."""
-    stated = attributes.attribute_rows(rows, spec, aliases, ["integer", "quantity"], [*counts, *sized])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            order, indicator, value, unit, code = (batch.column(c).to_pylist() for c in ("row_ord", "indicator", "value_raw", "unit", "attr_code"))
-            number, amounts = [], []
-            for i, v, u, c in zip(indicator, value, unit, code):
-                m = _whole.search(v or "") if c in counts else None
-                number.append(_count(m[0]) if m else None)
-                amounts.append({} if c in counts else read_amounts(v, u, i))
-            sizes = [pa.array([a.get(d) for a in amounts], pa.int64()) for d in units.DIMENSIONS]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_ROWS - (o or 0) for o in order], pa.int64()), batch.column("attr_code"), pa.array(number, pa.int64()), *sizes], names=["doc_id", "place", "attr", "number", *_SIZES])
-
-    return stated.select("doc_id", "row_ord", "indicator", "value_raw", "unit", "attr_code").mapInArrow(run, "doc_id string, place bigint, attr string, number bigint, " + ", ".join(f"{s} bigint" for s in _SIZES))
-
-
 def _bits(batch: pa.RecordBatch, source: str, count: int) -> np.ndarray:
     """(documents, words) of zeros and ones."""
     out = np.zeros((batch.num_rows, count), np.float32)
@@ -350,24 +365,22 @@ def listing_fields(docs: DataFrame, rows: DataFrame, spec: DataFrame, aliases: D
     document that tells nothing has nulls; kind and variant are numbers of concepts. One
     shuffle with partial aggregation; no document's rows are collected.
     """
-    names = attributes.attribute_rows(rows, spec, aliases, ["text"], [name]).select("doc_id", F.col("row_ord").cast("bigint").alias("place"), "value_raw")
-    files = docs.where("file_name is not null").select("doc_id", F.lit(_FILE).alias("place"), "file_name")
-    told = written(_read_texts(names, 0).unionByName(_read_texts(files, 1)), "listing-texts")
-    words = frequent_words(told)
-    stated = told.where("source = 0").agg(F.count("*").alias("n"), *(F.count(s).alias(s) for s in _SIZES)).first()
-    usual = [d for d, s in zip(units.DIMENSIONS, _SIZES) if stated[s] > STATED * stated["n"]]
     of_unit = {r["attr_code"]: units.unit_at(r["base_unit"].lower()) for r in spec.where("value_type = 'quantity' and base_unit is not null").collect()}  # the fixed dictionary
+    counts = sorted(r["attr_code"] for r in spec.where("value_type = 'integer'").collect())
+    read = read_rows(rows, spec, aliases, name, counts, sorted(of_unit))
+    everything = written(read.unionByName(read_files(docs)), "listing-texts")
+    told, stated = everything.where("attr is null"), everything.where("attr is not null")
+    words = frequent_words(told)
+    named = told.where(F.col("place") < _FILE).agg(F.count("*").alias("n"), *(F.count(s).alias(s) for s in _SIZES)).first()
+    usual = [d for d, s in zip(units.DIMENSIONS, _SIZES) if named[s] > STATED * named["n"]]
     sized = {a: next((d for d in usual if d in u[1]), None) for a, u in sorted(of_unit.items()) if u}
     sized = {a: d for a, d in sized.items() if d}
-    counts = sorted(r["attr_code"] for r in spec.where("value_type = 'integer'").collect())
-    extra = read_attributes(rows, spec, aliases, counts, list(sized))
     marked = _marked(told, words)
     bits = [c for c in marked.columns if re.fullmatch(r"[wf]\d+", c)]
-    union = marked.withColumn("attr", F.lit(None).cast("string")).unionByName(extra, allowMissingColumns=True)
+    union = marked.withColumn("attr", F.lit(None).cast("string")).unionByName(stated.select("doc_id", "place", "attr", "number", *_SIZES), allowMissingColumns=True)
     own = F.col("attr").isNull()
     told_by = [*(_first(c, own).alias(c) for c in ("code", "brand", "pack", *_SIZES)), *(F.coalesce(F.bit_or(b), F.lit(0)).alias(b) for b in bits)]
-    for a in sized:
-        told_by.append(_first(f"size_{sized[a]}", F.col("attr") == a).alias(a))
+    told_by += [_first(f"size_{d}", F.col("attr") == a).alias(a) for a, d in sized.items()]
     told_by += [_first("number", F.col("attr") == a).alias(a) for a in counts]
     listed = written(union.groupBy("doc_id").agg(*told_by), "listed")
     learned = learn(listed, words)
@@ -441,7 +454,8 @@ def correlation_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     nodes (the open node of least priority is always a pivot, so each round takes some);
     each is written to the shared folder. Nodes without links are their own cluster.
     """
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select(F.col("b"), F.col("a"))).where("x <> y").distinct()
+    ways = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    both = links.where("a <> b").select(F.explode(ways).alias("l")).select("l.*").distinct()
     open_links = checkpoint(both.select("x", "y", F.xxhash64("x").alias("px"), F.xxhash64("y").alias("py")))
     clusters = None
     while not open_links.isEmpty():

@@ -35,6 +35,38 @@ def test_nearest_vectors_against_brute_force(spark):
     assert len(got) == len(set(got))
 
 
+def test_walks_against_the_exact_mode(spark):
+    """Recall of the walks at two sizes, with one shard and with many; no answer is read off the graph."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    for n, shard in ((1200, 5000), (4000, 600)):
+        items = {f"k{k:05}": centres[k % 40] + 0.6 * rng.normal(size=16) for k in range(n)}
+        want = set(near(spark, items.items(), k=5, dim=16, shard=shard, probes=None))
+        assert len(want & brute(items, 5)) / len(want) > 0.999  # vectors are held in single precision
+        got = set(near(spark, items.items(), k=5, dim=16, shard=shard))
+        assert len(want & got) / len(want) > 0.95
+
+
+def test_inserted_graph_is_searched_by_walks():
+    rng = np.random.default_rng(4)
+    v = neighbours.unit_rows(rng.normal(size=(3000, 16)))
+    g = neighbours.Graph.build(v)
+    links = g.layers[0][1]
+    assert len(g.layers) > 1 and (links[:, 0] >= 0).all() and (links != np.arange(3000)[:, None]).all()
+    q = neighbours.unit_rows(rng.normal(size=(500, 16)))
+    want, got = g.exact(q, 5)[0], g.search(q, 5, beam=16)[0]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(want, got)]) / 5 > 0.9
+
+
+def test_many_centroids_are_fitted_in_two_levels(monkeypatch):
+    monkeypatch.setattr(neighbours, "ONE_LEVEL", 10)
+    rng = np.random.default_rng(6)
+    sample = neighbours.unit_rows(rng.normal(size=(2000, 8)))
+    c = neighbours.fit_centroids(sample, 60)
+    home, sims = neighbours.nearest_centroid(sample, c)
+    assert 40 <= len(c) <= 80 and np.bincount(home, minlength=len(c)).max() < 200 and sims.mean() > 0.7
+
+
 def test_nearest_vectors_of_odd_tables(spark):
     v = [1.0, 2, 3, 4, 5, 6, 7, 8]
     items = [("a", v), ("a", v), ("b", [2 * x for x in v]), ("c", None), ("d", [0.0] * 8), ("e", [1.0] * 4), ("f", [math.nan] * 8), ("g", [-x for x in v])]
@@ -323,6 +355,30 @@ def test_tables_grow_and_are_edited(start, more, at, removed):
     assert table.edit(at, removed, more).ids() == tokens.PrefixTable(v, (start + more)[:at] + more + (start + more)[at + removed :]).ids()
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.text(alphabet="аб ab1.'s\n\té", max_size=60), st.integers(0, 60), st.integers(0, 8), st.text(alphabet="аб ab1.'s\n", max_size=6))
+def test_edited_texts_are_encoded_anew_only_near_the_edit(text, at, removed, inserted):
+    v = tokens.vocabulary()
+    at = min(at, len(text))
+    removed = min(removed, len(text) - at)
+    table = tokens.TextTable(v, text).edit(at, removed, inserted)
+    want = text[:at] + inserted + text[at + removed :]
+    assert table.text == want and table.ids() == v.ids(want) == tokens.TextTable(v, want).ids()
+
+
+def test_an_edit_meets_the_old_tokens_again():
+    v = tokens.vocabulary()
+    text = "слово и ещё слово. " * 2000
+    table = tokens.TextTable(v, text).edit(19_000, 3, "замена")
+    assert table.touched < 10 and table.ids() == v.ids(text[:19_000] + "замена" + text[19_003:])
+    data = ("прибор" * 400).encode()
+    asked = []
+    piece = tokens.PrefixTable(v, data)
+    own, piece._token = piece._token, lambda end: asked.append(end) or own(end)
+    assert piece.edit(300, 4, b"abc").ids() == tokens.PrefixTable(v, data[:300] + b"abc" + data[304:]).ids()
+    assert len(asked) < len(data) - 300
+
+
 def test_token_table(spark):
     df = spark.createDataFrame([(1, "Тест набора", 7), (2, "", 7), (3, None, 7), (1, "Тест набора", 7)], "doc_id bigint, text string, ids int")
     got = sorted((r["doc_id"], len(r["ids"])) for r in tokens.encode(df).collect())
