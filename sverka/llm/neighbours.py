@@ -88,12 +88,12 @@ class _Layer:
         ids = new[at]
         if entry.shape[1]:
             start = np.where(entry < 0, -np.inf, np.einsum("qd,qkd->qk", q, v[np.maximum(entry, 0)])).astype(np.float32)
-            found, near = Graph._beam(q, v, self.links, entry, start, BUILD_BEAM, None)
+            found, near = Graph._beam(q, v, self.links, entry, start, BUILD_BEAM)
             sims, ids = _best(np.concatenate([sims, near], 1), np.concatenate([ids, np.maximum(found, 0)], 1), wide)
         keep = _diverse(v, ids, sims, self.most)
         a, k = np.nonzero(keep)
         frm, to, w = new[a], ids[a, k], sims[a, k]
-        # mutual: what a node links to links back; of more than it holds the nearest stay
+        # mutual: what a node links to links back; of more than it holds the diverse ones stay
         touched = np.unique(np.concatenate([frm, to]))
         r, k = np.nonzero(self.links[touched] >= 0)
         frm, to, w = np.concatenate([frm, to, touched[r]]), np.concatenate([to, frm, self.links[touched[r], k]]), np.concatenate([w, w, self.sims[touched[r], k]])
@@ -102,9 +102,19 @@ class _Layer:
         o = np.lexsort((to, -w, frm))
         frm, to, w = frm[o], to[o], w[o]
         rank = np.arange(len(frm)) - np.searchsorted(frm, frm)
-        ok = rank < self.most
-        self.links[touched], self.sims[touched] = -1, -np.inf
-        self.links[frm[ok], rank[ok]], self.sims[frm[ok], rank[ok]] = to[ok], w[ok]
+        wide = 2 * self.most  # of more candidates the farthest drop out
+        ok = rank < wide
+        frm, to, w, rank = frm[ok], to[ok], w[ok], rank[ok]
+        row = np.searchsorted(touched, frm)
+        ids, sims = np.full((len(touched), wide), -1, np.int32), np.full((len(touched), wide), -np.inf, np.float32)
+        ids[row, rank], sims[row, rank] = to, w
+        full = np.flatnonzero(sims[:, self.most] > -np.inf)
+        for at in range(0, len(full), GROUP):
+            some = full[at : at + GROUP]
+            chosen = _diverse(v, np.maximum(ids[some], 0), sims[some], self.most)
+            sims[some] = np.where(chosen, sims[some], -np.inf)
+        sims, ids = _best(sims, ids, self.most)
+        self.links[touched], self.sims[touched] = np.where(np.isfinite(sims), ids, -1), sims
 
 
 class Graph:
@@ -140,7 +150,7 @@ class Graph:
     def search(self, q: np.ndarray, k: int, beam: int = BEAM, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of about the k nearest nodes of each query, best first; -1 fills.
 
-        start: a node each query starts from besides the way down from the top layer.
+        start: the node each query starts from, instead of the way down from the top layer.
         """
         k = min(k, len(self.v))
         beam = max(beam, k)
@@ -163,35 +173,33 @@ class Graph:
 
     def _down(self, q: np.ndarray, width: int) -> np.ndarray:
         """Some nodes of the lowest layer so far that are near each query."""
-        return self._descend(q, width, 0)[0][:, :width]
+        return self._descend(q, width)[0][:, :width]
 
-    def _descend(self, q: np.ndarray, beam: int, until: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _descend(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         top = self.layers[-1][0]
         s = q @ self.v[top].T
         width = min(beam, len(top))
         first = np.argpartition(-s, width - 1, axis=1)[:, :width]
         ids, sims = top[first], np.take_along_axis(s, first, 1)
-        for depth in range(len(self.layers) - 2, until - 1, -1):
-            members, links = self.layers[depth]
+        for members, links in self.layers[-2::-1]:
             whole = len(members) == len(self.v)
             if not whole:
                 ids = np.searchsorted(members, ids).astype(np.int32)
-            ids, sims = self._beam(q, self.v if whole else self.v[members], links, ids, sims, beam if whole else 8, start if whole else None)
+            ids, sims = self._beam(q, self.v if whole else self.v[members], links, ids, sims, beam if whole else 8)
             if not whole:
                 ids = members[np.maximum(ids, 0)]
-        o = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, o, 1), np.take_along_axis(sims, o, 1)
+        return _best(sims, ids, sims.shape[1])[::-1]
 
     def _walk(self, q: np.ndarray, beam: int, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        return self._descend(q, beam, 0, start)
+        if start is None or len(self.layers) == 1:
+            return self._descend(q, beam)
+        ids = start[:, None].astype(np.int32)
+        ids, sims = self._beam(q, self.v, self.layers[0][1], ids, np.einsum("qd,qd->q", q, self.v[start])[:, None], beam)
+        return _best(sims, ids, sims.shape[1])[::-1]
 
     @staticmethod
-    def _beam(q, v, links, ids, sims, beam, start):
+    def _beam(q, v, links, ids, sims, beam):
         n, rows = len(v), np.arange(len(q))[:, None]
-        if start is not None:
-            known = (ids == start[:, None]).any(1)
-            own = np.where(known, -np.inf, np.einsum("qd,qd->q", q, v[start]))
-            ids, sims = np.concatenate([ids, start[:, None]], 1), np.concatenate([sims, own[:, None].astype(np.float32)], 1)
         if ids.shape[1] > beam:
             o = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
             ids, sims = np.take_along_axis(ids, o, 1), np.take_along_axis(sims, o, 1)
@@ -222,8 +230,9 @@ class Graph:
             near = np.sort(near, axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
             seen[a, near] = True
-            got = np.einsum("qd,qmd->qm", q[active], v[near], optimize=False)
-            got = np.where(near < 0, -np.inf, got).astype(np.float32)
+            r, m = np.nonzero(near >= 0)  # often less than half: only these are compared
+            got = np.full(near.shape, -np.inf, np.float32)
+            got[r, m] = np.einsum("nd,nd->n", q[active[r]], v[near[r, m]])
             all_ids = np.concatenate([ids[active], near], 1)
             all_sims = np.concatenate([sims[active], got], 1)
             all_done = np.concatenate([done[active], near < 0], 1)
