@@ -43,8 +43,10 @@ def centroid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def fnv1a(token: Column) -> Column:
-    """FNV-1a (32 bits) over the UTF-16 units of a token."""
-    units = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+    """FNV-1a (32 bits) over the UTF-16 units of a token: two for a character beyond the basic plane."""
+    hexed = F.hex(F.encode(token, "UTF-16BE"))  # four hexadecimal digits a unit
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(hexed), F.lit(1)), F.lit(4)), lambda k: k < F.length(hexed))
+    units = F.transform(at, lambda k: F.conv(F.substring(hexed, k, F.lit(4)), 16, 10).cast("bigint"))
     step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint"))
     return F.aggregate(units, F.lit(2166136261).cast("bigint"), step)
 

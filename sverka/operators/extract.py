@@ -146,7 +146,7 @@ def html_table_rows(df: DataFrame, key: str, html: str) -> DataFrame:
     """doc_id, pos, first, value of each table row of markup: its first cell and the others joined."""
     trs = df.select(F.col(key).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<tr.*?</tr>)"), F.lit(1))).alias("pos", "tr"))
     cells = F.filter(F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1)), X.strip_html), lambda c: (c != "") & (c != "\\"))
-    return trs.withColumn("cells", cells).where(F.size("cells") > 0).select("doc_id", "pos", F.get("cells", 0).alias("first"), F.array_join(F.slice("cells", 2, 1000), " \n ").alias("value"))
+    return trs.withColumn("cells", cells).where(F.size("cells") > 0).select("doc_id", "pos", F.get("cells", 0).alias("first"), F.array_join(F.slice("cells", 2, F.size("cells")), " \n ").alias("value"))
 
 
 def word_table_rows(df: DataFrame, key: str, xml: str) -> DataFrame:
@@ -156,7 +156,7 @@ def word_table_rows(df: DataFrame, key: str, xml: str) -> DataFrame:
         s = F.regexp_replace(s, pattern, by)
     flat = df.select(F.col(key).alias("doc_id"), F.posexplode(F.split(X.decode_entities(s), "\n")).alias("pos", "line")).where(F.col("line").contains("|"))
     cells = F.filter(F.transform(F.split("line", r"\|"), X.trimmed), lambda c: (c != "") & (c != "\\"))
-    return flat.withColumn("cells", cells).where(F.size("cells") > 0).select("doc_id", "pos", F.get("cells", 0).alias("first"), F.array_join(F.slice("cells", 2, 1000), " \n ").alias("value"))
+    return flat.withColumn("cells", cells).where(F.size("cells") > 0).select("doc_id", "pos", F.get("cells", 0).alias("first"), F.array_join(F.slice("cells", 2, F.size("cells")), " \n ").alias("value"))
 
 
 #: Tokens that say yes, and texts that are no indicator.
@@ -226,7 +226,7 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
         )
     )
     direct = cells.select("doc_id", F.col("row").alias("ord"), F.explode(pairs).alias("p")).select("doc_id", "ord", "p.*")
-    blobs = cells.where(wide).select("doc_id", F.col("row").alias("place"), F.explode(F.slice("cells", 3, 1000)).alias("blob")).where(F.length(F.trim("blob")) > 1)
+    blobs = cells.where(wide).select("doc_id", F.col("row").alias("place"), F.explode(F.slice("cells", 3, F.size("cells"))).alias("blob")).where(F.length(F.trim("blob")) > 1)
     specs = spec_blob(blobs.withColumn("k", F.struct("doc_id", "place")), "k", "blob").select("k.doc_id", F.col("k.place").alias("ord"), "indicator", "value_raw")
     return direct.unionByName(specs)
 

@@ -48,10 +48,17 @@ class Library:
         return self.spark.read.text(f"{self.path}/current").first()[0] if fs.exists(at) else None
 
     def _point(self, version: str) -> None:
+        """Writes the pointer beside and renames it, so no reader sees a part of it."""
         jvm, fs = self._hadoop()
-        stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/current"), True)
+        path = jvm.org.apache.hadoop.fs.Path
+        beside, current = path(f"{self.path}/current-{uuid.uuid4().hex}"), path(f"{self.path}/current")
+        stream = fs.create(beside, True)
         stream.write(version.encode())
         stream.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(files.makeQualified(beside), files.makeQualified(current), overwrite)
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         """(docs, rows); a missing library is an empty one."""

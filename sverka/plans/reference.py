@@ -55,8 +55,8 @@ def norm_heavy_rows(spark, d):
 
 @query(f"SELECT doc_id, len({D.tokens('text')}) AS n, len(list_distinct({D.tokens('text')})) AS n_distinct FROM documents")
 def tokenize_docs(spark, d):
-    t = X.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    counts = X.bound(X.tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("n_distinct")))
+    return table(spark, d, "documents").select("doc_id", counts.alias("c")).select("doc_id", "c.*")
 
 
 @query(f"SELECT doc_id, {D.html('text')} AS plain FROM documents")
@@ -314,22 +314,22 @@ def disease_markers_docs(spark, d):
     return table(spark, d, "library_rows").select("doc_id", F.explode(R.disease_markers(F.col("value_raw"))).alias("marker")).distinct()
 
 
-@query(f"""WITH m AS ({_MARK}), s AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), src AS (SELECT DISTINCT source, marker FROM m JOIN (SELECT DISTINCT doc_id, substr(stored_path, 1, 20) AS source FROM library_docs WHERE stored_path IS NOT NULL) USING (doc_id)), c AS (SELECT source, count(*) AS size FROM src GROUP BY 1),
+@query(f"""WITH m AS ({_MARK}), s AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1), src AS (SELECT DISTINCT source, marker FROM m JOIN (SELECT DISTINCT doc_id, regexp_extract(stored_path, '^(.*?)[^/]*$', 1) AS source FROM library_docs WHERE stored_path IS NOT NULL) USING (doc_id)), c AS (SELECT source, count(*) AS size FROM src GROUP BY 1),
   h AS (SELECT m.doc_id, src.source, count(*) AS hits FROM m JOIN src USING (marker) GROUP BY 1, 2), r AS (SELECT doc_id, source, hits / n AS recall, hits / size AS precision, size - hits AS extra FROM h JOIN s USING (doc_id) JOIN c USING (source)),
   a AS (SELECT * FROM r QUALIFY recall = max(recall) OVER (PARTITION BY doc_id)), b AS (SELECT * FROM a QUALIFY precision = max(precision) OVER (PARTITION BY doc_id))
   SELECT doc_id, source, round(recall, 6) AS recall, round(precision, 6) AS precision, extra FROM b QUALIFY extra = min(extra) OVER (PARTITION BY doc_id)""")
 def marker_cascade(spark, d):
-    """The folders whose markers cover a document's best: by recall, then precision, then least extra."""
+    """The folders whose markers cover a document's best: by recall, then precision, then least extra. Documents of equal marker sets are one class."""
     m = disease_markers_docs(spark, d)
-    folders = table(spark, d, "library_docs").where("stored_path is not null").select("doc_id", F.substring("stored_path", 1, 20).alias("source")).distinct()
-    src = m.join(folders, "doc_id").select("source", "marker").distinct()
-    size = src.groupBy("source").agg(F.count("*").alias("size"))
-    n = m.groupBy("doc_id").agg(F.count("*").alias("n"))
-    hits = m.select("doc_id", "marker").join(src, "marker").groupBy("doc_id", "source").agg(F.count("*").alias("hits")).join(n, "doc_id").join(size, "source")
-    r = hits.select("doc_id", "source", (F.col("hits") / F.col("n")).alias("recall"), (F.col("hits") / F.col("size")).alias("precision"), (F.col("size") - F.col("hits")).alias("extra"))
+    sets = m.groupBy("doc_id").agg(F.sort_array(F.collect_set("marker")).alias("own"))  # of the few fixed markers
+    folders = table(spark, d, "library_docs").where("stored_path is not null").select("doc_id", F.regexp_extract("stored_path", "^(.*?)[^/]*$", 1).alias("source")).distinct()
+    src = m.join(folders, "doc_id").groupBy("source").agg(F.collect_set("marker").alias("theirs"))
+    classes = sets.select("own").distinct().withColumn("marker", F.explode("own")).join(src.withColumn("marker", F.explode("theirs")), "marker").select("own", "source", "theirs").distinct()
+    shared = F.size(F.array_intersect("own", "theirs"))
+    r = classes.select("own", "source", (shared / F.size("own")).alias("recall"), (shared / F.size("theirs")).alias("precision"), (F.size("theirs") - shared).cast("bigint").alias("extra"))
     for name, best in (("recall", F.max), ("precision", F.max), ("extra", F.min)):
-        r = r.withColumn("best", best(name).over(Window.partitionBy("doc_id"))).where(F.col(name) == F.col("best")).drop("best")
-    return r.select("doc_id", "source", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "extra")
+        r = r.withColumn("best", best(name).over(Window.partitionBy("own"))).where(F.col(name) == F.col("best")).drop("best")
+    return sets.join(r, "own").select("doc_id", "source", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "extra")
 
 
 _ANALYZER = quoted(re2("(?:для|к){ws}+анализатор[а-яё]*{ws}+([^.;,\\n]{2,120})"))
@@ -497,8 +497,8 @@ def word_table_rows(spark, d):
 
 _MELT = "unnest([{'o': 0, 'i': 'brand', 'v': p_brand}, {'o': 1, 'i': 'type', 'v': p_type}, {'o': 2, 'i': 'size', 'v': p_size::VARCHAR}, {'o': 3, 'i': 'price', 'v': round(p_retailprice)::BIGINT::VARCHAR}])"
 _PARTS = f"""WITH m AS (SELECT p_partkey AS id, p_brand AS brand, r.o AS ord, r.i AS ind, r.v AS v, {D.squeezed("r.v")} AS s FROM (SELECT *, {_MELT} AS r FROM part)),
-  q AS (SELECT id, brand, ord, ind, {D.features("v", "q").replace("qs", "s")} FROM m WHERE id % 20 = 0), l AS (SELECT id, brand, ord, ind, {D.features("v", "l").replace("ls", "s")} FROM m WHERE id % 20 <> 0),
-  x AS (SELECT q.id AS query_id, l.id AS doc_id, q.ord, q.ind, {D.match_reason("q", "l")} AS r FROM q JOIN l ON q.brand = l.brand AND q.ind = l.ind),
+  q AS (SELECT id, brand, ord, ind, {D.features("v", "q").replace("qs", "s")} FROM m WHERE id % 20 = 0), l AS (SELECT id, brand, ord, ind, {D.features("v", "l").replace("ls", "s")} FROM m),
+  x AS (SELECT q.id AS query_id, l.id AS doc_id, q.ord, q.ind, {D.match_reason("q", "l")} AS r FROM q JOIN l ON q.brand = l.brand AND q.ind = l.ind AND q.id <> l.id),
   s AS (SELECT query_id, doc_id, count(*) AS points FROM x WHERE r[1] = '1' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM s)"""
 
 
@@ -513,8 +513,8 @@ def _pairs(spark, d):
     """Rows of every part whose key is divisible by 20 beside the same rows of all others of its brand."""
     m = _melted(spark, d)
     q = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), "brand", "ord", "ind", F.col("f").alias("q"))
-    l = m.where("id % 20 <> 0").select(F.col("id").alias("doc_id"), "brand", "ind", F.col("f").alias("l"))  # noqa: E741
-    return q.join(l, ["brand", "ind"])
+    l = m.select(F.col("id").alias("doc_id"), "brand", "ind", F.col("f").alias("l"))  # noqa: E741
+    return q.join(l, ["brand", "ind"]).where("query_id <> doc_id")
 
 
 def _best(spark, d):

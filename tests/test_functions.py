@@ -95,6 +95,7 @@ def test_vectors(spark):
     c = spark.createDataFrame([("k", [1.0, 3.0]), ("k", [3.0, 5.0]), ("k", None)], "k string, v array<double>")
     assert V.centroid_vectors(c, "k", "v").first()["centroid"] == [2, 4]
     assert one(spark, "", V.fnv1a) == 2166136261
+    assert one(spark, "😀", V.fnv1a) == 3409036472  # two UTF-16 units
     h = 2166136261
     for ch in "тест":
         h = (h ^ ord(ch)) * 16777619 & 0xFFFFFFFF

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sverka.operators import extract, gate, library, models, scoring
+from sverka.operators import extract, gate, library, matching, models, scoring
 from sverka.operators import rows as R
 from sverka.session import written
 from sverka.sources import files
@@ -102,6 +102,55 @@ def test_matching(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "PythonUDF" not in plan
 
 
+def matched(spark):
+    rows = "doc_id string, row_ord int, indicator string, value_raw string, embedding array<double>, extra int"
+    e, f = [1.0] + [0.0] * 31, [0.9, 0.1] + [0.0] * 30
+    lib = spark.createDataFrame(
+        [("q", 0, "Объем пробы", "10 мкл", None, 1), ("q", 1, "Количество тестов", "25", None, 1), ("q", 2, "Код КТРУ", "1", None, 1), ("q", 3, "Длина", "7 мм", e, 1), ("q", 4, None, None, None, 1)]
+        + [("a", 0, "объем  пробы", "10,5 мкл", None, 1), ("a", 1, "Комплектация", "25", None, 1), ("a", 2, "Протяжённость", "7 мм", f, 1), ("b", 0, "Объем пробы", "50 мкл", None, 1), ("b", 1, None, "x", [float("nan")] * 32, 1)],
+        rows,
+    )
+    candidates = spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.9)], "query_id string, doc_id string, similarity double")
+    asked = lib.where("doc_id = 'q'").withColumnRenamed("doc_id", "query_id")
+    return asked, candidates, matching.compared_rows(asked, lib, candidates)
+
+
+def test_documents_are_matched_end_to_end(spark):
+    asked, candidates, compared = matched(spark)
+    scored = matching.scored(asked, compared, candidates)
+    got = {r["doc_id"]: (r["points"], r["total"], r["indicators"]) for r in scored.collect()}
+    assert got == {"a": (3, 3, ["Объем пробы", "Количество тестов", "Длина"]), "b": (0, 3, None)}  # the length by its vector alone
+    best = matching.best_documents(scored)
+    assert [(r["doc_id"], r["percent"], r["decision"]) for r in best.collect()] == [("a", 100.0, "match")]
+    rows = {r["q_ord"]: (r["matched_value"], r["match"]) for r in matching.best_rows(compared, best).collect()}
+    assert rows[0] == ("10,5 мкл", True) and rows[3] == ("7 мм", True)
+    docs = spark.createDataFrame([("a", "a.pdf", "p", ".pdf")], "doc_id string, original_filename string, stored_path string, extension string")
+    answer = json.loads(matching.answers(best, matching.best_rows(compared, best), docs).first()["answer"])
+    assert answer["bestMatchFilename"] == "a.pdf" and len(answer["rowResults"]) == 3 and answer["matches"][0]["matchedCount"] == 3
+    assert matching.scored(asked.limit(0), compared.limit(0), candidates.limit(0)).count() == 0
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "PythonUDF" not in plan
+
+
+def test_nearest_documents_and_the_gate(spark):
+    v = lambda *x: list(map(float, x)) + [0.0] * (32 - len(x))
+    docs = spark.createDataFrame([("a", 0, v(1)), ("b", 1, v(1, 1)), ("c", 2, v(0, 1)), ("d", 3, v(1)), ("e", 4, None)], "doc_id string, doc_ord bigint, v array<double>")
+    near = matching.nearest_documents(docs.where("doc_id in ('a', 'c')"), docs, 2)
+    assert {(r["query_id"], r["doc_id"]) for r in near.collect()} == {("a", "d"), ("a", "b"), ("c", "b"), ("c", "a")}
+    gate = spark.createDataFrame([("a", "c"), ("a", "e")], "query_id string, doc_id string")
+    got = {(r["query_id"], r["doc_id"]) for r in matching.gated_candidates(gate, near, docs, docs).collect()}
+    assert got == {("a", "c"), ("a", "e"), ("c", "b"), ("c", "a")}
+
+
+def test_markers_narrow_the_pairs(spark):
+    q = spark.createDataFrame([("q", "hiv"), ("q", "hcv")], "query_id string, marker string")
+    lib = spark.createDataFrame([("a", "hiv"), ("a", "hcv"), ("b", "hiv"), ("c", "hiv"), ("c", "hcv"), ("c", "hbv")], "doc_id string, marker string")
+    pairs = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c"), ("r", "a"), ("r", "b")], "query_id string, doc_id string")
+    shares = matching.marker_shares(q, lib, pairs)
+    assert {(r["query_id"], r["doc_id"]): (r["marker_recall"], r["marker_extra"]) for r in shares.collect()}[("q", "b")] == (0.5, 0)
+    assert {(r["query_id"], r["doc_id"]) for r in matching.narrowed_by_markers(shares).collect()} == {("q", "a"), ("r", "a"), ("r", "b")}
+
+
 def test_narrowed(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "query_id string, f boolean")
     assert sorted(map(tuple, scoring.narrowed(df, "f").collect())) == [("a", True), ("b", False)]
@@ -172,6 +221,35 @@ def test_json_sources(spark, tmp_path):
     assert [(r["href"], r["max_price"], len(r["attachments"])) for r in files.rest_item(one, "body").collect()] == [("h", 5.0, 1), ("t", None, 0)]
 
 
+def test_sheets_in_the_order_of_the_workbook(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="b" r:id="r2"/><sheet name="a" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet10.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><r><t>Объ</t></r><r><t>ем</t></r><rPh><t>hint</t></rPh></si></sst>")
+        for k in (1, 10, 2):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c><v>{k}</v></c></row></sheetData></worksheet>')
+    assert [c for _, _, c in files.xlsx_rows(out.getvalue())] == [["Объем", "10"], ["Объем", "1"], ["Объем", "2"]]
+
+
+def test_files_left_out_are_told(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 100)
+    (tmp_path / "b.txt").write_bytes(b"x")
+    (tmp_path / "c.doc").write_bytes(b"x")
+    at = str(tmp_path)
+    assert {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in files.skipped_files(spark, at, 50).collect()} == {("a.pdf", "too large"), ("b.txt", "unsupported type")}
+    assert files.spec_files(spark, at, 50).count() == 1 and files.spec_files(spark, at, None).count() == 2
+
+
+def test_missing_index_and_orders(spark, tmp_path):
+    docs, rows = files.index_json(spark, str(tmp_path / "none.json"))
+    assert docs.count() == 0 and rows.count() == 0
+    body = spark.createDataFrame([('{"tenders":[{"_id":"1"},{"orderName":"n"},{"x":1}]}',), ('[{"_id":"3","orderName":"m"}]',), ("no",)], "body string")
+    assert {tuple(r) for r in files.rest_orders(body, "body").collect()} == {("1", ""), ("", "n"), ("3", "m")}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lib = library.Library(spark, f"file://{tmp_path}/lib")
