@@ -19,6 +19,7 @@ from sverka.operators.order import next_rows, numbered, running_last, sorted_nei
 _NG = "(нг/?{ws}*мл|ng/?{ws}*ml)?"
 # Patterns over lower-case text, and the indicator each one tells.
 PACK = "колич(?:ество)?{ws}*(?:товара|набор(?:а|ов)?|устройств)?{ws}*(?:в{ws}*)?упаков[кч][а-яё]*[\\s\\S]{0,80}?(?:>=|≥|не{ws}*менее|не{ws}*более|=)?{ws}*([0-9]{1,4}){ws}*(?:шт|штук)?{b}"
+PACK_BEFORE = "(?:>=|≥|не{ws}*менее|не{ws}*более|=)?{ws}*([0-9]{1,4}){ws}*(?:шт|штук){b}[\\s\\S]{0,80}?колич(?:ество)?{ws}*(?:товара|набор(?:а|ов)?|устройств)?{ws}*(?:в{ws}*)?упаков[кч][а-яё]*"
 GAUGE = "(?:игл[аы]|needle)[^0-9]{0,12}([0-9]{1,2}){ws}*g{b}"
 ANALYTIC = "аналитическ[а-яё{nws}]*чувствительн[а-яё{nws}]*(?:\\({ws}*концентрац[а-яё{nws}]*\\))?[^0-9]{0,24}([0-9]{1,6}(?:[.,][0-9]+)?){ws}*" + _NG
 MINIMUM = "минимальн[а-яё{nws}]*определя[а-яё{nws}]*концентрац[а-яё{nws}]*[^0-9]{0,24}([0-9]{1,6}(?:[.,][0-9]+)?){ws}*" + _NG
@@ -31,7 +32,7 @@ NAME_STOP = "^(?:описани[ея]|назначени[ея]|колич|опр
 
 
 #: A pattern can only be found in a text that holds its lexeme.
-HINTS = {PACK: ["колич"], GAUGE: ["игл", "needle"], ANALYTIC: ["аналитическ"], MINIMUM: ["минимальн"], COLOURS[0]: ["цветн"], COLOURS[1]: ["цветов"]}
+HINTS = {PACK: ["колич"], PACK_BEFORE: ["колич"], GAUGE: ["игл", "needle"], ANALYTIC: ["аналитическ"], MINIMUM: ["минимальн"], COLOURS[0]: ["цветн"], COLOURS[1]: ["цветов"]}
 
 
 def _found(text: str, pattern: str, group: int = 1) -> Column:
@@ -49,8 +50,8 @@ def _rows(df: DataFrame, key: str, values: Column, indicator: str) -> DataFrame:
 
 
 def pack_quantities(df: DataFrame, key: str, text: str) -> DataFrame:
-    """"N шт." for each quantity told with the number in a pack."""
-    n = F.filter(F.transform(_found(text, PACK), lambda x: x.cast("int")), lambda x: x > 0)
+    """"N шт." for each quantity told after or before the words for the number in a pack."""
+    n = F.filter(F.transform(F.concat(_found(text, PACK), _found(text, PACK_BEFORE)), lambda x: x.cast("int")), lambda x: x > 0)
     return _rows(df, key, F.transform(n, lambda x: F.concat(x.cast("string"), F.lit(" шт."))), "Количество в упаковке")
 
 
@@ -122,7 +123,87 @@ def names_ahead(lines: DataFrame, ahead: int = 19) -> DataFrame:
     marked = running_last(placed, "doc_id", F.when(F.col("head"), F.col("n")), "h")
     marked = running_last(marked, "doc_id", F.when(F.col("stop"), F.col("n")), "s", current=True)
     under = (F.col("n") - F.col("h") <= ahead) & (F.coalesce("s", F.lit(-1)) <= F.col("h")) & (F.length("line") >= 6)
-    return marked.where(under).select("doc_id", "pos", F.col("line").alias("value_raw"))
+    return marked.where(under).where(R.could_be_name(F.col("line"))).select("doc_id", "pos", F.col("line").alias("value_raw"))
+
+
+# ---- producers over whole texts: a text's lines are an array, nothing is shuffled ---------
+
+
+def _after_heads(text: str, head: str, stop: str, most: int) -> Column:
+    """Of every line that is a head the lines after it, at most `most` and up to the first stop line."""
+
+    def under(lines: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda k: F.coalesce(F.lower(F.get(lines, k - 1)).rlike(X.java(head)), F.lit(False)))
+
+        def taken(k: Column) -> Column:
+            part = F.slice(lines, k + 1, most)
+            at = F.array_position(F.transform(part, lambda x: F.lower(x).rlike(stop)), True)
+            return F.slice(part, 1, F.when(at > 0, at - 1).otherwise(most).cast("int"))
+
+        return F.flatten(F.transform(heads, taken))
+
+    return X.bound(X.lines(F.col(text)), under)
+
+
+def text_names(df: DataFrame, key: str, text: str, ahead: int = 19) -> DataFrame:
+    """names_ahead over the lines of whole texts."""
+    flat = df.select(key, F.posexplode(F.array_distinct(_after_heads(text, "наименование{ws}+товар", NAME_STOP, ahead))).alias("ord", "value_raw"))
+    return flat.where((F.length(X.norm_light(F.col("value_raw"))) >= 6) & R.could_be_name(F.col("value_raw"))).select(key, F.lit("Наименование товара").alias("indicator"), "value_raw", "ord")
+
+
+# What ends a block of materials, and the words that name materials in texts.
+MATERIAL_STOP = "^(?:время|описани[ея]|назначени[ея]|состав|колич|наименование)"
+MATERIAL_HEAD = "^исследуем[а-яё{nws}]+материал"
+BLOOD_INLINE = "в{ws}+цельн[а-яё{nws}]*кров[аи],?{ws}*сыворот[к0-9a-z_{nws}]*{ws}*(?:или|и){ws}*плазм[а-яё0-9a-z_{nws}]*"
+
+
+def text_materials(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Materials that a text names: in the block under their heading, in a list of blood products, or by urine and saliva."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    block = F.filter(F.transform(_after_heads(text, MATERIAL_HEAD, MATERIAL_STOP, 7), lambda x: X.trimmed(X.replaced(x, "{ws}+", " "))), lambda x: F.lower(x).rlike("моч|слюн|кров|сыворот|плазм"))
+
+    def named(t: Column) -> Column:
+        words = [t.contains(w) for w in ("цельн", "кров", "сыворот", "плазм")]
+        blood = t.rlike(X.java(BLOOD_INLINE)) | (words[0] & words[1] & words[2] & words[3])
+        # word boundaries are of Latin letters and digits, as everywhere in the specification
+        urine = t.rlike(X.java("{b}в{ws}+моч[еёи]{b}|{b}моч[аеи]{b}"))
+        saliva = t.rlike(X.java("{b}в{ws}+слюн[еы]{b}|{b}слюн[аеи]{b}"))
+        told = [(blood, m) for m in ("Цельная кровь", "Сыворотка крови", "Плазма крови")] + [(urine, "Моча"), (saliva, "Слюна")]
+        return F.array_compact(F.array(*(F.when(ok, F.lit(m)) for ok, m in told)))
+
+    return _rows(df, key, F.concat(block, X.bound(low, named)), "Исследуемый материал")
+
+
+# Fixed value: a description, as a text of some length after its word.
+DESCRIPTION = "(?:^|[\\t|;,\\n\\r ])описани[ея]{ws}*[:\\-]?{ws}*([^\\n\\r]{20,400})"
+
+
+def descriptions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Descriptions in a text, in lower case, each once."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(X.java(DESCRIPTION)), F.lit(1))
+    flat = F.filter(F.transform(found, lambda v: X.trimmed(X.replaced(v, "{ws}+", " "))), lambda v: F.length(v) >= 20)
+    return _rows(df, key, flat, "Описание")
+
+
+def analyzers(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, analyzer: the analyzers that a text says something is for, each once."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(X.java(ANALYZER)), F.lit(1))
+    flat = df.select(key, F.explode(found).alias("a")).select(key, X.trimmed(F.col("a")).alias("analyzer"))
+    return flat.where(F.length("analyzer") >= 2).distinct()
+
+
+#: Fixed value: what follows the words "for" or "to an analyzer".
+ANALYZER = "(?:для|к){ws}+анализатор[а-яё]*{ws}+([^.;,\\n]{2,120})"
+#: Fixed value: lines that head a column and are no value of a label.
+NO_VALUE = r"^(?:наименование|значение|ед\.?\s*изм|количество|№|п/п)$"
+
+
+def text_labels(df: DataFrame, key: str, text: str) -> DataFrame:
+    """A line that is one of a few labels with the next line as its value, if that is acceptable."""
+    pairs = X.bound(X.lines(F.col(text)), lambda ls: F.arrays_zip(F.slice(ls, 1, F.greatest(F.size(ls) - 1, F.lit(0))).alias("a"), F.slice(ls, 2, F.size(ls)).alias("b")))
+    flat = df.select(key, F.posexplode(pairs).alias("ord", "p")).select(key, "ord", F.col("p.a").alias("indicator"), F.col("p.b").alias("value_raw"))
+    fine = X.norm_simple(F.col("indicator")).isin(LABELS) & ~F.lower("value_raw").rlike(NO_VALUE)
+    return flat.where(fine).where(R.acceptable(F.col("indicator"), F.col("value_raw"))).select(key, "indicator", "value_raw", "ord")
 
 
 def carry_forward(cells: DataFrame) -> DataFrame:
@@ -191,14 +272,43 @@ def purposes(df: DataFrame, key: str, text: str) -> DataFrame:
     return flat.where(told & ~low.rlike("^(?:описани[ея]|наименование товара|колич|время|состав|хранить)")).select(key, F.lit("Назначение").alias("indicator"), "value_raw", "ord")
 
 
-def document_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+#: Producers of each kind of document, in the order in which they tell a row first.
+PRODUCERS = {
+    "doc": [pack_quantities, text_names, purposes, text_materials, infections, descriptions, text_labels, colour_scales, sensitivities, needle_gauges],
+    "pdf": [text_materials, sensitivities, needle_gauges],
+}
+
+
+def document_rows(df: DataFrame, key: str, text: str, kind: str = "doc") -> DataFrame:
     """key, indicator, value_raw, producer, ord: all that a document's text tells, each pair once.
 
-    The producers in order: the line automaton, quantities in a pack, purposes, infection
-    markers, colour scales, sensitivities, needle gauges.
+    First the line automaton, then the producers of its kind in their order, last the
+    materials that the rows found name.
     """
-    parts = [guess_rows(df, key, text), pack_quantities(df, key, text), purposes(df, key, text), infections(df, key, text).withColumn("ord", F.lit(0)), colour_scales(df, key, text), sensitivities(df, key, text), needle_gauges(df, key, text)]
-    return union_first(parts, key)
+    parts = [guess_rows(df, key, text)]
+    for produce in PRODUCERS[kind]:
+        part = produce(df, key, text)
+        parts.append(part if "ord" in part.columns else part.withColumn("ord", F.lit(0)))
+    told = union_first(parts, key)
+    named = materials(told.select(F.col(key).alias("doc_id"), "indicator", "value_raw")).select(F.col("doc_id").alias(key), F.lit("Исследуемый материал").alias("indicator"), "value_raw", F.lit(len(parts)).alias("producer"), F.lit(0).cast("bigint").alias("ord"))
+    new = named.join(told.select(key, "indicator", "value_raw"), [key, "indicator", "value_raw"], "left_anti")
+    return told.unionByName(new)
+
+
+# A quantity and a volume or length inside a text without marks: (label)(number)(unit).
+BLOB_QUANTITY = "(колич[а-яёa-z{nws}]{0,40})([0-9]{1,4}){ws}*(шт|штук)"
+BLOB_VOLUME = "(об[ъь]?[её]м[а-яёa-z{nws}]{0,30})([0-9]{1,4}(?:[.,][0-9]+)?){ws}*(мл|мм|см|мкм|г)"
+
+
+def blob_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ord, indicator, value_raw: the first quantity and the first volume that stand inside a text, in its own letter case."""
+    out = None
+    for k, pattern in enumerate((BLOB_QUANTITY, BLOB_VOLUME)):
+        whole = "(?iu)" + X.java(pattern)
+        label, number, unit = (F.regexp_extract(F.coalesce(F.col(text), F.lit("")), whole, g) for g in (1, 2, 3))
+        part = df.select(key, F.lit(k).alias("ord"), X.trimmed(label).alias("indicator"), F.concat_ws(" ", number, unit).alias("value_raw")).where("indicator <> ''")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def spec_blob(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -214,10 +324,13 @@ def spec_blob(df: DataFrame, key: str, text: str) -> DataFrame:
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """doc_id, ord, indicator, value_raw of sheet rows (doc_id, row, cells): columns A and B, C and E, wide rows of a numbered list.
 
-    A wide row (an ordinal in A) tells the product name in B and its specifications from C on.
+    A wide row (an ordinal in A) tells the product name in B and its specifications from C
+    on; a row without A whose B is a long text tells what the text does. A document of which
+    nothing is told so is read as lines of cells by the automaton. A pair must be acceptable.
     """
-    c = lambda k: X.norm_light(F.coalesce(F.get("cells", k), F.lit("")))
-    wide = F.regexp_replace(F.coalesce(F.get("cells", 0), F.lit("")), r"\s", "").rlike(r"^\d{1,4}$") & (F.size("cells") >= 3)
+    raw = lambda k: F.coalesce(F.get("cells", k), F.lit(""))
+    c = lambda k: X.norm_light(raw(k))
+    wide = F.regexp_replace(raw(0), r"\s", "").rlike(r"^\d{1,4}$") & (F.size("cells") >= 3)
     pairs = F.array_compact(
         F.array(
             F.when(wide & (F.length(c(1)) > 20), F.struct(F.lit("Наименование товара").alias("indicator"), c(1).alias("value_raw"))),
@@ -226,9 +339,18 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
         )
     )
     direct = cells.select("doc_id", F.col("row").alias("ord"), F.explode(pairs).alias("p")).select("doc_id", "ord", "p.*")
+    long = (X.trimmed(raw(0)) == "") & (F.length(raw(1)) > 400)
     blobs = cells.where(wide).select("doc_id", F.col("row").alias("place"), F.explode(F.slice("cells", 3, F.size("cells"))).alias("blob")).where(F.length(F.trim("blob")) > 1)
-    specs = spec_blob(blobs.withColumn("k", F.struct("doc_id", "place")), "k", "blob").select("k.doc_id", F.col("k.place").alias("ord"), "indicator", "value_raw")
-    return direct.unionByName(specs)
+    blobs = blobs.unionByName(cells.where(long).select("doc_id", F.col("row").alias("place"), raw(1).alias("blob"))).withColumn("k", F.struct("doc_id", "place"))
+    specs = spec_blob(blobs, "k", "blob").drop("ord").unionByName(blob_numbers(blobs, "k", "blob").drop("ord"))
+    told = cells.where(long).select(F.struct("doc_id", F.col("row").alias("place")).alias("k"), raw(1).alias("blob"))
+    specs = specs.unionByName(guess_rows(told, "k", "blob").drop("ord"))
+    out = direct.unionByName(specs.select("k.doc_id", F.col("k.place").alias("ord"), "indicator", "value_raw"))
+    out = out.where(R.acceptable(F.col("indicator"), F.col("value_raw")))
+    line = F.array_join(F.filter("cells", lambda x: F.coalesce(x, F.lit("")) != ""), " | ")
+    rest = cells.join(out.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "row", line.alias("line")).where("line <> ''")
+    whole = rest.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))  # one file's lines
+    return out.unionByName(guess_rows(whole, "doc_id", "text"))
 
 
 # ---- the line-pairing automaton -------------------------------------------------------

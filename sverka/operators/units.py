@@ -21,35 +21,35 @@ from sverka.session import written
 
 # Dimension, factor to the dimension's own unit, offset added before the factor, spellings.
 UNITS = [
-    ("volume", 1e-3, 0.0, "мкл микролитр микролитров ul mkl µl microlitre microliter"),
-    ("volume", 1.0, 0.0, "мл миллилитр миллилитра миллилитров ml millilitre milliliter см3 см^3 cm3 cc|куб. см|кубических сантиметров|кубический сантиметр"),
-    ("volume", 1e-6, 0.0, "нл нанолитр нанолитров nl"),
-    ("volume", 10.0, 0.0, "сл сантилитр cl"),
-    ("volume", 100.0, 0.0, "дл децилитр децилитра децилитров dl"),
-    ("volume", 1000.0, 0.0, "л литр литра литров l litre liter"),
-    ("concentration", 1.0, 0.0, "нг/мл ng/ml мкг/л ug/l mkg/l|нанограмм на миллилитр|микрограмм на литр"),
-    ("concentration", 1e-3, 0.0, "пг/мл pg/ml нг/л ng/l|пикограмм на миллилитр|нанограмм на литр"),
-    ("concentration", 1e3, 0.0, "мкг/мл ug/ml мг/л mg/l|микрограмм на миллилитр|миллиграмм на литр"),
-    ("concentration", 1e4, 0.0, "мг/дл mg/dl|миллиграмм на децилитр"),
-    ("concentration", 1e1, 0.0, "мкг/дл ug/dl|микрограмм на децилитр"),
-    ("concentration", 1e6, 0.0, "мг/мл mg/ml г/л g/l|миллиграмм на миллилитр|грамм на литр"),
-    ("time", 1 / 60, 0.0, "с сек секунд секунда секунды s sec second seconds"),
-    ("time", 1.0, 0.0, "мин минут минута минуты min minute minutes"),
-    ("time", 60.0, 0.0, "ч час часа часов h hour hours hr"),
-    ("time", 1440.0, 0.0, "сут сутки суток дн день дня дней d day days"),
-    ("length", 1e-3, 0.0, "мкм микрометр микрометров микрон um µm"),
-    ("length", 1.0, 0.0, "мм миллиметр миллиметра миллиметров mm millimetre millimeter"),
-    ("length", 10.0, 0.0, "см сантиметр сантиметра сантиметров cm centimetre centimeter"),
-    ("length", 100.0, 0.0, "дм дециметр дециметров dm"),
-    ("length", 1000.0, 0.0, "м метр метра метров m metre meter"),
-    ("length", 25.4, 0.0, "дюйм дюйма дюймов in inch inches"),
-    ("mass", 1e-6, 0.0, "мкг микрограмм микрограмма ug"),
-    ("mass", 1e-3, 0.0, "мг миллиграмм миллиграмма mg milligram"),
-    ("mass", 1.0, 0.0, "г гр грамм грамма граммов g gram grams"),
-    ("mass", 1000.0, 0.0, "кг килограмм килограмма килограммов kg kilogram"),
-    ("temperature", 1.0, 0.0, "°c c °с с гр.с℃ цельсия celsius|град. c|град. с|градус цельсия|градуса цельсия|градусов цельсия|градусов c|градусов с"),
-    ("temperature", 5 / 9, -32.0, "°f f фаренгейта|град. f|градусов фаренгейта|градус фаренгейта"),
-    ("temperature", 1.0, -273.15, "k к кельвин кельвина кельвинов kelvin °k °к"),
+    ("volume", 1e-3, 0.0, ["мкл", "микролитр", "микролитров", "ul", "mkl", "µl", "microlitre", "microliter"]),
+    ("volume", 1.0, 0.0, ["мл", "миллилитр", "миллилитра", "миллилитров", "ml", "millilitre", "milliliter", "см3", "см^3", "cm3", "cc", "куб. см", "кубических сантиметров", "кубический сантиметр"]),
+    ("volume", 1e-6, 0.0, ["нл", "нанолитр", "нанолитров", "nl"]),
+    ("volume", 10.0, 0.0, ["сл", "сантилитр", "cl"]),
+    ("volume", 100.0, 0.0, ["дл", "децилитр", "децилитра", "децилитров", "dl"]),
+    ("volume", 1000.0, 0.0, ["л", "литр", "литра", "литров", "l", "litre", "liter"]),
+    ("concentration", 1.0, 0.0, ["нг/мл", "ng/ml", "мкг/л", "ug/l", "mkg/l", "нанограмм на миллилитр", "микрограмм на литр"]),
+    ("concentration", 1e-3, 0.0, ["пг/мл", "pg/ml", "нг/л", "ng/l", "пикограмм на миллилитр", "нанограмм на литр"]),
+    ("concentration", 1e3, 0.0, ["мкг/мл", "ug/ml", "мг/л", "mg/l", "микрограмм на миллилитр", "миллиграмм на литр"]),
+    ("concentration", 1e4, 0.0, ["мг/дл", "mg/dl", "миллиграмм на децилитр"]),
+    ("concentration", 1e1, 0.0, ["мкг/дл", "ug/dl", "микрограмм на децилитр"]),
+    ("concentration", 1e6, 0.0, ["мг/мл", "mg/ml", "г/л", "g/l", "миллиграмм на миллилитр", "грамм на литр"]),
+    ("time", 1 / 60, 0.0, ["с", "сек", "секунд", "секунда", "секунды", "s", "sec", "second", "seconds"]),
+    ("time", 1.0, 0.0, ["мин", "минут", "минута", "минуты", "min", "minute", "minutes"]),
+    ("time", 60.0, 0.0, ["ч", "час", "часа", "часов", "h", "hour", "hours", "hr"]),
+    ("time", 1440.0, 0.0, ["сут", "сутки", "суток", "дн", "день", "дня", "дней", "d", "day", "days"]),
+    ("length", 1e-3, 0.0, ["мкм", "микрометр", "микрометров", "микрон", "um", "µm"]),
+    ("length", 1.0, 0.0, ["мм", "миллиметр", "миллиметра", "миллиметров", "mm", "millimetre", "millimeter"]),
+    ("length", 10.0, 0.0, ["см", "сантиметр", "сантиметра", "сантиметров", "cm", "centimetre", "centimeter"]),
+    ("length", 100.0, 0.0, ["дм", "дециметр", "дециметров", "dm"]),
+    ("length", 1000.0, 0.0, ["м", "метр", "метра", "метров", "m", "metre", "meter"]),
+    ("length", 25.4, 0.0, ["дюйм", "дюйма", "дюймов", "in", "inch", "inches"]),
+    ("mass", 1e-6, 0.0, ["мкг", "микрограмм", "микрограмма", "ug"]),
+    ("mass", 1e-3, 0.0, ["мг", "миллиграмм", "миллиграмма", "mg", "milligram"]),
+    ("mass", 1.0, 0.0, ["г", "гр", "грамм", "грамма", "граммов", "g", "gram", "grams"]),
+    ("mass", 1000.0, 0.0, ["кг", "килограмм", "килограмма", "килограммов", "kg", "kilogram"]),
+    ("temperature", 1.0, 0.0, ["°c", "c", "°с", "с", "гр.с℃", "цельсия", "celsius", "град. c", "град. с", "градус цельсия", "градуса цельсия", "градусов цельсия", "градусов c", "градусов с"]),
+    ("temperature", 5 / 9, -32.0, ["°f", "f", "фаренгейта", "град. f", "градусов фаренгейта", "градус фаренгейта"]),
+    ("temperature", 1.0, -273.15, ["k", "к", "кельвин", "кельвина", "кельвинов", "kelvin", "°k", "°к"]),
 ]
 _SMALL = set("аеиоуыэюяьъйё.")  # weight half in the edit distance: endings, vowels and points
 _SHORT = 4  # spellings shorter than this must agree exactly
@@ -68,8 +68,7 @@ class UnitIndex:
     def __init__(self, n: int = 2):
         self.n, self.exact, self.grams = n, {}, defaultdict(set)
         for dimension, factor, offset, spellings in UNITS:
-            words, *phrases = spellings.split("|")
-            for s in [*words.split(), *phrases]:
+            for s in spellings:
                 self.exact[(dimension, squeezed(s))] = (factor, offset)
         # the same over all dimensions, fuzzy only among spellings of as many words
         self.any: dict[str, dict[str, tuple[float, float]]] = defaultdict(dict)
@@ -140,7 +139,7 @@ def edit_cost(a: str, b: str) -> float:
 _index: UnitIndex | None = None
 _mapped: dict[tuple[str, str], tuple[float, float] | None] = {}
 #: Words of the longest known unit, and one more for a slash that stands by itself.
-WORDS = 1 + max(len(phrase.split()) for *_, spellings in UNITS for phrase in spellings.split("|")[1:])
+WORDS = 1 + max(len(s.split()) for *_, spellings in UNITS for s in spellings)
 #: What can follow a number as its unit: so many words, up to the next mark that no unit has.
 _SPELLING = r"\s*+(?:[^\s\d,;()\[\]{}\"«»:]++\s*+){0,%d}((?<=[сc][мm])\^?3)?" % WORDS
 _spelling = re.compile(_SPELLING)

@@ -24,6 +24,15 @@ def light(x: str) -> str:
     return trim(rep(rep(f"replace({x}, chr(13) || chr(10), chr(10))", r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
+def heavy(x: str) -> str:
+    """The heavy form of a text that is compatibility-composed but for full-width characters and no-break spaces."""
+    s = f"lower({rep(f'nfc_normalize({x})', '[' + chr(0xFEFF) + chr(0x200B) + '-' + chr(0x200D) + chr(0x2060) + ']', '')})"
+    wide, digits = ''.join(map(chr, range(0xFF01, 0xFF5F))).lower(), ''.join(map(chr, range(0x1D7CE, 0x1D800)))
+    s = f"translate({s}, {quoted(wide + digits)}, {quoted(''.join(map(chr, range(0x21, 0x7F))).lower() + '0123456789' * 5)})"
+    s = rep(rep(rep(s, "№", "no"), "[“”\"']", ""), "н([0-9])", "h\\1")
+    return f"trim({rep(s, '[^a-z0-9а-яё]+', ' ')})"
+
+
 def html(x: str) -> str:
     s = f"coalesce({x}, '')"
     for pattern, by in ((r"(?i)<br\s*/?>|</p>", "\n"), ("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&")):

@@ -332,14 +332,29 @@ def marker_cascade(spark, d):
     return sets.join(r, "own").select("doc_id", "source", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "extra")
 
 
-_ANALYZER = quoted(re2("(?:для|к){ws}+анализатор[а-яё]*{ws}+([^.;,\\n]{2,120})"))
+# Texts that hold cases no given table has; they go beside the whole tables.
+_CASES = [
+    "Изделие предназначено: тест предназначен для анализатора мочи Олвита 5, Дельмар",
+    "Полоска предназначена для использования\nЦветная шкала содержит 12 цветовых полей. Состав: буфер",
+    "Набор к анализаторам  Тавера Лайт; калибратор для анализатора X1.\nНазначение: предназначен всем",
+]
+_CASE_SQL = ", ".join(f"({-k - 1}, {quoted(t)})" for k, t in enumerate(_CASES))
 
 
-@query(f"""SELECT doc_id, analyzer FROM (SELECT DISTINCT doc_id, {D.trim("a")} AS analyzer FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {_ANALYZER}, 1)) AS a FROM library_chunks)) WHERE length(analyzer) >= 2""")
+def _and_cases(df, key: str):
+    """doc_id, text of a table with the cases under negative keys."""
+    own = df.select(F.col(key).alias("doc_id"), "text")
+    kind = own.schema["doc_id"].dataType
+    return own.unionByName(df.sparkSession.createDataFrame([(-k - 1, t) for k, t in enumerate(_CASES)], "doc_id bigint, text string").select(F.col("doc_id").cast(kind), "text"))
+
+
+_ANALYZER = quoted(re2(extract.ANALYZER))
+
+
+@query(f"""SELECT doc_id, analyzer FROM (SELECT DISTINCT doc_id, {D.trim("a")} AS analyzer FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {_ANALYZER}, 1)) AS a
+  FROM (SELECT doc_id, text FROM library_chunks UNION ALL SELECT k::VARCHAR, t FROM (VALUES {_CASE_SQL}) c(k, t)))) WHERE length(analyzer) >= 2""")
 def analyzers_docs(spark, d):
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(X.java("(?:для|к){ws}+анализатор[а-яё]*{ws}+([^.;,\\n]{2,120})")), F.lit(1))
-    flat = table(spark, d, "library_chunks").select("doc_id", F.explode(found).alias("a")).select("doc_id", X.trimmed(F.col("a")).alias("analyzer"))
-    return flat.where(F.length("analyzer") >= 2).distinct()
+    return extract.analyzers(_and_cases(table(spark, d, "library_chunks"), "doc_id"), "doc_id", "text")
 
 
 # ---- extraction ------------------------------------------------------------------------
@@ -356,7 +371,7 @@ def _row_texts(spark, d):
     return _distinct_rows(spark, d).select(F.concat_ws("/", "doc_id", "row_ord").alias("k"), F.concat_ws(" ", "indicator", "value_raw").alias("text")).distinct()
 
 
-@query(f"SELECT DISTINCT k, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw FROM (SELECT k, unnest({_all('text', extract.PACK)})::INT AS n FROM ({_JOINED})) WHERE n > 0")
+@query(f"SELECT DISTINCT k, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw FROM (SELECT k, unnest({_all('text', extract.PACK)} || {_all('text', extract.PACK_BEFORE)})::INT AS n FROM ({_JOINED})) WHERE n > 0")
 def pack_quantities_rows(spark, d):
     return extract.pack_quantities(_row_texts(spark, d), "k", "text").drop("ord")
 
@@ -376,9 +391,9 @@ def sensitivities_rows(spark, d):
     return extract.sensitivities(_row_texts(spark, d), "k", "text").drop("ord")
 
 
-@query(f"SELECT DISTINCT doc_id, n::VARCHAR AS value_raw FROM (" + " UNION ALL ".join(f"SELECT doc_id, {_all('text', p)}[1]::INT AS n FROM documents" for p in extract.COLOURS) + ") WHERE n > 0")
+@query(f"SELECT DISTINCT doc_id, n::VARCHAR AS value_raw FROM (" + " UNION ALL ".join(f"SELECT doc_id, {_all('text', p)}[1]::INT AS n FROM documents" for p in extract.COLOURS).replace("FROM documents", f"FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {_CASE_SQL})") + ") WHERE n > 0")
 def colour_scales_docs(spark, d):
-    return extract.colour_scales(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "value_raw")
+    return extract.colour_scales(_and_cases(table(spark, d, "documents"), "doc_id"), "doc_id", "text").select("doc_id", "value_raw")
 
 
 _NAMED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), {quoted(re2(p))}) THEN '{m}' END" for m, p in extract.INFECTIONS) + "], lambda x: x IS NOT NULL)"
@@ -399,10 +414,10 @@ def materials_docs(spark, d):
     return extract.materials(table(spark, d, "library_rows"))
 
 
-@query(f"""SELECT doc_id, line FROM (SELECT doc_id, unnest({D.lines("text")}) AS line FROM documents) WHERE length(line) >= 20 AND regexp_matches(lower(line), 'предназначен')
+@query(f"""SELECT doc_id, line FROM (SELECT doc_id, unnest({D.lines("text")}) AS line FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {_CASE_SQL})) WHERE length(line) >= 20 AND regexp_matches(lower(line), 'предназначен')
   AND regexp_matches(line, 'анализатор|визуал|моч[аи]|тест|полоск|использован') AND NOT regexp_matches(lower(line), '^(?:описани[ея]|наименование товара|колич|время|состав|хранить)')""")
 def purpose_lines_docs(spark, d):
-    return extract.purposes(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("value_raw").alias("line"))
+    return extract.purposes(_and_cases(table(spark, d, "documents"), "doc_id"), "doc_id", "text").select("doc_id", F.col("value_raw").alias("line"))
 
 
 @query()
@@ -411,19 +426,23 @@ def document_rows_docs(spark, d):
     return extract.document_rows(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query()
+def pdf_rows_docs(spark, d):
+    """The producers of plain pages over every document."""
+    return extract.document_rows(table(spark, d, "documents"), "doc_id", "text", "pdf")
+
+
 @query()
 def presence_pairs_rows(spark, d):
     return extract.presence_pairs(extract.doc_lines(_distinct_rows(spark, d)))
 
 
-_DESC = quoted(re2("(?:^|[\\t|;,\\n\\r ])описани[ея]{ws}*[:\\-]?{ws}*([^\\n\\r]{20,400})"))
+_DESC = quoted(re2(extract.DESCRIPTION))
 
 
 @query(f"SELECT DISTINCT doc_id, value_raw FROM (SELECT doc_id, {D.trim(D.rep('v', '{ws}+', ' '))} AS value_raw FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {_DESC}, 1)) AS v FROM documents)) WHERE length(value_raw) >= 20")
 def descriptions_docs(spark, d):
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(X.java("(?:^|[\\t|;,\\n\\r ])описани[ея]{ws}*[:\\-]?{ws}*([^\\n\\r]{20,400})")), F.lit(1))
-    flat = table(spark, d, "documents").select("doc_id", F.explode(found).alias("v")).select("doc_id", X.trimmed(X.replaced(F.col("v"), "{ws}+", " ")).alias("value_raw"))
-    return flat.where(F.length("value_raw") >= 20).distinct()
+    return extract.descriptions(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "value_raw")
 
 
 _PAIR = "SELECT DISTINCT doc_id, pos, line FROM (SELECT doc_id, row_ord * 2 AS pos, {a} AS line FROM library_rows UNION ALL SELECT doc_id, row_ord * 2 + 1, {b} FROM library_rows) WHERE line <> '' AND line <> chr(92)".format(a=D.trim("coalesce(indicator, '')"), b=D.trim("coalesce(value_raw, '')"))
@@ -435,8 +454,14 @@ def label_next_line_rows(spark, d):
     return extract.label_next_line(extract.doc_lines(_distinct_rows(spark, d)))
 
 
+def _name_sql(x: str) -> str:
+    n = D.heavy(x)
+    short = ", ".join(quoted(w) for w in R.NO_NAME_SHORT)
+    return f"(length({n}) >= 3 AND NOT regexp_matches({n}, '^[0-9]+$') AND NOT regexp_matches({n}, {quoted('|'.join(R.NO_NAME))}) AND NOT (length({n}) <= 12 AND {n} IN ({short})))"
+
+
 @query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM ({_PAIR})), h AS (SELECT doc_id, n FROM l WHERE regexp_matches(lower(line), {quoted(re2("наименование{ws}+товар"))}))
-  SELECT DISTINCT a.doc_id, a.pos, a.line AS value_raw FROM l a JOIN h ON a.doc_id = h.doc_id AND a.n > h.n AND a.n - h.n <= 19 WHERE length(a.line) >= 6
+  SELECT DISTINCT a.doc_id, a.pos, a.line AS value_raw FROM l a JOIN h ON a.doc_id = h.doc_id AND a.n > h.n AND a.n - h.n <= 19 WHERE length(a.line) >= 6 AND {_name_sql("a.line")}
   AND NOT EXISTS (SELECT 1 FROM l s WHERE s.doc_id = a.doc_id AND s.n > h.n AND s.n <= a.n AND regexp_matches(lower(s.line), '{extract.NAME_STOP}'))
   AND h.n = (SELECT max(n) FROM h g WHERE g.doc_id = a.doc_id AND g.n < a.n)""")
 def names_ahead_rows(spark, d):
@@ -463,6 +488,17 @@ def spec_blob_chunks(spark, d):
     return extract.spec_blob(texts, "k", "text").groupBy("k", "indicator", "value_raw").agg(F.count("*").alias("n"))
 
 
+def _blob_sql(pattern: str) -> str:
+    whole = quoted("(?i)" + re2(pattern))
+    part = lambda g: f"regexp_extract(text, {whole}, {g})"
+    return f"SELECT k, {D.trim(part(1))} AS indicator, {part(2)} || ' ' || {part(3)} AS value_raw FROM ({_JOINED}) WHERE regexp_matches(text, {whole})"
+
+
+@query(f"{_blob_sql(extract.BLOB_QUANTITY)} UNION ALL {_blob_sql(extract.BLOB_VOLUME)}")
+def blob_numbers_rows(spark, d):
+    return extract.blob_numbers(_row_texts(spark, d), "k", "text").drop("ord")
+
+
 @query(f"""WITH t AS ({_JOINED}), g AS (SELECT DISTINCT k, 'Количество в упаковке' AS indicator, n || ' шт.' AS value_raw, 0 AS p FROM (SELECT k, unnest({_all("text", extract.PACK)})::INT AS n FROM t) WHERE n > 0
   UNION ALL SELECT DISTINCT k, 'Размер иглы, G', n || ' G', 1 FROM (SELECT k, unnest({_all("text", extract.GAUGE)})::INT AS n FROM t) WHERE n > 0
   UNION ALL SELECT k, 'Выявление маркеров инфекционных заболеваний', array_to_string(m, '; '), 2 FROM (SELECT k, {_NAMED} AS m FROM t) WHERE len(m) >= 2) SELECT k, indicator, value_raw, min(p) AS producer FROM g GROUP BY ALL""")

@@ -329,7 +329,55 @@ def test_presence(spark):
 def test_document_rows(spark):
     df = spark.createDataFrame([("a", "Игла 21G\nСрок: 12 мес\nСрок: 12 мес\nИзделие предназначено: тест предназначен для анализатора"), ("b", None)], "doc_id string, text string")
     got = {(r["indicator"], r["value_raw"], r["producer"]) for r in extract.document_rows(df, "doc_id", "text").collect()}
-    assert ("Срок", "12 мес", 0) in got and ("Размер иглы, G", "21 G", 6) in got and any(i == "Назначение" for i, *_ in got)
+    assert ("Срок", "12 мес", 0) in got and ("Размер иглы, G", "21 G", 10) in got and any(i == "Назначение" for i, *_ in got)
+
+
+def texts(spark, *values):
+    return spark.createDataFrame([(f"d{k}", v, 1) for k, v in enumerate(values)], "doc_id string, text string, ord int")
+
+
+def told(df):
+    return {(r["doc_id"], r["value_raw"]) for r in df.collect()}
+
+
+def test_names_in_texts(spark):
+    df = texts(spark, "Наименование товара\nТест-полоски H10\nшт\nОписание\nПолоски иные", None, "", "Наименование  товара", "Наименование товара\n" + "Иное слово\n" * 25)
+    assert told(extract.text_names(df, "doc_id", "text")) == {("d0", "Тест-полоски H10"), ("d4", "Иное слово")}
+
+
+def test_materials_in_texts(spark):
+    df = texts(spark, "Исследуемый материал\nМоча  утренняя\nвода\nВремя\nкровь", "проба в цельной крови, сыворотке или плазме", "сыворотка", None, "плазма, сыворотка и цельная кровь")
+    blood = {"Цельная кровь", "Сыворотка крови", "Плазма крови"}
+    assert told(extract.text_materials(df, "doc_id", "text")) == {("d0", "Моча утренняя")} | {(d, m) for d in ("d1", "d4") for m in blood}
+
+
+def test_labels_descriptions_and_analyzers(spark):
+    df = texts(spark, "Назначение\nдля определения белка в моче\nОписание: полоска с реагентом на подложке\nдля анализаторов Дельмар 90; иное", None, "Описание\nколичество")
+    assert told(extract.text_labels(df, "doc_id", "text")) == {("d0", "для определения белка в моче")}
+    assert told(extract.descriptions(df, "doc_id", "text")) == {("d0", "полоска с реагентом на подложке")}
+    assert [tuple(r) for r in extract.analyzers(df, "doc_id", "text").collect()] == [("d0", "дельмар 90")]
+
+
+def test_numbers_inside_texts(spark):
+    df = texts(spark, "Пакет. Количество тестов 40 шт. Объём флакона 2,5 мл. Объем 3 мл", "Объем", None)
+    got = {(r["indicator"], r["value_raw"]) for r in extract.blob_numbers(df, "doc_id", "text").collect()}
+    assert got == {("Количество тестов", "40 шт"), ("Объём флакона", "2,5 мл")}
+    assert told(extract.pack_quantities(texts(spark, "40 штx в наборе, количество в упаковке"), "doc_id", "text")) == {("d0", "40 шт.")}
+
+
+def test_sheets_of_other_shapes(spark):
+    long = "Объем: 5 мл; Срок: 12 мес; " + "слово " * 80
+    cells = spark.createDataFrame([("a", 0, ["", long]), ("b", 0, ["Срок", None, None]), ("b", 1, ["12 мес"]), ("c", 0, []), ("d", 0, ["1", "x"] + ["A: 1"] * 1500)], "doc_id string, row int, cells array<string>")
+    got = {}
+    for r in extract.sheet_rows(cells).collect():
+        got.setdefault(r["doc_id"], []).append((r["indicator"], r["value_raw"]))
+    assert ("Объем", "5 мл") in got["a"] and got["b"] == [("Срок", "12 мес")] and "c" not in got and len(got["d"]) == 1500
+
+
+def test_pdf_rows(spark):
+    df = texts(spark, "Игла 21G\nСрок: 12 мес\nупаковка", None)
+    got = {(r["indicator"], r["value_raw"]) for r in extract.document_rows(df, "doc_id", "text", "pdf").collect()}
+    assert ("Размер иглы, G", "21 G") in got and ("Срок", "12 мес") in got
 
 
 def test_property_points(spark):
