@@ -24,13 +24,13 @@ from sverka.session import fresh_path
 SHARD = 20000
 #: Shards walked for each query at most, and the part of a shard's vectors (of the sample) that may
 #: lie nearer to its centre than the bound by which a shard too far from the query is passed over.
-PROBES, CORE = 8, 0.6
+PROBES, CORE = 5, 0.6
 #: Links of a node in the bottom layer; upper layers have half.
-LINKS = 12
-#: Candidates kept during a walk, more of them in a query's own shard, and nodes expanded at once.
-BEAM, OWN_BEAM, STEP = 8, 16, 4
+LINKS = 16
+#: Candidates kept during a walk, and nodes expanded at once.
+BEAM, STEP = 8, 4
 #: Candidates kept while a node is inserted, and nodes inserted at once.
-BUILD_BEAM, GROUP = 24, 1024
+BUILD_BEAM, GROUP = 16, 2048
 #: Bounds of the sample that centroids are fitted on (documented bound), and of their number.
 SAMPLE_LEAST, SAMPLE_EACH, SAMPLE_MOST, CENTROIDS_MOST = 8192, 64, 262_144, 16_384
 #: Up to so many centroids are fitted at once, more of them in two levels.
@@ -482,8 +482,7 @@ def _shard_pairs(reader: _Shards, plan, kind: str, cell: int, sub: int, k: int,
                 if probes is None:
                     ids = g.exact(q[rows], k + 1)[0]
                 else:
-                    mine = c == cell and s == sub
-                    ids = g.search(q[rows], k + 1, OWN_BEAM if mine else BEAM, rows.astype(np.int32) if mine else None)[0]
+                    ids = g.search(q[rows], k + 1, start=rows.astype(np.int32) if c == cell and s == sub else None)[0]
                 sims = np.where(ids < 0, -np.inf, np.einsum("qd,qkd->qk", q[rows].astype(np.float64), g.v[np.maximum(ids, 0)].astype(np.float64)))
                 if ids.shape[1] < k + 1:
                     pad = ((0, 0), (0, k + 1 - ids.shape[1]))
