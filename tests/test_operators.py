@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from sverka.operators import extract, gate, library, matching, models, scoring
+from sverka.operators import documents, extract, gate, library, matching, models, scoring
 from sverka.operators import rows as R
 from sverka.session import written
 from sverka.sources import files
@@ -234,6 +234,24 @@ def test_sheets_in_the_order_of_the_workbook(spark, tmp_path):
     assert [c for _, _, c in files.xlsx_rows(out.getvalue())] == [["Объем", "10"], ["Объем", "1"], ["Объем", "2"]]
 
 
+def test_files_to_rows(spark, tmp_path):
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc><w:p><w:t>{c}</w:t></w:p></w:tc>" for c in cells) + "</w:tr>"
+    body = "<w:tbl>" + row("Длина изделия", "25 мм") + row("Стерильность иглы", "наличие") + "</w:tbl><w:p><w:t>Игла 21G</w:t></w:p>"
+    (tmp_path / "a.docx").write_bytes(docx(body))
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda t: f'<c t="inlineStr"><is><t>{t}</t></is></c>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData><row>{cell('Срок годности')}{cell('12 мес')}</row></sheetData></worksheet>")
+    (tmp_path / "c.pdf").write_bytes("Объем: 5 мл\nИгла 18G".encode())
+    (tmp_path / "d.doc").write_bytes(b"x")
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    found = files.spec_files(spark, str(tmp_path))
+    got = {(r["doc_id"].rsplit("/", 1)[1], r["indicator"], r["value_raw"]) for r in documents.file_rows(found, {".pdf": lambda b: b.decode()}).collect()}
+    assert {("a.docx", "Длина изделия", "25 мм"), ("a.docx", "Стерильность иглы", "наличие"), ("a.docx", "Размер иглы, G", "21 G"), ("b.xlsx", "Срок годности", "12 мес"), ("c.pdf", "Объем", "5 мл"), ("c.pdf", "Размер иглы, G", "18 G")} <= got
+    assert {f for f, *_ in got} == {"a.docx", "b.xlsx", "c.pdf"}
+    assert documents.file_rows(found.limit(0)).count() == 0
+
+
 def test_files_left_out_are_told(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"x" * 100)
     (tmp_path / "b.txt").write_bytes(b"x")
