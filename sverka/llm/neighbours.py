@@ -24,7 +24,7 @@ from sverka.session import fresh_path
 SHARD = 20000
 #: Shards walked for each query at most, and the part of a shard's vectors (of the sample) that may
 #: lie nearer to its centre than the bound by which a shard too far from the query is passed over.
-PROBES, CORE = 5, 0.6
+PROBES, CORE = 4, 0.6
 #: Links of a node in the bottom layer; upper layers have half.
 LINKS = 16
 #: Candidates kept during a walk, and nodes expanded at once.
@@ -37,6 +37,8 @@ SAMPLE_LEAST, SAMPLE_EACH, SAMPLE_MOST, CENTROIDS_MOST = 8192, 64, 262_144, 16_3
 ONE_LEVEL = 512
 #: A shard's queries choose among so many centroids nearest to its own.
 NEAR_CELLS = 256
+#: Lines that a row of similarities is folded into to find its greatest ones.
+FOLD = 16
 #: One node of a layer in so many is also in the layer above.
 THIN = 16
 #: A layer of at most so many nodes is looked through as one block.
@@ -59,6 +61,19 @@ def _best(sims: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return np.take_along_axis(sims, o, 1), np.take_along_axis(ids, o, 1)
 
 
+def _folded(sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row what the most greatest similarities are surely among, with its places: rows are
+    folded into lines, and the greatest lie in the columns of greatest maximum, as many as are wanted."""
+    n, width = sims.shape
+    columns = width // FOLD
+    if width % FOLD or columns <= most:
+        return sims, np.broadcast_to(np.arange(width), sims.shape)
+    tops = sims.reshape(n, FOLD, columns).max(1)
+    best = np.argpartition(-tops, most - 1, axis=1)[:, :most]
+    places = (best[:, None, :] + (np.arange(FOLD) * columns)[None, :, None]).reshape(n, -1)
+    return np.take_along_axis(sims, places, 1), places
+
+
 def _diverse(v: np.ndarray, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
     """Which candidates (nearest first; -inf fills) a node links to: those not nearer to a chosen one than to the node; the nearest few in any case."""
     c = v[near]
@@ -84,7 +99,7 @@ class _Layer:
         wide = min(self.most + self.most // 2, BUILD_BEAM + len(new) - 1)
         own = q @ q.T
         np.fill_diagonal(own, -np.inf)
-        sims, at = _best(own, np.broadcast_to(np.arange(len(new)), own.shape), min(wide, len(new)))
+        sims, at = _best(*_folded(own, min(wide, len(new))), min(wide, len(new)))
         ids = new[at]
         if entry.shape[1]:
             start = np.where(entry < 0, -np.inf, np.einsum("qd,qkd->qk", q, v[np.maximum(entry, 0)])).astype(np.float32)
