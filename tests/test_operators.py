@@ -402,3 +402,24 @@ def test_property_points(spark):
     q = spark.createDataFrame([("q", "Специфичность", "≥ 95 %"), ("q", "Чувствительность", "99 %"), ("q", "Цвет", "1")], "query_id string, indicator string, value_raw string")
     lib = spark.createDataFrame([("a", "Диагностическая специфичность", "97%"), ("a", "Чувствительность", "99"), ("b", "Специфичность", "90 %")], "doc_id string, indicator string, value_raw string")
     assert [tuple(r) for r in scoring.property_points(q, lib).collect()] == [("q", "a", 3, 6)]
+
+
+def test_best_parts_of_a_large_brand(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from sverka.plans import reference
+
+    types = ["SMALL COPPER", "LARGE STEEL", "PROMO TIN", None, ""]
+    rows = [(k, "Brand#1" if k % 7 else "", types[k % 5], k * 7 % 50 + 1, 900.0 + k * 37 % 1200) for k in range(1, 3001)]
+    rows += [(40, "Brand#1", "PROMO TIN", 9, 1000.0), (41, "Brand#1", "LARGE STEEL", 30, 900.0), (2020, None, "LARGE STEEL", 5, 900.0), (4000, None, "x", 1, 1.0), (4020, "Brand#9", "x", None, None), (4021, "Brand#9", "y", 3, 5.0), (4040, "Brand#8", "x", 1, 1.0), (None, "Brand#9", "x", 1, 1.0)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+    for name, most in (("explain_rows_parts", (2048, 1 << 18)), ("kv_score_parts", (50, 500))):  # whole brands and blocks of them
+        monkeypatch.setattr(scoring, "ASKED", most[0])
+        monkeypatch.setattr(scoring, "STOCKED", most[1])
+        before = moved()
+        got = sorted(map(tuple, reference.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+        assert moved() - before < 1_000_000, "pairs of parts were shuffled"  # 150 queries meet 2,572 parts
+        assert got == sorted(duckdb.sql(f"WITH part AS (FROM read_parquet('{tmp_path}/part.parquet/*.parquet')) SELECT * FROM ({reference.SQL[name]})").fetchall(), key=str)
+    assert {r[0] for r in got} >= {40, 4020} and 4040 not in {r[0] for r in got}
