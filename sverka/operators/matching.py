@@ -15,6 +15,7 @@ from sverka.functions import numbers as N
 from sverka.functions import text as X
 from sverka.functions import vectors as V
 from sverka.operators import scoring
+from sverka.session import written
 
 #: Documents compared with a query, similarity of indicators that may be compared, least percent and points of a match.
 CANDIDATES, SIMILAR, LEAST_PERCENT, LEAST_POINTS = 8, 0.75, 30.0, 1
@@ -154,10 +155,14 @@ def marker_shares(queries: DataFrame, library: DataFrame, pairs: DataFrame) -> D
 def narrowed_by_markers(pairs: DataFrame) -> DataFrame:
     """Of each query's pairs with shared markers those of greatest recall, then greatest precision, then fewest others; all if none shares any.
 
-    Three aggregations of one number a query, joined back; no window over a query's pairs.
+    Decided on the different shares of a query, which are few; no window over a query's pairs,
+    and the pairs are read twice, however many steps there are.
     """
+    columns = ["query_id", "marker_recall", "marker_precision", "marker_extra"]
+    shares = pairs.select(columns).distinct()
     for column, most in (("marker_recall", True), ("marker_precision", True), ("marker_extra", False)):
-        best = pairs.groupBy("query_id").agg((F.max if most else F.min)(column).alias("_best"), F.max("marker_recall").alias("_any"))
+        shares = written(shares, "marker-shares")
+        best = shares.groupBy("query_id").agg((F.max if most else F.min)(column).alias("_best"), F.max("marker_recall").alias("_any"))
         near = F.col(column) >= F.col("_best") - 1e-9 if most else F.col(column) <= F.col("_best")
-        pairs = pairs.join(best, "query_id").where((F.col("_any") <= 0) | near).drop("_best", "_any")
-    return pairs
+        shares = shares.join(best, "query_id").where((F.col("_any") <= 0) | near).drop("_best", "_any")
+    return pairs.join(shares, columns, "left_semi")

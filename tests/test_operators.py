@@ -423,3 +423,11 @@ def test_best_parts_of_a_large_brand(spark, tmp_path, monkeypatch):
         assert moved() - before < 1_000_000, "pairs of parts were shuffled"  # 150 queries meet 2,572 parts
         assert got == sorted(duckdb.sql(f"WITH part AS (FROM read_parquet('{tmp_path}/part.parquet/*.parquet')) SELECT * FROM ({reference.SQL[name]})").fetchall(), key=str)
     assert {r[0] for r in got} >= {40, 4020} and 4040 not in {r[0] for r in got}
+
+
+def test_marker_steps_read_the_pairs_twice(spark):
+    rows = [("q", f"d{k}", k % 3 / 2, k % 2 / 2, k % 4) for k in range(24)] + [("r", "d1", 0.0, 0.0, 2), ("r", "d2", 0.0, 0.0, 1)]
+    pairs = spark.createDataFrame(rows, "query_id string, doc_id string, marker_recall double, marker_precision double, marker_extra int")
+    out = matching.narrowed_by_markers(pairs)
+    assert {(r["query_id"], r["doc_id"]) for r in out.collect()} == {("q", "d5"), ("q", "d17"), ("r", "d1"), ("r", "d2")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
