@@ -431,3 +431,21 @@ def test_marker_steps_read_the_pairs_twice(spark):
     out = matching.narrowed_by_markers(pairs)
     assert {(r["query_id"], r["doc_id"]) for r in out.collect()} == {("q", "d5"), ("q", "d17"), ("r", "d1"), ("r", "d2")}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+
+
+def test_gate_searches_only_for_queries_without_a_code(spark):
+    words = ["наркотики", "наркотиков", "наркотических", "наркотика"]
+    rows = [(f"d{k:03}", 0, "Наименование товара", f"тест {words[k % 4]} набор а{k:03}б серия в{k % 9}г{'' if k % 10 else ' ' + words[k % 4]}") for k in range(200)] + [(f"d{k:03}", 1, "Код", f"rx-{100 + k % 100}") for k in range(0, 200, 2)]
+    rows += [("d001", 2, "Маркер", "вич"), ("d004", 2, "Маркер", "вич"), ("d002", 2, "Наименование товара", "h1 10"), ("d102", 2, "Наименование товара", "h1 10")]
+    df = spark.createDataFrame([(*r, [1.0, k % 5 / 9] + [0.0] * 30) for k, r in enumerate(rows)], f"{ROWS}, embedding array<double>")
+    named = written(R.product_names(df), "named")
+    keys, vectors = written(gate.gate_keys(df, named), "keys"), written(gate.name_vectors(df, named=named), "vectors")
+    asked = lambda x: x.where("doc_id < 'd100'")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved, seen = [], []
+    for f in (gate.passed, lambda *x: gate.candidates(gate.name_gate(*x))):
+        before = store.executorList(True).apply(0).totalShuffleWrite()
+        seen.append(sorted(map(tuple, f(asked(keys), keys, (asked(vectors), vectors)).collect())))
+        moved.append(store.executorList(True).apply(0).totalShuffleWrite() - before)
+    assert seen[0] == seen[1] and {r[3] for r in seen[0]} == {True, False}
+    assert moved[0] < moved[1], moved
