@@ -9,7 +9,7 @@ from sverka.functions import lexicon as L
 from sverka.functions.regexes import quoted, re2
 from sverka.operators import gate, matching
 from sverka.plans import oracle as D
-from sverka.plans.reference import _passed, _same_sql
+from sverka.plans.reference import _gate_keys, _same_sql
 from sverka.session import table, written
 
 _USABLE = "coalesce(len({0}) = 32 AND len(list_filter({0}, lambda z: z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter({0}, lambda z: z <> 0)) > 0, false)"
@@ -74,8 +74,8 @@ def match_rows_docs(spark, d) -> DataFrame:
 def _gated(spark, d) -> tuple[DataFrame, DataFrame]:
     """(best, compared rows) of the candidates that names, codes, markers and name vectors pass; the nearest where none do."""
     asked, library = _documents(spark, d)
-    mine, keys, told = _passed(spark, d)
-    passed = written(told.where("query_id <> doc_id"), "passed")
+    mine, keys, vectors = _gate_keys(spark, d)
+    passed = written(gate.passed(mine, keys, vectors).where("query_id <> doc_id"), "passed")
     markers = lambda df, key: df.where("kind = 'marker'").select(F.col("doc_id").alias(key), F.col("key").alias("marker"))
     shares = matching.marker_shares(markers(mine, "query_id"), markers(keys, "doc_id"), passed)
     told = written(passed.join(shares, ["query_id", "doc_id"]).withColumn("exact_name", F.col("by_name") | F.col("by_code") | F.col("by_marker") | F.col("contained")), "told")

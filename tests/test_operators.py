@@ -449,3 +449,49 @@ def test_gate_searches_only_for_queries_without_a_code(spark):
         moved.append(store.executorList(True).apply(0).totalShuffleWrite() - before)
     assert seen[0] == seen[1] and {r[3] for r in seen[0]} == {True, False}
     assert moved[0] < moved[1], moved
+
+
+def _odd_documents(spark, n=90):
+    """(rows with embeddings, document vectors) of documents with names that repeat words, are glued or short, with codes, markers and equal vectors."""
+    import random
+
+    r = random.Random(5)
+    words = ["тест", "тест-полоски", "анализ", "анализатор", "мочи", "мочи", "для", "набор", "контрольный", "контроль", "кассета", "а1", "кровь", "наркотики", "наркотиков"]
+    names = [r.choice(["", " "]).join(r.choices(words, k=r.randint(1, 7))) for _ in range(n)] + ["мочи мочи мочи мочи", "мочи мочи мочи кровь", "мочи кровь набор", "премиум", "премиум"]
+    names[7:9] = [names[3] + "ы", names[4]]
+    rows = [(f"d{k:03}", 0, "Наименование товара", x) for k, x in enumerate(names)] + [(f"d{k:03}", 1, "Наименование товара", r.choice(names)) for k in range(0, n, 3)]
+    rows += [(f"d{k:03}", 2, "Код", f"rx-{100 + k % 17}") for k in range(0, n, 5)] + [(f"d{k:03}", 3, "Прочее", r.choice(["вич", "hbv и вич", "hcv"])) for k in range(0, n, 4)]
+    v = lambda: [float(r.randint(-2, 2)) for _ in range(3)] + [1.0] + [0.0] * 28
+    docs = [(f"d{k:03}", v()) for k in range(len(names)) if k % 11] + [("d001", v())]
+    return spark.createDataFrame([(*x, v() if x[1] == 0 else None) for x in rows], f"{ROWS}, embedding array<double>"), spark.createDataFrame(docs, "doc_id string, v array<double>")
+
+
+def _blocked(monkeypatch):
+    for name, n in {"FEW": 10, "TASKS": 3, "DOCUMENTS": 40, "QUERIES": 30}.items():
+        monkeypatch.setattr(gate.blocks, name, n)
+
+
+def test_gate_in_blocks_against_brute_force(spark, monkeypatch):
+    _blocked(monkeypatch)
+    df = _odd_documents(spark)[0]
+    named = written(R.product_names(df), "named")
+    keys, vectors = written(gate.gate_keys(df, named), "keys"), written(gate.name_vectors(df, named=named), "vectors")
+    asked = lambda x: x.where("doc_id > 'd045'")
+    got = sorted(map(tuple, gate.passed(asked(keys), keys, (asked(vectors), vectors)).collect()))
+    assert got == sorted(map(tuple, gate.candidates(gate.name_gate(asked(keys), keys, (asked(vectors), vectors))).collect()))
+    a, b = keys.where("kind = 'name'").select(F.col("doc_id").alias("q"), F.col("key").alias("x")), keys.where("kind = 'name'").select(F.col("doc_id").alias("d"), F.col("key").alias("y"))
+    same = (F.col("x") == F.col("y")) & ((F.size(gate.X.name_tokens(F.col("x"))) > 0) | (F.length("x") >= 14))
+    held = {tuple(r) for r in a.where("q > 'd045'").crossJoin(b).where(same | R.names_contain(F.col("x"), F.col("y"))).select("q", "d").collect()}
+    coded = {q for q, _, _, code, *_ in got if code}
+    assert {(q, d) for q, d, *f in got if f[3]} == {(q, d) for q, d in held if q not in coded or (q, d) in {(x, y) for x, y, _, code, *_ in got if code}}
+    assert len(got) > 300 and coded and len(held) > 300
+
+
+def test_pairs_of_the_gate_are_not_shuffled(spark):
+    rows = [(f"document number {k:05}", 0, "Наименование товара", f"экспресс-тест выявления наркотиков серия а{k}б") for k in range(600)]
+    keys = written(gate.gate_keys(spark.createDataFrame(rows, ROWS)), "keys")
+    vectors = spark.createDataFrame([], "doc_id string, v array<double>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorList(True).apply(0).totalShuffleWrite()
+    assert gate.passed(keys, keys, (vectors, vectors)).where("contained and not by_code").count() == 360_000
+    assert store.executorList(True).apply(0).totalShuffleWrite() - before < 360_000
