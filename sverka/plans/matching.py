@@ -41,14 +41,15 @@ def _documents(spark, d) -> tuple[DataFrame, DataFrame]:
     return docs.where("doc_ord % 20 = 0"), docs
 
 
-def _rows(spark, d) -> DataFrame:
-    return table(spark, d, "library_rows").select("doc_id", "row_ord", "indicator", "value_raw", "embedding").distinct()
+def _rows(spark, d, docs: DataFrame) -> DataFrame:
+    """The different rows of given documents (doc_id); semi-joined first, so that rows are shuffled once, by document."""
+    return table(spark, d, "library_rows").select("doc_id", "row_ord", "indicator", "value_raw", "embedding").join(docs, "doc_id", "left_semi").distinct()
 
 
 def _compared(spark, d, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query rows, compared rows) of the candidates."""
-    rows = _rows(spark, d)
-    asked = rows.withColumnRenamed("doc_id", "query_id").join(candidates.select("query_id").distinct(), "query_id", "left_semi")
+    rows = _rows(spark, d, candidates.select("doc_id"))
+    asked = _rows(spark, d, candidates.select(F.col("query_id").alias("doc_id"))).withColumnRenamed("doc_id", "query_id")
     return asked, written(matching.compared_rows(asked, rows, candidates), "compared")
 
 
